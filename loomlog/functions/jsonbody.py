@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The names a producer may use for each lifted column, in order of preference.
 SERVICE_KEYS = ("service", "app", "source", "name", "application", "svc", "component")
@@ -39,14 +42,21 @@ def _leaf(variant: Column, path: str, as_type: str = "variant") -> Column:
     return F.try_variant_get(variant, path, as_type)
 
 
-def first_text(variant: Column, keys: tuple[str, ...]) -> Column:
-    """First non-empty JSON string among top-level ``keys``; other JSON types do not count."""
+def lifted_members(text: Column) -> Column:
+    """The members with a name of interest as a struct of VARIANTs, read in one pass."""
+    schema = T.StructType(
+        [T.StructField(key, T.VariantType()) for key in SERVICE_KEYS + LEVEL_KEYS + TRACE_KEYS]
+    )
+    return F.from_json(text, schema)
+
+
+def first_text(members: Column, keys: tuple[str, ...]) -> Column:
+    """First non-empty JSON string among ``keys``; other JSON types do not count."""
     options = []
     for key in keys:
-        path = f"$['{key}']"
-        text = _leaf(variant, path, "string")
-        is_text = F.schema_of_variant(_leaf(variant, path)) == "STRING"
-        options.append(F.when(is_text & (text != ""), text))
+        value = members.getField(key)
+        is_text = F.schema_of_variant(value) == "STRING"
+        options.append(F.when(is_text, F.nullif(value.cast("string"), F.lit(""))))
     return F.coalesce(*options)
 
 
@@ -65,42 +75,59 @@ def json_fields(**fields: Column) -> Column:
     return F.to_json(F.struct(*[column.alias(name) for name, column in fields.items()]))
 
 
-def _inner(text: Column) -> Column:
-    """The members of a JSON object as text; NULL for an empty object, so ``concat_ws`` skips it."""
-    return F.nullif(F.substring(text, F.lit(2), F.length(text) - 2), F.lit(""))
+def without_members(flat: Column, names: tuple[str, ...]) -> Column:
+    """A minified object without the members called one of ``names``.
+
+    Bodies that do not hold such a name (nearly all) stay as sent, nested order and numbers
+    included; only the others go through a map.
+    """
+    holds_name = reduce(or_, [flat.contains(json.dumps(name)) for name in names])
+    as_map = F.from_json(flat, "map<string,variant>")
+    reduced = F.to_json(F.map_filter(as_map, lambda key, _value: ~key.isin(*names)))
+    return F.when(holds_name, reduced).otherwise(flat)
+
+
+def splice(flat: Column, members: Column) -> Column:
+    """Append ``members`` (``"name":value,...`` without braces) to a minified object."""
+    opened = F.when(flat == "{}", F.lit("{")).otherwise(
+        F.concat(F.substring(flat, F.lit(1), F.length(flat) - 1), F.lit(","))
+    )
+    return F.concat(opened, members, F.lit("}"))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def put_fields(text: Column, fields: Column, names: tuple[str, ...]) -> Column:
-    """Append the members of the JSON object ``fields`` to the JSON object ``text``.
+    """Append the members of the JSON object ``fields``; they replace those called ``names``.
 
-    Members of ``text`` called one of ``names`` are replaced.  Bodies that do not hold such a
-    name (nearly all) are spliced as text, so their nested order and numbers stay as sent; only
-    the others go through a map.
+    NULL where ``text`` is not an object.
     """
-    flat = minified(text)
-    holds_name = F.lit(False)
-    for name in names:
-        holds_name = holds_name | flat.contains(json.dumps(name))
-    as_map = F.from_json(flat, "map<string,variant>")
-    reduced = F.to_json(F.map_filter(as_map, lambda key, _: ~key.isin(*names)))
-    base = F.when(holds_name, reduced).otherwise(flat)
-    members = F.concat_ws(",", _inner(base), _inner(fields))
-    return F.when(flat.startswith("{"), F.concat(F.lit("{"), members, F.lit("}")))
+    members = F.substring(fields, F.lit(2), F.length(fields) - 2)
+    flat = F.when(minified(text).startswith("{"), minified(text))
+    return _bound(_bound(flat, lambda f: without_members(f, names)), lambda f: splice(f, members))
 
 
 def with_defaults(text: Column, defaults: Mapping[str, object]) -> Column:
     """Add ``defaults`` (plain values) to the JSON object; fields of the event win."""
-    flat = minified(text)
-    present = F.json_object_keys(flat)
-    missing = [
-        F.when(
-            ~F.array_contains(present, key),
-            F.lit(f"{json.dumps(key)}:{json.dumps(value, separators=(',', ':'), ensure_ascii=False)}"),
-        )
-        for key, value in defaults.items()
-    ]
-    members = F.concat_ws(",", *missing, _inner(flat))
-    return F.when(flat.startswith("{"), F.concat(F.lit("{"), members, F.lit("}")))
+
+    def add(flat: Column) -> Column:
+        present = F.json_object_keys(flat)
+        missing = [
+            F.when(~F.array_contains(present, key), F.lit(_member(key, value)))
+            for key, value in defaults.items()
+        ]
+        own = F.nullif(F.substring(flat, F.lit(2), F.length(flat) - 2), F.lit(""))
+        merged = F.concat(F.lit("{"), F.concat_ws(",", *missing, own), F.lit("}"))
+        return F.when(flat.startswith("{"), merged)
+
+    return _bound(minified(text), add)
+
+
+def _member(key: str, value: object) -> str:
+    return f"{json.dumps(key)}:{json.dumps(value, separators=(',', ':'), ensure_ascii=False)}"
 
 
 def nested_defaults(*scopes: Mapping[str, object]) -> dict[str, object]:

@@ -12,10 +12,11 @@ from loomlog.functions.jsonbody import (
     SERVICE_KEYS,
     TRACE_KEYS,
     first_text,
-    is_object,
-    json_fields,
+    lifted_members,
+    minified,
     parsed,
-    put_fields,
+    splice,
+    without_members,
 )
 
 # An id is batch | partition | row, most significant first; all three fit a positive LONG.
@@ -24,41 +25,37 @@ ROW_BITS = 26
 MAX_WRITE_TASKS = 1 << PARTITION_BITS
 
 
-def stamped_body(payload: Column, received_at: Column) -> Column:
-    """The payload with its receive time as last member; white space is normalised."""
-    return put_fields(
-        payload, json_fields(received_at=iso_millis(received_at)), ("received_at",)
-    )
-
-
 def normalize(events: DataFrame) -> DataFrame:
     """Lift the envelope out of ``payload`` and stamp, measure and hash the body.
 
-    Columns of ``events`` other than ``payload`` are kept.  The payload is parsed once: the
-    variant is bound in its own projection and every lookup reads that.
+    Columns of ``events`` other than ``payload`` are kept.  The steps are separate projections
+    so that each parse happens once per row.  The body is the payload without insignificant
+    white space and with its receive time as last member; it is NULL for anything but an object.
     """
     kept = [name for name in events.columns if name != "payload"]
-    with_variant = events.select(
-        *kept, "payload", parsed(F.col("payload")).alias("_event")
-    )
-    event = F.col("_event")
-    lifted = with_variant.select(
+    payload, flat = F.col("payload"), F.col("_flat")
+    read = events.select(
         *kept,
         "payload",
-        is_object(event).alias("_ok"),
-        first_text(event, SERVICE_KEYS).alias("service"),
-        first_text(event, LEVEL_KEYS).alias("level"),
-        first_text(event, TRACE_KEYS).alias("trace_id"),
-        stamped_body(F.col("payload"), F.col("received_at")).alias("body"),
+        lifted_members(payload).alias("_members"),
+        F.when(parsed(payload).isNotNull(), minified(payload)).alias("_flat"),
     )
-    return lifted.select(
+    members = F.col("_members")
+    lifted = read.select(
         *kept,
         "payload",
-        "service",
-        "level",
-        "trace_id",
-        "body",
-        F.coalesce(F.col("_ok"), F.lit(False)).alias("well_formed"),
+        first_text(members, SERVICE_KEYS).alias("service"),
+        first_text(members, LEVEL_KEYS).alias("level"),
+        first_text(members, TRACE_KEYS).alias("trace_id"),
+        F.when(flat.startswith("{"), without_members(flat, ("received_at",))).alias("_flat"),
+    )
+    stamp = F.concat(F.lit('"received_at":"'), iso_millis(F.col("received_at")), F.lit('"'))
+    stamped = lifted.select(
+        *kept, "payload", "service", "level", "trace_id", splice(flat, stamp).alias("body")
+    )
+    return stamped.select(
+        "*",
+        F.col("body").isNotNull().alias("well_formed"),
         F.octet_length("body").cast("bigint").alias("bytes"),
         body_hash(F.col("body")).alias("body_hash"),
     )

@@ -17,12 +17,13 @@ HEAVY_SALTS = 64
 def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
     """Keys holding more than ``share`` of the rows.
 
-    Counts are combined map-side, so the shuffle carries one row per key and task.  By
-    construction the result has fewer than ``1 / share`` rows, whatever the size of ``df``.
+    Counts are combined map-side, so the shuffle carries one row per key and task; the total is
+    the sum of the same counts.  By construction the result has fewer than ``1 / share`` rows,
+    whatever the size of ``df``.  NULL keys match nothing and are left out.
     """
-    total = df.agg((F.count(F.lit(1)) * F.lit(share)).alias("floor"))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") > total.scalar()).select(*keys)
+    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    floor = counts.agg((F.sum("_n") * F.lit(share)).alias("floor"))
+    return counts.filter(F.col("_n") > floor.scalar()).select(*keys)
 
 
 def lookup_join(

@@ -37,26 +37,32 @@ class IngestCounts:
     malformed: int
 
 
+def measured(events: DataFrame, max_row_bytes: int | Column = 0) -> DataFrame:
+    """Normalised events, with ``oversized`` set for those above the limit.
+
+    ``max_row_bytes`` may be a column of a joined plan table; 0 means no limit.
+    """
+    if "_arrival" not in events.columns:
+        events = events.withColumn("_arrival", arrival_number())
+    limit = max_row_bytes if isinstance(max_row_bytes, Column) else F.lit(max_row_bytes)
+    limit = F.coalesce(limit, F.lit(0))
+    return normalize(events).withColumn(
+        "oversized", F.col("well_formed") & (limit > 0) & (F.col("bytes") > limit)
+    )
+
+
 def classify(
-    events: DataFrame,
+    rows: DataFrame,
     stored: DataFrame,
     *,
-    max_row_bytes: int | Column = 0,
     seconds: float = WINDOW_SECONDS,
     exclude_received_at: bool = False,
 ) -> DataFrame:
-    """Normalised events with their ``outcome``.
+    """``measured`` rows with their ``outcome``.
 
-    ``max_row_bytes`` may be a column of a joined plan table; 0 means no limit.  Copies are
-    recognised by the stored hash, which covers the receive time, so only events stamped alike
-    count; ``exclude_received_at`` compares content alone.
+    Copies are recognised by the stored hash, which covers the receive time, so only events
+    stamped alike count; ``exclude_received_at`` compares content alone.
     """
-    if "_arrival" not in events.columns:
-        events = events.withColumn("_arrival", arrival_number())
-    rows = normalize(events)
-    limit = max_row_bytes if isinstance(max_row_bytes, Column) else F.lit(max_row_bytes)
-    limit = F.coalesce(limit, F.lit(0))
-    rows = rows.withColumn("_over", (limit > 0) & (F.col("bytes") > limit))
     key = "body_hash"
     if exclude_received_at:
         key = "_content"
@@ -68,11 +74,11 @@ def classify(
     )
     outcome = (
         F.when(~F.col("well_formed"), MALFORMED)
-        .when(F.col("_over"), OVERSIZED)
+        .when(F.col("oversized"), OVERSIZED)
         .when(F.col("is_duplicate"), DUPLICATE)
         .otherwise(WRITTEN)
     )
-    return marked.withColumn("outcome", outcome).drop("_over", "is_duplicate", "_content")
+    return marked.withColumn("outcome", outcome).drop("oversized", "is_duplicate", "_content")
 
 
 def outcome_counts(classified: DataFrame) -> DataFrame:
@@ -109,30 +115,43 @@ def ingest_batch(
         return IngestCounts(0, 0, 0, 0)
     since = to_instant(earliest) - timedelta(seconds=seconds)
     stored = read_logs(spark, root, since=since).filter(F.col("batch") != batch_id)
-    classified = classify(
-        events,
-        stored,
-        max_row_bytes=max_row_bytes,
-        seconds=seconds,
-        exclude_received_at=exclude_received_at,
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    # Parsed once and kept for the passes below; lost blocks are recomputed from the source.
+    rows = measured(events, max_row_bytes).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # Kept for the three reads below; lost blocks are recomputed from the source.
-        counts = outcome_counts(classified).first()
-        fresh = classified.filter(F.col("outcome") == WRITTEN)
+        counts = rows.agg(
+            F.count(F.lit(1)).alias("total"),
+            F.count_if("oversized").alias(OVERSIZED),
+            F.count_if(~F.col("well_formed")).alias(MALFORMED),
+        ).first()
+        fresh = classify(
+            rows, stored, seconds=seconds, exclude_received_at=exclude_received_at
+        ).filter(F.col("outcome") == WRITTEN)
         append_rows(assign_ids(fresh, batch_id, tasks), root, batch_id)
-        _own_partition(count_deltas(fresh), f"{root}/{COUNTS_DIR}", batch_id)
-        if counts[OVERSIZED] or counts[MALFORMED]:
-            refused = classified.filter(F.col("outcome").isin(OVERSIZED, MALFORMED)).select(
-                F.col("index") if "index" in classified.columns else F.col("_arrival").alias("index"),
-                "bytes",
-                "payload",
-                F.col("outcome").alias("reason"),
-            )
-            _own_partition(refused, f"{root}/{QUARANTINE_DIR}", batch_id)
+        refused = counts[OVERSIZED] + counts[MALFORMED]
+        if refused:
+            _own_partition(set_aside(rows), f"{root}/{QUARANTINE_DIR}", batch_id)
     finally:
-        classified.unpersist()
-    return IngestCounts(*[int(counts[n]) for n in (WRITTEN, DUPLICATE, OVERSIZED, MALFORMED)])
+        rows.unpersist()
+    own = read_logs(spark, root).filter(F.col("batch") == batch_id)
+    _own_partition(count_deltas(own), f"{root}/{COUNTS_DIR}", batch_id)
+    written = own.count()
+    return IngestCounts(
+        written=written,
+        deduplicated=counts["total"] - refused - written,
+        oversized=counts[OVERSIZED],
+        malformed=counts[MALFORMED],
+    )
+
+
+def set_aside(rows: DataFrame) -> DataFrame:
+    """Index, size, payload and reason of the rows that are not stored."""
+    index = F.col("index") if "index" in rows.columns else F.col("_arrival")
+    return rows.filter(~F.col("well_formed") | F.col("oversized")).select(
+        index.cast("bigint").alias("index"),
+        F.coalesce("bytes", F.octet_length("payload").cast("bigint")).alias("bytes"),
+        "payload",
+        F.when(F.col("well_formed"), OVERSIZED).otherwise(MALFORMED).alias("reason"),
+    )
 
 
 def append_rows(rows: DataFrame, root: str, batch_id: int) -> None:
@@ -259,7 +278,9 @@ __all__ = [
     "delete_where",
     "fold_counts",
     "ingest_batch",
+    "measured",
     "outcome_counts",
     "purge_before",
     "purge_excess",
+    "set_aside",
 ]

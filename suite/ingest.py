@@ -11,7 +11,7 @@ from loomlog.operators.dedup import drop_recent_duplicates
 from loomlog.operators.normalize import normalize
 from loomlog.operators.tenancy import too_large, with_plan
 from loomlog.sinks.metrics import prometheus_lines
-from loomlog.sinks.store import classify, outcome_counts
+from loomlog.sinks.store import classify, measured, outcome_counts
 from loomlog.sources.events import explode_records, split_events, split_oversized
 from suite import check
 from suite.views import LOGS_SQL, events, logs, table
@@ -168,7 +168,7 @@ def ingest_outcome(spark, d):
     )
     twice = raw.filter((kind == "error") & (F.col("_arrival") % 2 == 0))
     stored = normalize(twice.drop("event_type")).select("body", "body_hash", "received_at")
-    return outcome_counts(classify(raw.drop("event_type"), stored, max_row_bytes=100))
+    return outcome_counts(classify(measured(raw.drop("event_type"), 100), stored))
 
 
 @check(

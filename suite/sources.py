@@ -60,8 +60,7 @@ def syslog_lines(spark, d):
        FROM events""",
 )
 def syslog_parse(spark, d):
-    # Seen from May 2023, a January line is eight months ahead: it belongs to January of 2022;
-    # from June 2024 it is seven ahead and belongs to 2023.
+    # Seen from June, a January line is seven months ahead and belongs to the year before.
     parsed = parse_syslog(syslog_lines(spark, d), "line", "2024-06-15")
     return parsed.select(
         "event_id", "level", "service", "message", "facility", "severity", "hostname", "timestamp"

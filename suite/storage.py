@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -75,9 +75,7 @@ def raw_events(spark, d):
 
 def stored(spark, d) -> str:
     """Ingest all events in two batches, the second partly repeating the first."""
-    root = tempfile.mkdtemp(prefix="store-", dir=shared_dir(spark)) if _local(spark) else (
-        f"{shared_dir(spark)}/store-{spark.sparkContext.applicationId}-{id(object())}"
-    )
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     rows = raw_events(spark, d)
     border, again = "2024-01-16", "2024-01-14"
     ingest_batch(rows.filter(F.col("received_at") < border), root, 0)
@@ -85,10 +83,6 @@ def stored(spark, d) -> str:
     return root
 
 
-def _local(spark) -> bool:
-    return "://" not in shared_dir(spark)
-
-
 STORED_SQL = """WITH stored AS (SELECT event_id AS n, ts AS received_at, 's' || (user_id % 5) AS service,
     event_type AS level, 't' || user_id AS trace_id FROM events)"""
 
@@ -141,10 +135,10 @@ def stream_tail(spark, d):
 
 @check(
     "stream_histogram",
-    f"""{STORED_SQL}, b AS (SELECT time_bucket(INTERVAL '6 hours', received_at, TIMESTAMP '1970-01-01') AS at,
+    f"""{STORED_SQL}, b AS (SELECT time_bucket(INTERVAL '6 hours', received_at, TIMESTAMP '1970-01-01') AS start,
           count(*) AS count FROM stored GROUP BY 1)
-        SELECT strftime(at, '%Y-%m-%dT%H:%M:%SZ') AS bucket, count FROM b
-        WHERE at + INTERVAL 6 HOURS <= (SELECT max(received_at) FROM stored)""",
+        SELECT strftime(start, '%Y-%m-%dT%H:%M:%SZ') AS bucket, count FROM b
+        WHERE start + INTERVAL 6 HOURS <= (SELECT max(received_at) FROM stored)""",
 )
 def stream_histogram(spark, d):
     root = stored(spark, d)
