@@ -12,22 +12,27 @@ from pyspark.sql import functions as F
 _SEPARATORS = r"[^\p{L}\p{N}\p{Co}]+"
 
 
+# Letters with a plain form that lower-casing does not reach.
+_PLAIN_FORMS = {"ς": "σ", "µ": "μ", "ſ": "s"}
+
+
 @cache
 def fold_table() -> tuple[str, str]:
     """``translate`` arguments that strip accents from lower-case Latin letters.
 
     The rule: a letter that decomposes into a plain ASCII letter and exactly one combining
-    mark becomes that letter; free-standing combining marks vanish; final sigma is sigma.
+    mark becomes that letter, and the marks found this way vanish where they stand alone.
+    Other marks separate tokens.
     """
-    source, target = ["ς"], ["σ"]
+    plain, marks = dict(_PLAIN_FORMS), set()
     for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
         char = chr(code)
         parts = unicodedata.normalize("NFD", char)
-        if char.lower() == char and len(parts) == 2 and parts[0].isascii():
-            source.append(char)
-            target.append(parts[0])
-    marks = [chr(code) for code in range(0x300, 0x370) if unicodedata.category(chr(code)) == "Mn"]
-    return "".join(source + marks), "".join(target)
+        base = _PLAIN_FORMS.get(parts[0], parts[0])
+        if char.lower() == char and len(parts) == 2 and base.isascii():
+            plain[char] = base
+            marks.add(parts[1])
+    return "".join(plain) + "".join(sorted(marks)), "".join(plain.values())
 
 
 def folded(body: Column) -> Column:
