@@ -31,7 +31,8 @@ def _groups(text: Column, pattern: str, references: str, count: int) -> Column:
 def parse_syslog(df: DataFrame, column: str, as_of: When | Column) -> DataFrame:
     """Add level, service, message, facility, severity, hostname, timestamp and raw.
 
-    RFC 3164 has no year: months more than six ahead of ``as_of`` belong to the year before.
+    RFC 3164 has no year.  Counted forward around the year from ``as_of``, months more than six
+    ahead belong to the year before; this includes the months just past.
     """
     raw = F.col(column)
     now = as_of if isinstance(as_of, Column) else instant(as_of)

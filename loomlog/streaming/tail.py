@@ -42,6 +42,7 @@ def tail_stream(
     """Write matching rows as NDJSON, first those already stored, then each new one.
 
     Every micro-batch is one folder, in id order.  A repeated micro-batch replaces its folder.
+    ``files_per_batch`` bounds a micro-batch; it may divide the files of one write.
     """
     rows = log_filter(
         stored_stream(spark, root, files_per_batch),
