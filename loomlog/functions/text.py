@@ -43,15 +43,14 @@ def folded(body: Column) -> Column:
     return F.when(ascii_only, lower).otherwise(F.translate(lower, source, target))
 
 
-def spaced(folded_text: Column) -> Column:
-    """Tokens joined by single spaces, with one space at both ends."""
-    space = F.lit(" ")
-    return F.concat(space, F.trim(F.regexp_replace(folded_text, _SEPARATORS, " ")), space)
+def token_array(folded_text: Column) -> Column:
+    """Tokens of a folded text, in order."""
+    return F.filter(F.split(folded_text, _SEPARATORS), lambda token: token != "")
 
 
 def tokens(body: Column) -> Column:
-    """Array of the tokens of a body, in order."""
-    return F.filter(F.split(folded(body), _SEPARATORS), lambda token: token != "")
+    """Tokens of a body, in order."""
+    return token_array(folded(body))
 
 
 def query_tokens(text: str) -> list[str]:

@@ -219,20 +219,19 @@ def top_messages(
 def latency_by_service(df: DataFrame, field: str = "ms", accuracy: int = 10_000) -> DataFrame:
     """Requests, greatest latency and 95th percentile per service.
 
-    The percentile is a mergeable sketch, so no group is collected.
+    The percentile is a mergeable sketch, so no group is collected.  Rows without a latency are
+    skipped by the aggregates themselves, which spares a second look into every body.
     """
+    latency = F.try_variant_get(parsed(F.col("body")), f"$.{field}", "double")
     return (
-        df.select(
-            "service",
-            F.try_variant_get(parsed(F.col("body")), f"$.{field}", "double").alias("_ms"),
-        )
-        .filter(F.col("_ms").isNotNull())
+        df.select("service", latency.alias("_ms"))
         .groupBy("service")
         .agg(
-            _rows().alias("requests"),
+            F.count("_ms").alias("requests"),
             F.max("_ms").alias("max_ms"),
             F.percentile_approx("_ms", 0.95, accuracy).alias("p95_ms"),
         )
+        .filter(F.col("requests") > 0)
         .orderBy(F.desc("max_ms"), "service")
     )
 

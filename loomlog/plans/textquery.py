@@ -19,7 +19,7 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomlog.functions.text import folded, query_tokens, spaced
+from loomlog.functions.text import folded, query_tokens, token_array
 
 MAX_QUERY_CHARS = 1000
 DEFAULT_NEAR = 10
@@ -244,23 +244,24 @@ def parse_search(query: str):
 # --- exact condition ----------------------------------------------------------------------
 
 
+# A character of a token, and one between tokens.
+_IN = r"[\p{L}\p{N}\p{Co}]"
+_BETWEEN = r"[^\p{L}\p{N}\p{Co}]"
+
+
 def search_condition(query: str, body: Column) -> Column:
     """True where the body matches.
 
-    A cheap necessary test (every word occurs somewhere in the folded text) runs first, so the
-    token pass is paid only for rows that can still match.
+    The body is folded once.  A cheap necessary test (every word occurs somewhere) comes first;
+    the exact test then stops at the first place that matches.
     """
     tree = parse_search(query)
-    text = folded(body)
-    leaves = _leaves(tree)
-    if not leaves:
+    if not _leaves(tree):
         return F.lit(False)
-    if len(leaves) == 1:
-        exact = _exact(tree, spaced(text))
-    else:
-        # One token pass shared by all leaves.
-        exact = F.exists(F.array(spaced(text)), lambda joined: _exact(tree, joined))
-    return F.coalesce(_possible(tree, text) & exact, F.lit(False))
+    matched = F.exists(
+        F.array(folded(body)), lambda text: _possible(tree, text) & _exact(tree, text)
+    )
+    return F.coalesce(matched, F.lit(False))
 
 
 def _leaves(tree) -> list:
@@ -286,39 +287,39 @@ def _possible(tree, text: Column) -> Column:
     return reduce(and_, [text.contains(word) for word in _words(tree)])
 
 
-def _exact(tree, joined: Column) -> Column:
+def _exact(tree, text: Column) -> Column:
     if isinstance(tree, Both):
-        return _exact(tree.left, joined) & _exact(tree.right, joined)
+        return _exact(tree.left, text) & _exact(tree.right, text)
     if isinstance(tree, Either):
-        return _exact(tree.left, joined) | _exact(tree.right, joined)
+        return _exact(tree.left, text) | _exact(tree.right, text)
     if isinstance(tree, Without):
-        return _exact(tree.left, joined) & ~_exact(tree.right, joined)
+        return _exact(tree.left, text) & ~_exact(tree.right, text)
     if isinstance(tree, Nothing):
         return F.lit(False)
     if isinstance(tree, Near):
-        return _near(tree, joined)
-    return _phrase(tree, joined)
+        return _near(tree, text)
+    return text.rlike(_pattern(tree))
 
 
-def _phrase(phrase: Phrase, joined: Column) -> Column:
-    prefixes = [is_prefix for _, is_prefix in phrase.parts]
-    words = [word for word, _ in phrase.parts]
-    if any(prefixes[:-1]):
-        # Tokens hold only letters and digits, so they are safe inside a pattern.
-        inside = " ".join(word + ("[^ ]*" if is_prefix else "") for word, is_prefix in phrase.parts)
-        start = "^ " if phrase.first else " "
-        return joined.rlike(start + inside + ("" if prefixes[-1] else " "))
-    needle = " " + " ".join(words) + ("" if prefixes[-1] else " ")
-    return joined.startswith(needle) if phrase.first else joined.contains(needle)
+def _pattern(phrase: Phrase) -> str:
+    """The phrase as a pattern.  Tokens hold only letters and digits, so they stand for themselves.
+
+    The look behind follows the first word, so the scan for a start is one for a plain string.
+    """
+    (head, _), *_rest = phrase.parts
+    words = [word + (f"{_IN}*" if is_prefix else "") for word, is_prefix in phrase.parts]
+    words[0] = words[0] if phrase.first else words[0].replace(head, f"{head}(?<!{_IN}{head})", 1)
+    start = rf"\A{_BETWEEN}*" if phrase.first else ""
+    return start + f"{_BETWEEN}+".join(words) + f"(?!{_IN})"
 
 
-def _near(near: Near, joined: Column) -> Column:
+def _near(near: Near, text: Column) -> Column:
     """One pass over the places where a phrase may start.
 
     The pass remembers the last start of every phrase; at a start ``k`` the phrases are near if
     all of them last started within their own length plus the distance before ``k``.
     """
-    return F.exists(F.array(F.split(F.trim(joined), " ")), lambda words: _near_in(near, words))
+    return F.exists(F.array(token_array(text)), lambda words: _near_in(near, words))
 
 
 def _near_in(near: Near, words: Column) -> Column:
