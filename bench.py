@@ -51,18 +51,23 @@ def run(query, spark, sf_dir: str) -> float:
     return time.perf_counter() - started
 
 
-def ingest_rate(spark, sf_dir: str, runs: int) -> tuple[float, float]:
-    """Median seconds to ingest all events as new rows, and events per second."""
+def ingest_rate(spark, sf_dir: str, cpus: int, runs: int) -> tuple[float, float]:
+    """Median seconds to ingest all events from landed text files, and events per second."""
+    from pyspark.sql import functions as F
+
     from loomlog.session import shared_dir
     from loomlog.sinks.store import ingest_batch
+    from loomlog.sources.events import explode_records, read_lines
     from suite.storage import raw_events
 
-    rows = raw_events(spark, sf_dir)
-    total, seconds = rows.count(), []
+    base = f"{shared_dir(spark)}/bench-{os.getpid()}"
+    raw_events(spark, sf_dir).select(F.col("payload").alias("value")).repartition(cpus).write.text(f"{base}/in")
+    lines = read_lines(spark, f"{base}/in")
+    total, seconds = lines.count(), []
     for i in range(runs + 1):
-        root = f"{shared_dir(spark)}/bench-{os.getpid()}-{i}"
+        events = explode_records(lines).drop("problem")
         started = time.perf_counter()
-        ingest_batch(rows, root, 0, earliest="2024-01-01")
+        ingest_batch(events, f"{base}/{i}", 0)
         seconds.append(time.perf_counter() - started)
     median = statistics.median(seconds[1:])
     return median, total / median
@@ -93,7 +98,7 @@ def main() -> None:
         run(suite.QUERIES[name], spark, sf_dir)
         times = [run(suite.QUERIES[name], spark, sf_dir) for _ in range(runs)]
         queries[name] = round(statistics.median(times), 4)
-    seconds, rate = ingest_rate(spark, sf_dir, min(runs, 2))
+    seconds, rate = ingest_rate(spark, sf_dir, int(cpus), min(runs, 3))
     queries["ingest_batch"] = round(seconds, 4)
     spark.stop()
     print(

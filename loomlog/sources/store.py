@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,13 @@ QUARANTINE_DIR = "quarantine"
 TOKENS_DIR = "tokens"
 
 
+def project_root(root: str, project_id: str | None) -> str:
+    """Folder of one project's tables.  A missing project is an error, never all data."""
+    if not project_id or not re.fullmatch(r"[A-Za-z0-9_-]+", project_id):
+        raise ValueError("a project id of letters, digits, '_' and '-' is required")
+    return f"{root}/project_id={project_id}"
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder exists on the file system its path names."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -43,10 +43,10 @@ def parse_syslog(df: DataFrame, column: str, as_of: When | Column) -> DataFrame:
         F.when(priority <= MAX_PRIORITY, priority).alias("_pri"),
         F.regexp_extract(raw, PRIORITY, 2).alias("_rest"),
     )
-    pri, rest = F.col("_pri"), F.col("_rest")
-    modern = pri.isNotNull() & rest.rlike(RFC5424)
-    legacy = pri.isNotNull() & ~rest.rlike(RFC5424) & rest.rlike(RFC3164)
-    fields = head.select(
+    pri, rest, modern = F.col("_pri"), F.col("_rest"), F.col("_is_modern")
+    legacy = pri.isNotNull() & ~modern & rest.rlike(RFC3164)
+    told_apart = head.select("*", (pri.isNotNull() & rest.rlike(RFC5424)).alias("_is_modern"))
+    fields = told_apart.select(
         *df.columns,
         "_pri",
         "_rest",
