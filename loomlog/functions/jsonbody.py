@@ -60,9 +60,14 @@ def first_text(members: Column, keys: tuple[str, ...]) -> Column:
     return F.coalesce(*options)
 
 
-def is_object(variant: Column) -> Column:
-    """True for a JSON object (an empty one included)."""
-    return F.schema_of_variant(variant).startswith("OBJECT")
+def opens_with(text: Column, sign: str) -> Column:
+    """True where the JSON text starts with ``{``, ``[`` or ``"``, i.e. what kind of value it is."""
+    return text.rlike(rf"\A[ \t\r\n]*\{sign}")
+
+
+def is_object(text: Column) -> Column:
+    """True for a valid JSON object (an empty one included)."""
+    return F.coalesce(opens_with(text, "{") & parsed(text).isNotNull(), F.lit(False))
 
 
 def minified(text: Column) -> Column:

@@ -264,8 +264,10 @@ def error_share(df: DataFrame, level: str = "error") -> DataFrame:
 
 def usage_by_month(df: DataFrame, bytes_of: Column, by: str = "project_id") -> DataFrame:
     """Bytes sent and rows written per project and month."""
-    return df.groupBy(by, F.date_format("received_at", "yyyy-MM").alias("month")).agg(
-        F.sum(bytes_of.cast("bigint")).alias("bytes"), _rows().alias("lines")
+    return (
+        df.groupBy(by, F.trunc("received_at", "month").alias("_month"))
+        .agg(F.sum(bytes_of.cast("bigint")).alias("bytes"), _rows().alias("lines"))
+        .select(by, F.date_format("_month", "yyyy-MM").alias("month"), "bytes", "lines")
     )
 
 

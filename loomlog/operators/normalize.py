@@ -70,7 +70,7 @@ def arrival_number() -> Column:
     return F.monotonically_increasing_id()
 
 
-def assign_ids(df: DataFrame, batch_id: int, tasks: int | None = None) -> DataFrame:
+def assign_ids(df: DataFrame, batch_id: int, tasks: int) -> DataFrame:
     """Give rows ids that grow with batch, receive time and arrival.
 
     Rows are range-partitioned by (receive time, arrival), which is unique, so neither one
@@ -78,8 +78,6 @@ def assign_ids(df: DataFrame, batch_id: int, tasks: int | None = None) -> DataFr
     """
     if not 0 <= batch_id < 1 << (63 - PARTITION_BITS - ROW_BITS):
         raise ValueError(f"batch id out of range: {batch_id}")
-    if tasks is None:
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     tasks = max(1, min(tasks, MAX_WRITE_TASKS))
     ordered = df.repartitionByRange(tasks, "received_at", "_arrival").sortWithinPartitions(
         "received_at", "_arrival"

@@ -8,22 +8,22 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys above this share of all rows are spread; at most 1/share of them can exist.
+#: No task should get more than about this share of the rows for one key.
 HEAVY_SHARE = 0.001
-#: Tasks a heavy key is spread over.
-HEAVY_SALTS = 64
 
 
 def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the rows.
+    """Keys holding more than ``share`` of the rows, and into how many parts to split each.
 
     Counts are combined map-side, so the shuffle carries one row per key and task; the total is
-    the sum of the same counts.  By construction the result has fewer than ``1 / share`` rows,
-    whatever the size of ``df``.  NULL keys match nothing and are left out.
+    the sum of the same counts.  By construction there are fewer than ``1 / share`` such keys,
+    and fewer than ``2 / share`` parts in all, whatever the size of ``df``.  NULL keys match
+    nothing and are left out.
     """
     counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    floor = counts.agg((F.sum("_n") * F.lit(share)).alias("floor"))
-    return counts.filter(F.col("_n") > floor.scalar()).select(*keys)
+    floor = counts.agg((F.sum("_n") * F.lit(share)).alias("floor")).scalar()
+    parts = F.ceil(F.col("_n") / floor).cast("int").alias("_parts")
+    return counts.filter(F.col("_n") > floor).select(*keys, parts)
 
 
 def lookup_join(
@@ -33,28 +33,23 @@ def lookup_join(
     spread: Column,
     how: str = "left",
     share: float = HEAVY_SHARE,
-    salts: int = HEAVY_SALTS,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` (at most one row per key) without a hot task.
 
-    Rows of heavy keys get a salt derived from ``spread``; the few lookup rows of those keys
-    are repeated once per salt.  Every other row joins as usual, so the result is that of a
-    plain join.  ``spread`` must differ between rows of one key and be stable under retries.
-    Rows with a NULL key match nothing and are spread too.
+    Rows of a heavy key are split into parts by ``spread``, more parts the heavier the key; the
+    lookup row of such a key is repeated once per part.  Every other row joins as usual, so the
+    result is that of a plain join.  ``spread`` must differ between rows of one key and be stable
+    under retries.  Rows with a NULL key match nothing and are split too.
     """
-    heavy = F.broadcast(heavy_keys(facts, keys, share).withColumn("_heavy", F.lit(True)))
+    heavy = F.broadcast(heavy_keys(facts, keys, share))
     unmatched = reduce(or_, [F.col(key).isNull() for key in keys])
-    salt = F.when(
-        F.col("_heavy") | unmatched, F.pmod(F.xxhash64(spread), F.lit(salts))
-    ).otherwise(F.lit(0))
-    every_salt = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+    parts = F.when(unmatched, F.lit(int(1 / share))).otherwise(F.coalesce("_parts", F.lit(1)))
+    left = facts.join(heavy, keys, "left").withColumn(
+        "_part", F.pmod(F.xxhash64(spread), parts).cast("int")
     )
-    left = facts.join(heavy, keys, "left").withColumn("_salt", salt.cast("int")).drop("_heavy")
-    right = (
-        lookup.join(heavy, keys, "left").withColumn("_salt", F.explode(every_salt)).drop("_heavy")
-    )
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    every_part = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    right = lookup.join(heavy, keys, "left").withColumn("_part", F.explode(every_part))
+    return left.drop("_parts").join(right.drop("_parts"), [*keys, "_part"], how).drop("_part")
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import timedelta
 
@@ -15,6 +16,7 @@ from loomlog.operators.counters import count_deltas
 from loomlog.operators.dedup import WINDOW_SECONDS, content_hash, mark_recent_duplicates
 from loomlog.operators.normalize import arrival_number, assign_ids, normalize
 from loomlog.operators.retention import deletion, excess_cutoff
+from loomlog.operators.tenancy import retention_cutoff
 from loomlog.schema import LOGS
 from loomlog.session import shared_dir
 from loomlog.sources.store import (
@@ -22,10 +24,14 @@ from loomlog.sources.store import (
     FOLDED_DIR,
     LOGS_DIR,
     QUARANTINE_DIR,
+    project_root,
     read_counts,
     read_logs,
 )
 
+#: Body bytes one write task handles; it decides how many files a batch gets.
+TASK_BYTES = 256 * 1024 * 1024
+
 WRITTEN, DUPLICATE, OVERSIZED, MALFORMED = "written", "deduplicated", "oversized", "malformed"
 
 
@@ -99,33 +105,34 @@ def ingest_batch(
     max_row_bytes: int | Column = 0,
     seconds: float = WINDOW_SECONDS,
     exclude_received_at: bool = False,
-    earliest: When | None = None,
     tasks: int | None = None,
 ) -> IngestCounts:
     """Normalise, de-duplicate and append one batch of (payload, received_at).
 
     The batch owns its partitions: a replay after a failure overwrites them and nothing else,
     and the duplicate check never looks at rows of the same batch, so rerunning is harmless.
-    ``earliest`` bounds the receive times of the batch and with them the stored days read.
+    Only stored days from shortly before the batch on are read.  ``tasks`` is the number of
+    write tasks; by default it follows the size of the batch.
     """
     spark = events.sparkSession
-    if earliest is None:
-        earliest = events.agg(iso_millis(F.min("received_at"))).first()[0]
-    if earliest is None:
-        return IngestCounts(0, 0, 0, 0)
-    since = to_instant(earliest) - timedelta(seconds=seconds)
-    stored = read_logs(spark, root, since=since).filter(F.col("batch") != batch_id)
     # Parsed once and kept for the passes below; lost blocks are recomputed from the source.
     rows = measured(events, max_row_bytes).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = rows.agg(
             F.count(F.lit(1)).alias("total"),
+            F.sum("bytes").alias("bytes"),
+            iso_millis(F.min("received_at")).alias("earliest"),
             F.count_if("oversized").alias(OVERSIZED),
             F.count_if(~F.col("well_formed")).alias(MALFORMED),
         ).first()
+        if not counts["total"]:
+            return IngestCounts(0, 0, 0, 0)
+        since = to_instant(counts["earliest"]) - timedelta(seconds=seconds)
+        stored = read_logs(spark, root, since=since).filter(F.col("batch") != batch_id)
         fresh = classify(
             rows, stored, seconds=seconds, exclude_received_at=exclude_received_at
         ).filter(F.col("outcome") == WRITTEN)
+        tasks = tasks or 1 + (counts["bytes"] or 0) // TASK_BYTES
         append_rows(assign_ids(fresh, batch_id, tasks), root, batch_id)
         refused = counts[OVERSIZED] + counts[MALFORMED]
         if refused:
@@ -174,8 +181,10 @@ def append_rows(rows: DataFrame, root: str, batch_id: int) -> None:
 
 
 def _own_partition(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write rows as one partition; the rebalance keeps its files neither tiny nor huge."""
     (
         rows.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        .hint("rebalance")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch")
@@ -201,6 +210,16 @@ def purge_before(spark: SparkSession, root: str, cutoff: When | None) -> int:
     return 0 if cutoff is None else delete_where(spark, root, before=cutoff)
 
 
+def purge_projects(
+    spark: SparkSession, root: str, retention_days: Mapping[str, int], as_of: When
+) -> dict[str, int]:
+    """Apply each project's own retention to its tables; returns the rows deleted per project."""
+    return {
+        project: purge_before(spark, project_root(root, project), retention_cutoff(as_of, days))
+        for project, days in retention_days.items()
+    }
+
+
 def purge_excess(spark: SparkSession, root: str, max_rows: int) -> int:
     """Delete the rows with the smallest ids until at most ``max_rows`` remain."""
     logs = read_logs(spark, root)
@@ -282,5 +301,6 @@ __all__ = [
     "outcome_counts",
     "purge_before",
     "purge_excess",
+    "purge_projects",
     "set_aside",
 ]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.functions.jsonbody import is_object, parsed
+from loomlog.functions.jsonbody import is_object, opens_with, parsed
 from loomlog.functions.text import wide_trim
 
 
@@ -47,13 +47,18 @@ def explode_records(records: DataFrame, max_rows: int | None = None) -> DataFram
     ``empty batch``, ``too many rows`` or ``not an object``; it is NULL for events.
     """
     kept = [name for name in records.columns if name != "payload"]
-    looked_at = records.select(*kept, "payload", parsed(F.col("payload")).alias("_record"))
-    is_array = F.schema_of_variant("_record").startswith("ARRAY")
+    looked_at = records.select(
+        *kept,
+        "payload",
+        parsed(F.col("payload")).isNotNull().alias("_valid"),
+        opens_with(F.col("payload"), "[").alias("_is_array"),
+    )
+    is_array = F.col("_is_array")
     elements = F.from_json("payload", "array<string>")
     too_many = F.size(elements) > max_rows if max_rows else F.lit(False)
     whole = F.array(F.col("payload"))
     problem = (
-        F.when(F.col("_record").isNull(), "malformed json")
+        F.when(~F.col("_valid"), "malformed json")
         .when(is_array & (F.size(elements) == 0), "empty batch")
         .when(is_array & too_many, "too many rows")
     )
@@ -63,7 +68,7 @@ def explode_records(records: DataFrame, max_rows: int | None = None) -> DataFram
         F.when(problem.isNull() & is_array, elements).otherwise(whole).alias("_items"),
     )
     exploded = staged.select(*kept, "_refused", F.posexplode("_items").alias("index", "payload"))
-    fine = F.coalesce(is_object(parsed(F.col("payload"))), F.lit(False))
+    fine = is_object(F.col("payload"))
     return exploded.select(
         *kept,
         F.col("index").cast("bigint").alias("index"),
@@ -86,7 +91,7 @@ def split_events(exploded: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def logger_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Newline-delimited logger output: JSON objects, and the malformed lines set aside."""
-    fine = F.coalesce(is_object(parsed(F.col("payload"))), F.lit(False))
+    fine = is_object(F.col("payload"))
     refused = lines.filter(~fine).select(
         F.lit(None).cast("bigint").alias("index"),
         F.octet_length("payload").cast("bigint").alias("bytes"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.hashing import hmac_hex
-from loomlog.functions.jsonbody import json_fields, parsed, put_fields
+from loomlog.functions.jsonbody import json_fields, opens_with, parsed, put_fields
 from loomlog.functions.text import wide_trim
 
 # Providers, their signature headers, and the replay window in seconds.
@@ -75,21 +75,24 @@ def delivery_events(deliveries: DataFrame) -> tuple[DataFrame, DataFrame]:
     looked_at = deliveries.select(
         *kept,
         F.when(F.octet_length("raw") == 0, "null").otherwise(text).alias("_text"),
-    ).select("*", parsed(F.col("_text")).alias("_value"))
-    kind = F.schema_of_variant("_value")
+    ).select(
+        "*",
+        parsed(F.col("_text")).isNotNull().alias("_valid"),
+        opens_with(F.col("_text"), "[").alias("_is_array"),
+    )
     known = F.col("provider").isin(*SIGNATURE_HEADERS)
-    is_array = kind.startswith("ARRAY")
+    is_array = F.col("_is_array")
     elements = F.from_json("_text", "array<string>")
     own = json_fields(_provider=F.col("provider"))
     wrapped = F.concat(
         F.lit('{"payload":'), wide_trim(F.col("_text")), F.lit(","), F.substring(own, 2, 1 << 20)
     )
     single = F.when(
-        kind.startswith("OBJECT"), put_fields(F.col("_text"), own, ("_provider",))
+        opens_with(F.col("_text"), "{"), put_fields(F.col("_text"), own, ("_provider",))
     ).otherwise(wrapped)
     reason = (
         F.when(~known, "unknown provider")
-        .when(F.col("_value").isNull(), "invalid json")
+        .when(~F.col("_valid"), "invalid json")
         .when(is_array & (F.size(elements) == 0), "empty body")
     )
     staged = looked_at.select(

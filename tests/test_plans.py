@@ -76,7 +76,8 @@ def skewed(spark):
 
 
 def test_heavy_keys_are_few(skewed):
-    assert [r["key"] for r in heavy_keys(skewed, ["key"], 0.01).collect()] == ["hot"]
+    (hot,) = heavy_keys(skewed, ["key"], 0.01).collect()
+    assert hot["key"] == "hot" and 33 <= hot["_parts"] <= 36
     assert heavy_keys(skewed, ["key"], 0.5).count() == 0
 
 
@@ -86,7 +87,7 @@ def test_heavy_keys_are_spread_and_nothing_is_lost(spark, skewed):
     spark.conf.set("spark.sql.shuffle.partitions", "32")
     try:
         lookup = skewed.groupBy("key").agg(F.max("id").alias("top"))
-        joined = lookup_join(skewed, lookup, ["key"], F.col("id"), share=0.01, salts=16)
+        joined = lookup_join(skewed, lookup, ["key"], F.col("id"), share=0.01)
         got = joined.withColumn("p", F.spark_partition_id()).collect()
         plain = skewed.join(lookup, "key", "left").select("id", "top").collect()
     finally:
@@ -98,7 +99,7 @@ def test_heavy_keys_are_spread_and_nothing_is_lost(spark, skewed):
     for row in got:
         if row["key"] == "hot":
             per_task[row["p"]] = per_task.get(row["p"], 0) + 1
-    assert len(per_task) > 8 and max(per_task.values()) < 1500
+    assert len(per_task) > 8 and max(per_task.values()) < 600
 
 
 def test_duplicates_under_skew(skewed):

@@ -9,7 +9,7 @@ from loomlog.operators.retention import excess_cutoff, kept_rows, newest_rows
 from loomlog.schema import ROW_COLUMNS
 from loomlog.sinks import store
 from loomlog.sinks.exports import export_csv, export_everything, export_ndjson
-from loomlog.sources.store import read_counts, read_logs
+from loomlog.sources.store import project_root, read_counts, read_logs
 from tests.conftest import at
 
 
@@ -164,6 +164,18 @@ def test_interrupted_rewrite_loses_nothing(spark, events, tmp_path, monkeypatch)
     assert numbers(spark, root) == list(range(30, 72))
 
 
+def test_each_project_has_its_retention(spark, events, tmp_path):
+    root = str(tmp_path)
+    for project in ("p1", "p2"):
+        filled(events, project_root(root, project))
+    gone = store.purge_projects(spark, root, {"p1": 1, "p2": 0, "p3": 5}, "2024-01-03T12:00:00Z")
+    assert gone == {"p1": 36, "p2": 0, "p3": 0}
+    assert numbers(spark, project_root(root, "p2")) == list(range(72))
+    for bad in ("", None, "../p1"):
+        with pytest.raises(ValueError):
+            project_root(root, bad)
+
+
 def test_folding_counters_keeps_the_totals(spark, events, tmp_path):
     root = str(tmp_path)
     filled(events, root)

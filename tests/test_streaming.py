@@ -3,6 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from loomlog.functions.instants import event_time
+from loomlog.functions.jsonbody import parsed
 from loomlog.operators.aggregates import histogram
 from loomlog.operators.counters import log_counts
 from loomlog.sinks.store import ingest_batch
@@ -53,7 +55,8 @@ def test_tail_continues_where_it_stopped(spark, paths):
 
 def test_tail_in_small_steps(spark, paths):
     root, state, out = paths
-    add(spark, root, 0, *[(f"2024-01-01T00:00:0{i}", {"i": i}) for i in range(8)])
+    for batch in (0, 1):
+        add(spark, root, batch, *[(f"2024-01-01T00:00:0{i}", {"i": batch * 4 + i}) for i in range(4)])
     tail_stream(spark, root, str(out), state, available_now=True, files_per_batch=1).awaitTermination()
     assert len(list(out.glob("batch=*"))) > 1
     assert sorted(json.loads(r["body"])["i"] for r in emitted(out)) == list(range(8))
@@ -129,3 +132,32 @@ def test_stream_equals_batch(spark, paths, tmp_path):
         running.drop_copies_in_window(stream.withColumn("k", F.lit("same")), key="k").select("k"), "append", "once"
     )
     assert 1 <= len(once) <= 2
+
+
+def test_late_events_by_their_own_time(spark, paths, tmp_path):
+    """Producers' times arrive out of order; the watermark decides what is too late."""
+    _, state, _ = paths
+    landing = tmp_path / "in"
+    landing.mkdir()
+    stream = (
+        read_lines(spark, str(landing), streaming=True, max_files=1)
+        .withColumn("event_time", event_time(parsed(F.col("payload"))))
+    )
+    counts = running.windowed_counts(stream, "5m", lateness="10 minutes", time="event_time")
+
+    def step(name, *times):
+        (landing / name).write_text("".join(f'{{"ts":"2024-01-01T{t}:00Z"}}\n' for t in times))
+        query = (
+            counts.writeStream.format("json").outputMode("append").option("path", str(tmp_path / "windows"))
+            .option("checkpointLocation", state).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+
+    step("1", "10:00", "10:01", "10:07")
+    step("2", "10:02", "10:30")  # still in time
+    step("3", "10:03", "10:31")  # the first window is closed by now
+    step("4", "11:00")
+    rows = spark.read.schema("bucket STRING, count BIGINT").json(str(tmp_path / "windows")).collect()
+    assert sorted(map(tuple, rows)) == [
+        ("2024-01-01T10:00:00Z", 3), ("2024-01-01T10:05:00Z", 1), ("2024-01-01T10:30:00Z", 2)
+    ]
