@@ -24,8 +24,11 @@ from loomlog.sources.store import (
     FOLDED_DIR,
     LOGS_DIR,
     QUARANTINE_DIR,
+    folders,
     project_root,
+    read_batch,
     read_counts,
+    read_days,
     read_logs,
 )
 
@@ -122,6 +125,7 @@ def ingest_batch(
             F.count(F.lit(1)).alias("total"),
             F.sum("bytes").alias("bytes"),
             iso_millis(F.min("received_at")).alias("earliest"),
+            iso_millis(F.max("received_at")).alias("latest"),
             F.count_if("oversized").alias(OVERSIZED),
             F.count_if(~F.col("well_formed")).alias(MALFORMED),
         ).first()
@@ -139,7 +143,7 @@ def ingest_batch(
             _own_partition(set_aside(rows), f"{root}/{QUARANTINE_DIR}", batch_id)
     finally:
         rows.unpersist()
-    own = read_logs(spark, root).filter(F.col("batch") == batch_id)
+    own = read_batch(spark, root, batch_id, counts["earliest"], counts["latest"])
     _own_partition(count_deltas(own), f"{root}/{COUNTS_DIR}", batch_id)
     written = own.count()
     return IngestCounts(
@@ -242,7 +246,7 @@ def _rewrite(spark: SparkSession, root: str, going: DataFrame, keep: Column) ->
     if not touched:
         return 0
     days = [day for day, _ in touched]
-    logs = read_logs(spark, root).filter(F.col("dt").between(min(days), max(days)))
+    logs = read_days(spark, root, min(days), max(days))
     total = {
         (row["dt"], row["batch"]): row["n"]
         for row in logs.groupBy("dt", "batch")
@@ -278,16 +282,22 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def fold_counts(spark: SparkSession, root: str, up_to_batch: int) -> None:
-    """Fold the counter deltas of old batches into one sum, so readers open few files.
+    """Fold the counter deltas of finished batches into one sum, so readers open few files.
 
-    The sum lies apart under the last batch it covers and readers skip the batches it covers,
-    so an interrupted run neither loses nor doubles a count.
+    The sum lies apart under the last batch it covers, and readers skip the batches it covers,
+    so an interrupted run neither loses nor doubles a count.  What it covers is then removed.
     """
     old = read_counts(spark, root).filter(F.col("batch") <= up_to_batch)
     stage = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
     old.groupBy("service", "level").agg(F.sum("count").alias("count")).write.parquet(stage)
     _own_partition(spark.read.parquet(stage), f"{root}/{FOLDED_DIR}", up_to_batch)
     _remove(spark, stage)
+    for name in folders(spark, f"{root}/{COUNTS_DIR}"):
+        if name.startswith("batch=") and int(name[6:]) <= up_to_batch:
+            _remove(spark, f"{root}/{COUNTS_DIR}/{name}")
+    for name in folders(spark, f"{root}/{FOLDED_DIR}"):
+        if name.startswith("batch=") and int(name[6:]) < up_to_batch:
+            _remove(spark, f"{root}/{FOLDED_DIR}/{name}")
 
 
 __all__ = [

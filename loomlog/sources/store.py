@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.functions.instants import When
+from loomlog.functions.instants import When, to_instant
 from loomlog.plans.predicates import all_of, time_bounds
 from loomlog.schema import COUNT_DELTAS, STORED_LOGS
 
@@ -31,18 +31,54 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def read_logs(
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under a path; only this one level is listed."""
+    if not path_exists(spark, path):
+        return []
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
+    return sorted(entry.getPath().getName() for entry in found if entry.isDirectory())
+
+
+def day_folders(
     spark: SparkSession, root: str, since: When | None = None, until: When | None = None
-) -> DataFrame:
-    """Stored rows within inclusive time bounds; days outside them are never listed or read."""
+) -> list[str]:
+    """Paths of the stored days within the bounds."""
+    first = f"dt={to_instant(since).date()}" if since else "dt="
+    last = f"dt={to_instant(until).date()}" if until else "dt=9999-12-31"
     path = f"{root}/{LOGS_DIR}"
-    if not path_exists(spark, path):
+    return [f"{path}/{name}" for name in folders(spark, path) if first <= name <= last]
+
+
+def _read_folders(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    if not paths:
         return spark.createDataFrame([], STORED_LOGS)
-    df = spark.read.schema(STORED_LOGS).parquet(path)
+    reader = spark.read.schema(STORED_LOGS).option("basePath", f"{root}/{LOGS_DIR}")
+    return reader.parquet(*paths)
+
+
+def read_logs(
+    spark: SparkSession, root: str, since: When | None = None, until: When | None = None
+) -> DataFrame:
+    """Stored rows within inclusive time bounds; days outside them are neither listed nor read."""
+    df = _read_folders(spark, root, day_folders(spark, root, since, until))
     bounds = time_bounds(df, since, until)
     return df.filter(all_of(bounds)) if bounds else df
 
 
+def read_days(spark: SparkSession, root: str, first: When, last: When) -> DataFrame:
+    """All rows of the stored days from ``first`` to ``last``."""
+    return _read_folders(spark, root, day_folders(spark, root, first, last))
+
+
+def read_batch(
+    spark: SparkSession, root: str, batch_id: int, since: When | None = None, until: When | None = None
+) -> DataFrame:
+    """Rows of one write batch, looked for only in the days within the bounds."""
+    paths = [f"{day}/batch={batch_id}" for day in day_folders(spark, root, since, until)]
+    return _read_folders(spark, root, [path for path in paths if path_exists(spark, path)])
+
+
 def read_counts(spark: SparkSession, root: str) -> DataFrame:
     """Counter deltas: the latest folded sum, and the batches after it."""
     path, folded_path = f"{root}/{COUNTS_DIR}", f"{root}/{FOLDED_DIR}"

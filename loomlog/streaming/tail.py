@@ -19,12 +19,21 @@ from loomlog.sources.store import LOGS_DIR
 HEARTBEAT = "5 seconds"
 
 
-def stored_stream(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
-    """The stored table as a stream of newly written files."""
+def stored_stream(
+    spark: SparkSession, root: str, files_per_batch: int | None = None, days: str | None = None
+) -> DataFrame:
+    """The stored table as a stream of newly written files.
+
+    Every trigger lists what is watched; ``days``, a pattern such as ``2024-0[3-9]-*``, keeps a
+    long history out of that.
+    """
+    path = f"{root}/{LOGS_DIR}"
     reader = spark.readStream.schema(STORED_LOGS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{root}/{LOGS_DIR}")
+    if days:
+        return reader.option("basePath", path).parquet(f"{path}/dt={days}")
+    return reader.parquet(path)
 
 
 def tail_stream(
@@ -37,6 +46,7 @@ def tail_stream(
     level: str | None = None,
     after_id: int | None = None,
     files_per_batch: int | None = None,
+    days: str | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Write matching rows as NDJSON, first those already stored, then each new one.
@@ -45,7 +55,7 @@ def tail_stream(
     ``files_per_batch`` bounds a micro-batch; it may divide the files of one write.
     """
     rows = log_filter(
-        stored_stream(spark, root, files_per_batch),
+        stored_stream(spark, root, files_per_batch, days),
         service=service,
         level=level,
         after_id=after_id,

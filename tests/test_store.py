@@ -9,7 +9,7 @@ from loomlog.operators.retention import excess_cutoff, kept_rows, newest_rows
 from loomlog.schema import ROW_COLUMNS
 from loomlog.sinks import store
 from loomlog.sinks.exports import export_csv, export_everything, export_ndjson
-from loomlog.sources.store import project_root, read_counts, read_logs
+from loomlog.sources.store import day_folders, project_root, read_batch, read_counts, read_logs
 from tests.conftest import at
 
 
@@ -57,6 +57,17 @@ def test_ingest_lifts_and_stamps(spark, events, tmp_path):
     assert read_logs(spark, root, since="2024-01-02").count() == 0
 
 
+def test_only_wanted_days_are_listed(spark, events, tmp_path):
+    root = str(tmp_path)
+    filled(events, root)
+    assert [p[-10:] for p in day_folders(spark, root, "2024-01-02", "2024-01-02T23:00Z")] == ["2024-01-02"]
+    part = read_logs(spark, root, since="2024-01-02T12:00:00Z")
+    assert part.count() == 36 and all("2024-01-01" not in f for f in part.inputFiles())
+    assert read_logs(spark, root, since="2024-02-01").count() == 0
+    assert read_batch(spark, root, 1).count() == 24
+    assert read_batch(spark, root, 1, "2024-01-03").count() == 0
+
+
 def test_duplicates(spark, events, tmp_path):
     root = str(tmp_path)
     ingest = lambda batch, *rows, **k: store.ingest_batch(events(*rows), root, batch, **k)
@@ -186,6 +197,7 @@ def test_folding_counters_keeps_the_totals(spark, events, tmp_path):
     store.fold_counts(spark, root, 2)
     assert totals() == before
     assert read_counts(spark, root).count() == 2
+    assert not list(tmp_path.glob("counts/batch=*")) and len(list(tmp_path.glob("counts_folded/batch=*"))) == 1
     store.ingest_batch(events(("2024-01-04T00:00:00", {"service": "a"})), root, 3)
     assert sum(t[2] for t in totals()) == 73
 

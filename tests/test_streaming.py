@@ -70,6 +70,13 @@ def test_tail_from_a_cursor(spark, paths):
     assert [json.loads(r["body"])["i"] for r in emitted(out)] == [3, 4]
 
 
+def test_tail_of_some_days(spark, paths):
+    root, state, out = paths
+    add(spark, root, 0, *[(f"2024-01-0{i}T00:00:00", {"i": i}) for i in range(1, 6)])
+    tail_stream(spark, root, str(out), state, days="2024-01-0[34]", available_now=True).awaitTermination()
+    assert [json.loads(r["body"])["i"] for r in emitted(out)] == [3, 4]
+
+
 def test_json_ingest(spark, paths, tmp_path):
     root, state, _ = paths
     landing = tmp_path / "in"
