@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,8 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> Da
     and fewer than ``2 / share`` parts in all, whatever the size of ``df``.  NULL keys match
     nothing and are left out.
     """
-    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    matchable = df.filter(reduce(and_, [F.col(key).isNotNull() for key in keys]))
+    counts = matchable.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     floor = counts.agg((F.sum("_n") * F.lit(share)).alias("floor")).scalar()
     parts = F.ceil(F.col("_n") / floor).cast("int").alias("_parts")
     return counts.filter(F.col("_n") > floor).select(*keys, parts)
