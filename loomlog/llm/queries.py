@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import exact, simhash
+from loomlog.llm import exact, simhash, tokenfiles, warc
+from loomlog.llm.common import staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,13 +21,30 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = staging_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    found = warc.read_archives(spark, folder).withColumnRenamed("kind", "record_type")
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.filter("record_type <> 'gap'").select(*columns)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = staging_path(spark, "ids")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    tokenfiles.write_ids(table(spark, sf_dir, "documents"), folder, vocabulary)
+    return tokenfiles.read_ids(spark, folder)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
+    "op7_token_ids": op7_token_ids,
 }
 
 ORACLES: dict[str, str] = {
@@ -42,5 +61,18 @@ SELECT doc_id,
        text_sha256
 FROM d
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
+""",
+    "op5_warc": """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), g AS (
+    SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+           max(page_id) OVER (PARTITION BY sha1(html)) AS latest
+    FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN latest END AS refers_to
+FROM g
 """,
 }
