@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import exact, simhash, tokenfiles, warc
+from loomlog.llm import exact, ngram, simhash, tokenfiles, warc
 from loomlog.llm.common import staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = staging_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -42,6 +46,7 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_lm_score": op2_lm_score,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_token_ids": op7_token_ids,
