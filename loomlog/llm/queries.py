@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import exact, ngram, simhash, tokenfiles, warc
+from loomlog.llm import exact, ngram, pieces, simhash, tokenfiles, warc
 from loomlog.llm.common import staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,12 +44,19 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_ids(spark, folder)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.encode(table(spark, sf_dir, "documents"), model, keep_ids=False)
+    return found.select("doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip")
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_score": op2_lm_score,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_token_ids": op7_token_ids,
+    "op8_sentencepiece": op8_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
