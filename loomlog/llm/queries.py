@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomlog.llm import exact, ngram, pieces, simhash, tokenfiles, warc
+from loomlog.llm import exact, ngram, pieces, simhash, tokenfiles, toxicity, warc
 from loomlog.llm.common import staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +51,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_score": op2_lm_score,
@@ -57,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op6_simhash": op6_simhash,
     "op7_token_ids": op7_token_ids,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
