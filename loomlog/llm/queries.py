@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import exact, ngram, pieces, simhash, tokenfiles, toxicity, warc
+from loomlog.llm import exact, ngram, pieces, privacy, simhash, tokenfiles, toxicity, warc
 from loomlog.llm.common import staging_path
 
+#: Key of the test queries; real runs pass their own secret.
+SURROGATE_KEY = "test-key"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -56,6 +59,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    kinds = [F.expr(f"size(filter(entities, e -> e.kind = '{kind}'))").alias(f"n_{kind}") for kind in privacy.KINDS]
+    return found.select("doc_id", F.size("entities").alias("n_entities"), *kinds, "text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_score": op2_lm_score,
@@ -64,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op7_token_ids": op7_token_ids,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
