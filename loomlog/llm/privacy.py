@@ -22,7 +22,7 @@ KINDS: dict[str, str] = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "person": rf"\b(?:{_MALE}|{_FEMALE}|{_EITHER})\b\.?[  ](?:\p{{Lu}}{_LETTER}+)(?:[  ]\p{{Lu}}{_LETTER}+){{0,2}}",
+    "person": rf"\b(?:{_MALE}|{_FEMALE}|{_EITHER})\b\.?[ \xA0]{_NAME}(?:[ \xA0]{_NAME}){{0,2}}",
 }
 ANY = "|".join(f"(?:{pattern})" for pattern in KINDS.values())
 
@@ -60,7 +60,7 @@ def find_entities(text: str = "text") -> Column:
 def _value() -> Column:
     """The part of the entity that is replaced: without the name of a secret or a title."""
     secret = F.regexp_extract("raw", r"""[:=]\s{0,3}["']?(.+)$""", 1)
-    person = F.regexp_extract("raw", rf"^(?:{_MALE}|{_FEMALE}|{_EITHER})\.?[  ](.+)$", 1)
+    person = F.regexp_extract("raw", rf"^(?:{_MALE}|{_FEMALE}|{_EITHER})\.?[ \xA0](.+)$", 1)
     return F.when(F.col("kind") == "secret", secret).when(F.col("kind") == "person", person).otherwise(F.col("raw"))
 
 
