@@ -1,11 +1,14 @@
-"""One guarded SELECT over the log table."""
+"""One guarded SELECT over the log table, checked and adapted on its parsed plan."""
 
 from __future__ import annotations
 
 import re
 import uuid
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomlog.functions.args import page_limit
 from loomlog.session import prepare
@@ -13,74 +16,343 @@ from loomlog.session import prepare
 #: Names a statement may read: the rows, and (rowid, body) under the text table's name.
 READABLE = ("logs", "logs_fts")
 
-_SELECT = re.compile(r"\s*select\b", re.IGNORECASE)
-_RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
-_TABLE_FUNCTION = re.compile(r"UnresolvedTableValuedFunction \[([^\]]*)\]")
-# Functions that run arbitrary methods of the JVM.
-_CALLS_OUT = re.compile(r"\b(reflect|java_method|try_reflect)\b`?\s*\(", re.IGNORECASE)
-
-# SQL functions for statements written in the common dialect of small log stores.  They are
-# inlined into the plan as native expressions.
-_COMPATIBILITY = (
-    """CREATE OR REPLACE TEMPORARY FUNCTION json_extract(body STRING, path STRING)
-       RETURNS STRING RETURN get_json_object(body, path)""",
-    """CREATE OR REPLACE TEMPORARY FUNCTION json_number(body STRING, path STRING)
-       RETURNS DOUBLE RETURN try_cast(get_json_object(body, path) AS DOUBLE)""",
-    """CREATE OR REPLACE TEMPORARY FUNCTION strftime(format STRING, at TIMESTAMP)
-       RETURNS STRING RETURN CASE WHEN format = '%s' THEN CAST(unix_seconds(at) AS STRING)
-         ELSE date_format(at, replace(replace(replace(replace(replace(replace(replace(replace(
-           format, 'T', "'T'"), 'Z', "'Z'"), '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'), '%H', 'HH'),
-           '%M', 'mm'), '%S', 'ss')) END""",
+#: Kinds of plan nodes a statement may be made of.
+PLAN_NODES = frozenset(
+    "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Union Intersect Except Distinct "
+    "SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation UnresolvedHaving UnresolvedWith "
+    "WithWindowDefinition OneRowRelation".split()
+)
+
+#: Functions a statement may call; operators and casts are not functions.
+FUNCTIONS = frozenset(
+    "count count_if sum avg mean min max min_by max_by first last any_value stddev stddev_pop stddev_samp "
+    "variance var_pop var_samp median percentile percentile_approx approx_percentile approx_count_distinct "
+    "collect_list collect_set array_agg listagg string_agg bool_and bool_or every some corr "
+    "row_number rank dense_rank percent_rank cume_dist ntile lag lead first_value last_value nth_value "
+    "abs sign round bround floor ceil ceiling sqrt power pow exp ln log log2 log10 mod pmod greatest least "
+    "lower upper lcase ucase length char_length octet_length substr substring left right trim ltrim rtrim "
+    "replace translate reverse repeat lpad rpad instr position locate concat concat_ws split split_part "
+    "contains startswith endswith regexp regexp_like regexp_extract regexp_replace regexp_count format_string "
+    "printf initcap ascii hex unhex md5 sha1 sha2 crc32 size cardinality array_contains element_at "
+    "coalesce ifnull nvl nvl2 nullif if iff isnull isnotnull between typeof "
+    "date to_date to_timestamp date_trunc trunc date_add date_sub date_format datediff year month day "
+    "dayofmonth dayofweek dayofyear hour minute second quarter weekofyear unix_timestamp unix_seconds "
+    "unix_millis timestamp_seconds timestamp_millis from_unixtime current_timestamp current_date now "
+    "get_json_object json_array_length json_extract json_number strftime datetime".split()
 )
 
+_SELECT = re.compile(r"\s*select\b", re.IGNORECASE)
+_COMPARISONS = frozenset("EqualTo EqualNullSafe GreaterThan GreaterThanOrEqual LessThan LessThanOrEqual In".split())
+_ARITHMETIC = frozenset("Add Subtract Multiply Divide IntegralDivide Remainder UnaryMinus UnaryPositive Abs".split())
+#: Text of a JSON value, numbers and booleans first: what the reference dialect orders by.
+_RANKED = T.StructType().add("kind", "integer").add("number", "double").add("text", "string")
+
+#: strftime's letters as patterns of date_format; %s and %w are no patterns.
+_LETTERS = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "f": "ss.SSS", "j": "DDD", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "R": "HH:mm"}
+
 
 class SqlRefused(ValueError):
     """The statement is not one the guard lets through."""
 
 
-def install_functions(spark: SparkSession) -> None:
-    """Register ``json_extract``, ``json_number`` and ``strftime`` in this session."""
-    for statement in _COMPATIBILITY:
-        spark.sql(statement)
+def _items(seq: JavaObject) -> list[JavaObject]:
+    return [seq.apply(i) for i in range(seq.size())]
 
 
-def check_select(spark: SparkSession, sql: str) -> str:
-    """Return the statement if it is a single SELECT over readable tables.
+def _kind(node: JavaObject) -> str:
+    return node.getClass().getSimpleName()
 
-    Tables are taken from the parsed plan, sub-queries included, so quoting, comma joins and
-    paths in place of names do not get past the check.
-    """
+
+class _Guard:
+    """Checks every node of a parsed plan, then rebuilds the parts that need typed JSON values."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm = spark._jvm
+        self.parser = spark._jsparkSession.sessionState().sqlParser()
+
+    # -- checks
+
+    def check(self, plan: JavaObject, names: frozenset[str], parent: JavaObject | None = None) -> None:
+        kind = _kind(plan)
+        if kind not in PLAN_NODES:
+            raise SqlRefused(f"the statement has a part that is not allowed: {kind}")
+        if kind == "UnresolvedRelation":
+            parts = [str(part) for part in _items(plan.multipartIdentifier())]
+            if len(parts) != 1 or parts[0].lower() not in names:
+                raise SqlRefused(f"only {READABLE[0]} can be read, not {'.'.join(parts)}")
+        if kind == "UnresolvedWith":
+            for relation in _items(plan.cteRelations()):
+                self.check(relation._2(), names)
+                names = names | {str(relation._1()).lower()}
+        if kind == "Join":
+            self.check_join(plan, parent)
+        for expression in _items(plan.expressions()):
+            self.check_expression(expression, names)
+        for child in _items(plan.children()):
+            self.check(child, names, plan)
+
+    def check_join(self, join: JavaObject, parent: JavaObject | None) -> None:
+        """A join needs an equality of columns, in its condition, by USING, or in the WHERE above."""
+        kind = join.joinType().toString()
+        if "Using" in kind or "Natural" in kind:
+            return
+        found = [join.condition().get()] if join.condition().isDefined() else []
+        if parent is not None and _kind(parent) == "Filter" and "Inner" in kind:
+            found.append(parent.condition())
+        if not any(self.has_equality(condition) for condition in found):
+            raise SqlRefused("a join needs an equality of columns")
+
+    def has_equality(self, condition: JavaObject) -> bool:
+        parts = _items(condition.children())
+        if _kind(condition) == "And":
+            return any(self.has_equality(part) for part in parts)
+        return _kind(condition) == "EqualTo" and all(self.has_column(part) for part in parts)
+
+    def has_column(self, expression: JavaObject) -> bool:
+        return _kind(expression) == "UnresolvedAttribute" or any(self.has_column(c) for c in _items(expression.children()))
+
+    def check_expression(self, expression: JavaObject, names: frozenset[str]) -> None:
+        kind = _kind(expression)
+        if kind == "UnresolvedFunction":
+            parts = [str(part) for part in _items(expression.nameParts())]
+            if len(parts) != 1 or parts[0].lower() not in FUNCTIONS:
+                raise SqlRefused(f"the function {'.'.join(parts)} is not allowed")
+        elif "Identifier" in kind or "Subquery" in kind and kind not in ("ScalarSubquery", "InSubquery"):
+            raise SqlRefused(f"the statement has a part that is not allowed: {kind}")
+        elif kind in ("ScalarSubquery", "Exists", "ListQuery"):
+            self.check(expression.plan(), names)
+        for child in _items(expression.children()):
+            self.check_expression(child, names)
+
+    # -- typed JSON values
+
+    def parsed(self, text: str, **holes: JavaObject) -> JavaObject:
+        """An expression of SQL text in which the named columns are replaced."""
+        return self.fill(self.parser.parseExpression(text), holes)
+
+    def fill(self, expression: JavaObject, holes: dict[str, JavaObject]) -> JavaObject:
+        if _kind(expression) == "UnresolvedAttribute" and expression.name() in holes:
+            return holes[expression.name()]
+        return self.with_children(expression, [self.fill(c, holes) for c in _items(expression.children())])
+
+    def seq(self, items: list[JavaObject]) -> JavaObject:
+        held = self.jvm.java.util.ArrayList()
+        for item in items:
+            held.add(item)
+        return self.jvm.PythonUtils.toSeq(held)
+
+    def with_children(self, node: JavaObject, children: list[JavaObject]) -> JavaObject:
+        return node.withNewChildren(self.seq(children)) if children else node
+
+    def function(self, expression: JavaObject) -> str:
+        return str(expression.nameParts().apply(0)).lower() if _kind(expression) == "UnresolvedFunction" else ""
+
+    def is_json(self, expression: JavaObject) -> bool:
+        return self.function(expression) == "json_extract"
+
+    def json(self, expression: JavaObject, form: str) -> JavaObject:
+        """A json_extract call as ``text``, ``number`` or ``ranked`` value."""
+        arguments = _items(expression.arguments())
+        if len(arguments) != 2:
+            raise SqlRefused("json_extract takes a body and a path")
+        body, path = (self.expression(a) for a in arguments)
+        text = "get_json_object(body_, path_)"
+        if form == "text":
+            return self.parsed(text, body_=body, path_=path)
+        number = f"try_cast({text} AS DOUBLE)"
+        if form == "number":
+            return self.parsed(number, body_=body, path_=path)
+        value = "try_variant_get(try_parse_json(body_), path_, 'variant')"
+        kind = f"schema_of_variant({value})"
+        number = f"CASE WHEN {kind} = 'BOOLEAN' THEN CAST({text} = 'true' AS DOUBLE) ELSE {number} END"
+        return self.parsed(
+            f"CASE WHEN {text} IS NULL THEN NULL WHEN {kind} RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)' "
+            f"THEN named_struct('kind', 0, 'number', {number}, 'text', '') "
+            f"ELSE named_struct('kind', 1, 'number', 0D, 'text', {text}) END", body_=body, path_=path,
+        )
+
+    def comparable(self, expression: JavaObject) -> JavaObject:
+        """The other side of a comparison with a JSON value."""
+        if self.is_json(expression):
+            return self.json(expression, "ranked")
+        inner = expression
+        while _kind(inner) in ("UnaryMinus", "UnaryPositive"):
+            inner = inner.children().apply(0)
+        if _kind(inner) != "Literal":
+            raise SqlRefused("json_extract can be compared with literals and json_extract; use json_number for others")
+        if inner.dataType().simpleString() == "string":
+            return self.parsed("named_struct('kind', 1, 'number', 0D, 'text', value_)", value_=expression)
+        return self.parsed("named_struct('kind', 0, 'number', CAST(value_ AS DOUBLE), 'text', '')", value_=expression)
+
+    def expression(self, expression: JavaObject) -> JavaObject:
+        """The expression with its compatibility functions in native form."""
+        kind, name, children = _kind(expression), self.function(expression), _items(expression.children())
+        if self.is_json(expression):
+            return self.json(expression, "text")
+        if name == "json_number":
+            return self.json(expression, "number")
+        if name == "strftime":
+            return self.strftime(_items(expression.arguments()))
+        if name == "datetime":
+            return self.parsed("date_format(at_, 'yyyy-MM-dd HH:mm:ss')", at_=self.instant(_items(expression.arguments())))
+        if kind in ("ScalarSubquery", "Exists", "ListQuery"):
+            return expression.withNewPlan(self.rebuilt(expression.plan()))
+        holds_json = any(self.is_json(child) for child in children)
+        if holds_json and (kind in _COMPARISONS or name == "between"):
+            return self.with_children(expression, [self.comparable(child) for child in children])
+        if kind == "UnresolvedAlias" and holds_json:
+            shown = children[0].sql().replace("`", "``")
+            return self.parsed(f"value_ AS `{shown}`", value_=self.json(children[0], "ranked"))
+        form = None
+        if name in ("min", "max") or kind in ("SortOrder", "Alias"):
+            form = "ranked"
+        elif name in ("sum", "avg", "mean") or kind in _ARITHMETIC:
+            form = "number"
+        rebuilt = [self.json(c, form) if form and self.is_json(c) else self.expression(c) for c in children]
+        return self.with_children(expression, rebuilt)
+
+    def instant(self, arguments: list[JavaObject]) -> JavaObject:
+        """A time value: a timestamp or text, or seconds where the modifier says so."""
+        at, *modifiers = arguments
+        for modifier in modifiers:
+            if _kind(modifier) != "Literal" or str(modifier.value()).lower() not in ("unixepoch", "utc"):
+                raise SqlRefused("of the time modifiers only 'unixepoch' is known")
+        seconds = any(str(m.value()).lower() == "unixepoch" for m in modifiers)
+        return self.parsed("timestamp_seconds(CAST(at_ AS DOUBLE))" if seconds else "CAST(at_ AS TIMESTAMP)", at_=self.expression(at))
+
+    def strftime(self, arguments: list[JavaObject]) -> JavaObject:
+        """strftime with a constant format: its letters as patterns, all else as it stands."""
+        if len(arguments) < 2 or _kind(arguments[0]) != "Literal":
+            raise SqlRefused("strftime takes a constant format and a time")
+        parts, text = [], str(arguments[0].value())
+        for found in re.finditer(r"%(.?)|[^%]+", text, re.DOTALL):
+            letter = found[1]
+            if letter is None or letter == "%":
+                parts.append("'" + (found[0] if letter is None else "%").replace("\\", "\\\\").replace("'", "\\'") + "'")
+            elif letter == "s":
+                parts.append("CAST(unix_seconds(at_) AS STRING)")
+            elif letter == "w":
+                parts.append("CAST(dayofweek(at_) - 1 AS STRING)")
+            elif letter in _LETTERS:
+                parts.append(f"date_format(at_, '{_LETTERS[letter]}')")
+            else:
+                raise SqlRefused(f"strftime does not know %{letter}")
+        return self.parsed(f"concat({', '.join(parts) or repr('')})", at_=self.instant(arguments[1:]))
+
+    def rebuilt(self, plan: JavaObject) -> JavaObject:
+        """The plan with the expressions of its nodes adapted, from the leaves up."""
+        if _kind(plan) == "UnresolvedWith":
+            raise SqlRefused("WITH is not allowed inside the statement")
+        plan = self.with_children(plan, [self.rebuilt(child) for child in _items(plan.children())])
+        kind = _kind(plan)
+
+        def each(seq: JavaObject) -> JavaObject:
+            return self.seq([self.json(e, "ranked") if self.is_json(e) else self.expression(e) for e in _items(seq)])
+
+        if kind == "Project":
+            return plan.copy(each(plan.projectList()), plan.child())
+        if kind == "Filter":
+            return plan.copy(self.expression(plan.condition()), plan.child())
+        if kind == "UnresolvedHaving":
+            return plan.copy(self.expression(plan.havingCondition()), plan.child())
+        if kind == "Aggregate":
+            return plan.copy(each(plan.groupingExpressions()), each(plan.aggregateExpressions()), plan.child(), plan.hint())
+        if kind == "Sort":
+            return plan.copy(each(plan.order()), getattr(plan, "global")(), plan.child(), plan.hint())
+        if kind == "Join" and plan.condition().isDefined():
+            condition = self.jvm.scala.Option.apply(self.expression(plan.condition().get()))
+            return plan.copy(plan.left(), plan.right(), plan.joinType(), condition, plan.hint())
+        return plan
+
+
+def _parsed(spark: SparkSession, sql: str) -> tuple[_Guard, JavaObject]:
     statement = sql.strip()
     if not _SELECT.match(statement):
         raise SqlRefused("only SELECT statements are allowed")
     if ";" in statement:
         raise SqlRefused("semicolons are not allowed")
-    if _CALLS_OUT.search(statement):
-        raise SqlRefused("the statement calls a function that is not allowed")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    shown = plan.treeString()
-    foreign = {name for name in _RELATION.findall(shown) if name.lower() not in READABLE}
-    foreign |= set(_TABLE_FUNCTION.findall(shown))
-    if foreign:
-        raise SqlRefused(f"only {READABLE[0]} can be read, not {', '.join(sorted(foreign))}")
-    return statement
+    guard = _Guard(spark)
+    plan = guard.parser.parsePlan(statement)
+    guard.check(plan, frozenset(READABLE))
+    return guard, plan
+
+
+def check_select(spark: SparkSession, sql: str) -> str:
+    """Return the statement if it is a single SELECT over readable tables.
+
+    Every node of the parsed plan, sub-queries included, must be of an allowed kind, every
+    relation one of the two names, every function one of ``FUNCTIONS``, and every join must have
+    an equality, so that quoting, comments, nesting and computed names do not get past the check.
+    """
+    _parsed(spark, sql)
+    return sql.strip()
 
 
 def query_sql(df: DataFrame, sql: str, limit: int | str | None = None) -> DataFrame:
-    """Run a guarded SELECT; ``logs`` is ``df``.  At most ``limit`` rows, 100 by default."""
+    """Run a guarded SELECT; ``logs`` is ``df``.  At most ``limit`` rows, 100 by default.
+
+    ``json_extract`` orders and compares by type, numbers before text; as a column of the result
+    it is text.  ``json_number``, ``strftime`` and ``datetime`` are there too.  Nothing is
+    registered in the session.
+    """
     spark = prepare(df.sparkSession)
-    statement = check_select(spark, sql)
-    install_functions(spark)
+    guard, plan = _parsed(spark, sql)
     view = f"_logs_{uuid.uuid4().hex}"
     df.createOrReplaceTempView(view)
     try:
-        scoped = (
-            f"WITH logs AS (SELECT * FROM {view}), "
-            f"logs_fts AS (SELECT id AS rowid, body FROM {view}) {statement}"
-        )
-        return spark.sql(scoped).limit(page_limit(limit, 100))
+        tables = {
+            "logs": f"SELECT * FROM {view}",
+            "logs_fts": f"SELECT id AS rowid, body FROM {view}",
+        }
+        bound = _bound(guard, guard.rebuilt(plan), tables)
+        frame = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, bound)
+        return _plain(DataFrame(frame, spark)).limit(page_limit(limit, 100))
     finally:
         # The analysed plan no longer needs the name.
         spark.catalog.dropTempView(view)
 
 
+def _bound(guard: _Guard, plan: JavaObject, tables: dict[str, str]) -> JavaObject:
+    """The plan with its relations replaced by what they stand for, in sub-queries too."""
+
+    def inside(expression: JavaObject) -> JavaObject:
+        if _kind(expression) in ("ScalarSubquery", "Exists", "ListQuery"):
+            return expression.withNewPlan(_bound(guard, expression.plan(), tables))
+        return guard.with_children(expression, [inside(c) for c in _items(expression.children())])
+
+    kind = _kind(plan)
+    if kind == "UnresolvedRelation":
+        name = str(plan.multipartIdentifier().apply(0)).lower()
+        return guard.parser.parsePlan(f"SELECT * FROM ({tables[name]}) AS {name}").child()
+    plan = guard.with_children(plan, [_bound(guard, child, tables) for child in _items(plan.children())])
+    if kind == "Project":
+        return plan.copy(guard.seq([inside(e) for e in _items(plan.projectList())]), plan.child())
+    if kind in ("Filter", "UnresolvedHaving"):
+        condition = plan.condition() if kind == "Filter" else plan.havingCondition()
+        return plan.copy(inside(condition), plan.child())
+    if kind == "Aggregate":
+        grouping, shown = ([inside(e) for e in _items(s)] for s in (plan.groupingExpressions(), plan.aggregateExpressions()))
+        return plan.copy(guard.seq(grouping), guard.seq(shown), plan.child(), plan.hint())
+    return plan
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Ranked JSON values as their text."""
+    fields = df.schema.fields
+    if not any(_is_ranked(field.dataType) for field in fields):
+        return df
+    numbered, shown = df.toDF(*[f"c{i}" for i in range(len(fields))]), []
+    for i, field in enumerate(fields):
+        column = F.col(f"c{i}")
+        if not _is_ranked(field.dataType):
+            shown.append(column.alias(field.name))
+            continue
+        number = column["number"]
+        whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+        text = F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string"))
+        shown.append(F.when(column["kind"] == 0, text).otherwise(column["text"]).alias(field.name))
+    return numbered.select(*shown)
+
+
+def _is_ranked(kind: T.DataType) -> bool:
+    return isinstance(kind, T.StructType) and kind.simpleString() == _RANKED.simpleString()

@@ -16,6 +16,9 @@ ALLOWED = [
     "SELECT id FROM logs WHERE id IN (SELECT max(id) FROM logs)",
     "SELECT rowid FROM logs_fts",
     "SELECT 1",
+    "SELECT a.id FROM logs a, logs b WHERE a.id = b.id AND a.id > 3",
+    "SELECT a.id FROM logs a JOIN logs b USING (id)",
+    "SELECT CASE WHEN level LIKE '%r%' THEN 1 ELSE 0 END AS x FROM logs ORDER BY x LIMIT 3",
 ]
 
 REFUSED = [
@@ -35,6 +38,24 @@ REFUSED = [
     "SELECT `java_method`('java.util.UUID', 'randomUUID') FROM logs",
     "SELECT id FROM logs UNION SELECT id FROM users",
     "SELECT EXISTS (SELECT 1 FROM users) FROM logs",
+    "SELECT * FROM IDENTIFIER('secret')",
+    "SELECT * FROM (SELECT * FROM IDENTIFIER('sec' || 'ret')) x",
+    "SELECT * FROM IDENTIFIER/**/('logs')",
+    "SELECT IDENTIFIER('java_method')('java.util.UUID', 'randomUUID') FROM logs",
+    "SELECT TRANSFORM(id) USING 'cat' AS (x STRING) FROM logs",
+    "SELECT * FROM (SELECT TRANSFORM(id) USING 'cat' AS (x STRING) FROM logs) y",
+    "SELECT reflect/**/('java.lang.System', 'getProperty', 'user.home') FROM logs",
+    "SELECT ReFlect /* a */ ('java.lang.System', 'getProperty', 'user.home') FROM logs",
+    "SELECT id FROM logs WHERE try_reflect('a', 'b') IS NULL",
+    "SELECT (SELECT max(java_method('java.util.UUID', 'randomUUID')) FROM logs) FROM logs",
+    "SELECT system.builtin.reflect('a', 'b') FROM logs",
+    "SELECT * FROM logs LATERAL VIEW explode(array(1, 2)) t AS x",
+    "SELECT * FROM VALUES (1) AS t(x)",
+    "SELECT * FROM logs a, logs b",
+    "SELECT * FROM logs a JOIN logs b ON 1 = 1",
+    "SELECT * FROM logs a CROSS JOIN logs b",
+    "SELECT input_file_name() FROM logs",
+    "SELECT * FROM (WITH logs AS (SELECT * FROM users) SELECT * FROM logs) x",
 ]
 
 
@@ -65,3 +86,78 @@ def test_functions_and_clean_up(spark, rows):
     ).first()
     assert tuple(first) == ("a", 75, 148.0, "2024-01-01T00:00:00Z")
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("_logs_")]
+
+
+@pytest.fixture
+def mixed(make_logs):
+    bodies = ['{"ms":99}', '{"ms":1500,"message":"slow"}', '{"ms":600.5}', '{"ms":"abc"}', '{"ms":null}', '{"x":1}', '{"ms":true}']
+    return make_logs(*[(f"2024-01-01T0{i}:10:00", "ab"[i % 2], "error", "abc123", b) for i, b in enumerate(bodies)])
+
+
+def test_documented_statements_word_for_word(mixed):
+    slow = query_sql(
+        mixed,
+        """SELECT service, json_extract(body, '$.ms') AS ms, received_at
+FROM logs WHERE json_extract(body, '$.ms') > 500
+ORDER BY ms DESC""",
+    )
+    assert [r.ms for r in slow.collect()] == ["abc", "1500", "600.5"]
+    latency = query_sql(
+        mixed,
+        """SELECT service,
+       COUNT(*) AS requests,
+       MAX(json_extract(body, '$.ms')) AS max_ms
+FROM logs WHERE json_extract(body, '$.ms') IS NOT NULL
+GROUP BY service ORDER BY max_ms DESC""",
+    )
+    assert [tuple(r) for r in latency.collect()] == [("b", 2, "abc"), ("a", 3, "600.5")]
+    hours = query_sql(
+        mixed,
+        """SELECT service,
+       strftime('%Y-%m-%dT%H:00:00Z', received_at) AS hour,
+       COUNT(*) AS errors
+FROM logs WHERE level = 'error'
+GROUP BY service, hour ORDER BY hour DESC""",
+    )
+    assert hours.first().hour == "2024-01-01T06:00:00Z"
+    assert query_sql(mixed, "SELECT DISTINCT service FROM logs WHERE trace_id = 'abc123'").count() == 2
+    top = query_sql(
+        mixed,
+        """SELECT json_extract(body, '$.message') AS msg, COUNT(*) AS n
+FROM logs WHERE level = 'error'
+GROUP BY msg ORDER BY n DESC LIMIT 10""",
+    )
+    assert [tuple(r) for r in top.collect()] == [(None, 6), ("slow", 1)]
+
+
+def test_json_values_compare_by_type(mixed):
+    def ids(condition):
+        return [r.id for r in query_sql(mixed, f"SELECT id FROM logs WHERE {condition} ORDER BY id").collect()]
+
+    ms = "json_extract(body, '$.ms')"
+    assert ids(f"{ms} < 100") == [1, 7]
+    assert ids(f"{ms} BETWEEN 99 AND 601") == [1, 3]
+    assert ids(f"{ms} IN (99, 'abc')") == [1, 4]
+    assert ids(f"{ms} = 'abc'") == [4]
+    assert ids(f"{ms} > -5 AND {ms} LIKE '%5%'") == [2, 3]
+    assert query_sql(mixed, f"SELECT min({ms}) AS low, sum({ms}) AS total FROM logs").first() == ("1", 2199.5)
+    with pytest.raises(SqlRefused):
+        query_sql(mixed, f"SELECT id FROM logs WHERE {ms} > id")
+
+
+def test_time_functions(mixed):
+    shown = query_sql(
+        mixed,
+        "SELECT strftime('%H:%M Uhr', received_at) AS a, strftime('%Y-%j', received_at) AS b, "
+        "strftime('100%% %d.%m.', received_at) AS c, datetime(0, 'unixepoch') AS d, "
+        "strftime('%s', received_at) AS e, datetime(received_at) AS f, strftime('%w', received_at) AS g "
+        "FROM logs ORDER BY id",
+    ).first()
+    assert tuple(shown) == ("00:10 Uhr", "2024-001", "100% 01.01.", "1970-01-01 00:00:00", "1704067800", "2024-01-01 00:10:00", "1")
+    with pytest.raises(SqlRefused):
+        query_sql(mixed, "SELECT strftime('%Q', received_at) FROM logs")
+
+
+def test_nothing_stays_in_the_session(spark, mixed):
+    query_sql(mixed, "SELECT json_extract(body, '$.ms') FROM logs").collect()
+    assert spark.sql("SHOW USER FUNCTIONS").count() == 0
