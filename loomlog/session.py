@@ -46,12 +46,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and staged rewrites, shared by all executors.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (local runs
-    and tests) a fresh temporary folder is used and remembered on the session.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset in a local run, as
+    in tests, a fresh temporary folder is used and remembered on the session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
     local = tempfile.mkdtemp(prefix="loomlog-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local

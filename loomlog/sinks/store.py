@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from datetime import timedelta
 
 from pyspark import StorageLevel
@@ -18,18 +18,25 @@ from loomlog.operators.normalize import arrival_number, assign_ids, normalize
 from loomlog.operators.retention import deletion, excess_cutoff
 from loomlog.operators.tenancy import retention_cutoff
 from loomlog.schema import LOGS
-from loomlog.session import shared_dir
 from loomlog.sources.store import (
     COUNTS_DIR,
     FOLDED_DIR,
+    GENERATIONS_DIR,
+    KEPT_DIR,
     LOGS_DIR,
     QUARANTINE_DIR,
+    commit_path,
+    day_parts,
     folders,
+    generations,
+    path_exists,
     project_root,
     read_batch,
     read_counts,
-    read_days,
     read_logs,
+    read_note,
+    read_parts,
+    write_note,
 )
 
 #: Body bytes one write task handles; it decides how many files a batch gets.
@@ -113,7 +120,9 @@ def ingest_batch(
     """Normalise, de-duplicate and append one batch of (payload, received_at).
 
     The batch owns its partitions: a replay after a failure overwrites them and nothing else,
-    and the duplicate check never looks at rows of the same batch, so rerunning is harmless.
+    and the duplicate check never looks at rows of the same batch, so rerunning is harmless.  The
+    batch's file in ``commits`` comes last; a replay that finds it changes nothing and returns the
+    counts in it, and other events under a number that is taken are an error.
     Only stored days from shortly before the batch on are read.  ``tasks`` is the number of
     write tasks; by default it follows the size of the batch.
     """
@@ -128,9 +137,16 @@ def ingest_batch(
             iso_millis(F.max("received_at")).alias("latest"),
             F.count_if("oversized").alias(OVERSIZED),
             F.count_if(~F.col("well_formed")).alias(MALFORMED),
+            F.sum(F.xxhash64("payload", "received_at").cast("decimal(38,0)")).alias("mark"),
         ).first()
         if not counts["total"]:
             return IngestCounts(0, 0, 0, 0)
+        mark = f"{counts['total']}:{counts['mark']}"
+        done = read_note(spark, commit_path(root, batch_id))
+        if done:
+            if done["mark"] != mark:
+                raise ValueError(f"batch {batch_id} holds other events already")
+            return IngestCounts(**{name: done[name] for name in IngestCounts.__dataclass_fields__})
         since = to_instant(counts["earliest"]) - timedelta(seconds=seconds)
         stored = read_logs(spark, root, since=since).filter(F.col("batch") != batch_id)
         fresh = classify(
@@ -146,12 +162,15 @@ def ingest_batch(
     own = read_batch(spark, root, batch_id, counts["earliest"], counts["latest"])
     _own_partition(count_deltas(own), f"{root}/{COUNTS_DIR}", batch_id)
     written = own.count()
-    return IngestCounts(
+    outcome = IngestCounts(
         written=written,
         deduplicated=counts["total"] - refused - written,
         oversized=counts[OVERSIZED],
         malformed=counts[MALFORMED],
     )
+    note = {"batch": batch_id, "first": counts["earliest"], "last": counts["latest"], "mark": mark}
+    write_note(spark, commit_path(root, batch_id), note | asdict(outcome))
+    return outcome
 
 
 def set_aside(rows: DataFrame) -> DataFrame:
@@ -165,23 +184,28 @@ def set_aside(rows: DataFrame) -> DataFrame:
     )
 
 
-def append_rows(rows: DataFrame, root: str, batch_id: int) -> None:
-    """Write rows as the partitions of one batch.
+def _log_writer(rows: DataFrame):
+    """The writer of all log files.
 
     Bloom filters serve lookups by trace, id and hash; rows of a file are in id order, so the
     row-group ranges of id and receive time are narrow.
     """
-    (
+    return (
+        rows.write.mode("overwrite")
+        .option("parquet.bloom.filter.enabled#trace_id", "true")
+        .option("parquet.bloom.filter.enabled#body_hash", "true")
+    )
+
+
+def append_rows(rows: DataFrame, root: str, batch_id: int) -> None:
+    """Write rows as the partitions of one batch."""
+    dated = (
         rows.select(*[field.name for field in LOGS.fields])
         .withColumn("dt", F.to_date("received_at"))
         .withColumn("batch", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("parquet.bloom.filter.enabled#trace_id", "true")
-        .option("parquet.bloom.filter.enabled#body_hash", "true")
-        .partitionBy("dt", "batch")
-        .parquet(f"{root}/{LOGS_DIR}")
     )
+    dynamic = _log_writer(dated).option("partitionOverwriteMode", "dynamic")
+    dynamic.partitionBy("dt", "batch").parquet(f"{root}/{LOGS_DIR}")
 
 
 def _own_partition(rows: DataFrame, path: str, batch_id: int) -> None:
@@ -234,46 +258,73 @@ def purge_excess(spark: SparkSession, root: str, max_rows: int) -> int:
 
 
 def _rewrite(spark: SparkSession, root: str, going: DataFrame, keep: Column) -> int:
-    """Replace the partitions that hold rows of ``going`` by their rows that stay.
+    """Leave out the rows of ``going`` from the days that hold some; returns how many."""
+    per_day = going.groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
+    touched = {str(row["dt"]): row["n"] for row in per_day.toLocalIterator()}
+    _replace_days(spark, root, sorted(touched), F.coalesce(keep, F.lit(True)))
+    return sum(touched.values())
+
+
+def compact(spark: SparkSession, root: str, day: str) -> None:
+    """Write a closed day's batches as one folder of well-sized files."""
+    _replace_days(spark, root, [day], F.lit(True))
 
-    Only touched partitions are read and written.  Their surviving rows are first written to
-    the shared folder, so the table is never read and overwritten in one plan; a crash before
-    the swap leaves the table as it was, and running the delete again completes it.
-    Partitions are few (day and batch), rows never pass through the driver.
+
+def _replace_days(spark: SparkSession, root: str, days: list[str], keep: Column) -> None:
+    """Write the rows of whole days that stay as a new generation, then drop what it replaces.
+
+    Only these days are read.  Until the generation's note is in place readers see the old
+    folders, afterwards the new one; what an interrupted run leaves is removed by the next.  One
+    run of upkeep at a time; batches may be appended meanwhile.
     """
-    per_partition = going.groupBy("dt", "batch").agg(F.count(F.lit(1)).alias("n"))
-    touched = {(row["dt"], row["batch"]): row["n"] for row in per_partition.toLocalIterator()}
-    if not touched:
-        return 0
-    days = [day for day, _ in touched]
-    logs = read_days(spark, root, min(days), max(days))
-    total = {
-        (row["dt"], row["batch"]): row["n"]
-        for row in logs.groupBy("dt", "batch")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .toLocalIterator()
-        if (row["dt"], row["batch"]) in touched
-    }
-    partial = [part for part, n in touched.items() if total[part] > n]
-    if partial:
-        stage = f"{shared_dir(spark)}/rewrite-{uuid.uuid4().hex}"
-        wanted = spark.createDataFrame(partial, "dt date, batch bigint")
-        surviving = logs.join(wanted, ["dt", "batch"], "left_semi").filter(
-            F.coalesce(keep, F.lit(True))
-        )
-        surviving.write.partitionBy("dt", "batch").parquet(stage)
-        (
-            spark.read.schema(logs.schema)
-            .parquet(stage)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dt", "batch")
-            .parquet(f"{root}/{LOGS_DIR}")
-        )
-        _remove(spark, stage)
-    for day, batch in touched.keys() - set(partial):
-        _remove(spark, f"{root}/{LOGS_DIR}/dt={day}/batch={batch}")
-    return sum(touched.values())
+    sweep(spark, root)
+    parts = {day: _listed(spark, root, day) for day in days}
+    parts = {day: found for day, found in parts.items() if found["batches"] or found["kept"]}
+    if not parts:
+        return
+    gen = 1 + max([int(name[4:]) for name in folders(spark, f"{root}/{KEPT_DIR}")] + [n["gen"] for n in generations(spark, root)], default=0)
+    path = f"{root}/{KEPT_DIR}/gen={gen}"
+    rows = read_parts(spark, root, parts).filter(keep)
+    _log_writer(rows.hint("rebalance", "dt").sortWithinPartitions("dt", "id")).partitionBy("dt").parquet(path)
+    kept = {name[3:]: True for name in folders(spark, path) if name.startswith("dt=")}
+    write_note(spark, f"{root}/{GENERATIONS_DIR}/{gen:012d}.json", {"gen": gen, "days": parts, "kept": kept})
+    _drop_replaced(spark, root, parts)
+
+
+def _listed(spark: SparkSession, root: str, day: str) -> dict[str, list[int]]:
+    """The folders of a day that count now."""
+    found = day_parts(spark, root, day, day).get(day)
+    if found is None:
+        names = folders(spark, f"{root}/{LOGS_DIR}/dt={day}")
+        return {"batches": [int(name[6:]) for name in names if name.startswith("batch=")], "kept": []}
+    return found
+
+
+def _drop_replaced(spark: SparkSession, root: str, days: dict[str, dict[str, list[int]]]) -> None:
+    for day, parts in days.items():
+        folder = f"{root}/{LOGS_DIR}/dt={day}"
+        names, gone = folders(spark, folder), {f"batch={b}" for b in parts["batches"]}
+        for path in [folder] if gone.issuperset(names) else [f"{folder}/{name}" for name in gone.intersection(names)]:
+            _remove(spark, path)
+        for gen in parts["kept"]:
+            _remove(spark, f"{root}/{KEPT_DIR}/gen={gen}/dt={day}")
+
+
+def sweep(spark: SparkSession, root: str) -> None:
+    """Remove what interrupted upkeep left: replaced folders, and generations without a note."""
+    notes = generations(spark, root)
+    for note in notes:
+        _drop_replaced(spark, root, {day: p for day, p in note["days"].items() if _left_over(spark, root, day, p)})
+    known = {f"gen={note['gen']}" for note in notes}
+    for name in folders(spark, f"{root}/{KEPT_DIR}"):
+        if name not in known:
+            _remove(spark, f"{root}/{KEPT_DIR}/{name}")
+
+
+def _left_over(spark: SparkSession, root: str, day: str, parts: dict[str, list[int]]) -> bool:
+    names = set(folders(spark, f"{root}/{LOGS_DIR}/dt={day}"))
+    kept = (f"{root}/{KEPT_DIR}/gen={gen}/dt={day}" for gen in parts["kept"])
+    return any(f"batch={b}" in names for b in parts["batches"]) or any(path_exists(spark, path) for path in kept)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -288,7 +339,7 @@ def fold_counts(spark: SparkSession, root: str, up_to_batch: int) -> None:
     so an interrupted run neither loses nor doubles a count.  What it covers is then removed.
     """
     old = read_counts(spark, root).filter(F.col("batch") <= up_to_batch)
-    stage = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    stage = f"{root}/_stage-{uuid.uuid4().hex}"
     old.groupBy("service", "level").agg(F.sum("count").alias("count")).write.parquet(stage)
     _own_partition(spark.read.parquet(stage), f"{root}/{FOLDED_DIR}", up_to_batch)
     _remove(spark, stage)
@@ -304,6 +355,7 @@ __all__ = [
     "IngestCounts",
     "append_rows",
     "classify",
+    "compact",
     "delete_where",
     "fold_counts",
     "ingest_batch",
@@ -313,4 +365,5 @@ __all__ = [
     "purge_excess",
     "purge_projects",
     "set_aside",
+    "sweep",
 ]

@@ -1,8 +1,16 @@
-"""The stored log table: Parquet partitioned by day and write batch."""
+"""The stored log table: Parquet partitioned by day and write batch.
+
+A batch is written once, under ``logs/dt=/batch=``, and its file in ``commits`` is the last thing
+written.  Upkeep never touches a batch's files in place: the rows of a day that stay are written
+under ``logs_kept/gen=/dt=`` and count from the moment the generation's file lies in
+``generations``; that file names the folders it replaces, and readers skip those from then on.
+"""
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +24,12 @@ COUNTS_DIR = "counts"
 FOLDED_DIR = "counts_folded"
 QUARANTINE_DIR = "quarantine"
 TOKENS_DIR = "tokens"
+COMMITS_DIR = "commits"
+KEPT_DIR = "logs_kept"
+GENERATIONS_DIR = "generations"
+
+#: Folders of one day: the write batches, and the generations that hold rows of it.
+DayParts = dict[str, list[int]]
 
 
 def project_root(root: str, project_id: str | None) -> str:
@@ -50,25 +64,101 @@ def day_folders(
     return [f"{path}/{name}" for name in folders(spark, path) if first <= name <= last]
 
 
-def _read_folders(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+def file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def write_note(spark: SparkSession, path: str, note: dict) -> None:
+    """Put a small JSON file in place in one step."""
+    folder, _, name = path.rpartition("/")
+    files, hidden = file_system(spark, f"{folder}/_{uuid.uuid4().hex}")
+    stream = files.create(hidden)
+    stream.write(bytearray(json.dumps(note).encode()))
+    stream.close()
+    if not files.rename(hidden, file_system(spark, path)[1]):
+        files.delete(hidden, False)
+        raise FileExistsError(path)
+
+
+def read_note(spark: SparkSession, path: str) -> dict | None:
+    """A small JSON file, or None where there is none."""
+    if not path_exists(spark, path):
+        return None
+    files, hadoop = file_system(spark, path)
+    stream = files.open(hadoop)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def commit_path(root: str, batch_id: int) -> str:
+    return f"{root}/{COMMITS_DIR}/{batch_id:020d}.json"
+
+
+def generations(spark: SparkSession, root: str) -> list[dict]:
+    """Notes of the committed generations, one for each run of upkeep that changed days."""
+    path = f"{root}/{GENERATIONS_DIR}"
+    if not path_exists(spark, path):
+        return []
+    files, hadoop = file_system(spark, path)
+    names = sorted(e.getPath().getName() for e in files.listStatus(hadoop))
+    return [read_note(spark, f"{path}/{name}") for name in names if name.endswith(".json")]
+
+
+def day_parts(
+    spark: SparkSession, root: str, since: When | None = None, until: When | None = None
+) -> dict[str, DayParts | None]:
+    """By day within the bounds, the folders that count; None where all batches do and nothing else."""
+    first = str(to_instant(since).date()) if since else ""
+    last = str(to_instant(until).date()) if until else "9999-12-31"
+    days: dict[str, DayParts | None] = {
+        name[3:]: None for name in folders(spark, f"{root}/{LOGS_DIR}") if first <= name[3:] <= last
+    }
+    replaced: dict[str, set[int]] = {}
+    kept: dict[str, list[int]] = {}
+    for note in generations(spark, root):
+        for day, parts in note["days"].items():
+            if first <= day <= last:
+                replaced.setdefault(day, set()).update(parts["batches"])
+                kept[day] = [note["gen"]] if note["kept"].get(day) else []
+    for day, gone in replaced.items():
+        names = folders(spark, f"{root}/{LOGS_DIR}/dt={day}") if day in days else []
+        batches = {int(name[6:]) for name in names if name.startswith("batch=")}
+        days[day] = {"batches": sorted(batches - gone), "kept": kept[day]}
+    return dict(sorted(days.items()))
+
+
+def read_parts(spark: SparkSession, root: str, days: dict[str, DayParts | None]) -> DataFrame:
+    """The rows of the given folders."""
+    logs, kept = f"{root}/{LOGS_DIR}", f"{root}/{KEPT_DIR}"
+    whole = [f"{logs}/dt={day}" for day, parts in days.items() if parts is None]
+    some = [f"{logs}/dt={day}/batch={b}" for day, parts in days.items() if parts for b in parts["batches"]]
+    later = [f"{kept}/gen={g}/dt={day}" for day, parts in days.items() if parts for g in parts["kept"]]
+    rows = _read_folders(spark, logs, [*whole, *some])
+    return rows.unionByName(_read_folders(spark, kept, later)) if later else rows
+
+
+def _read_folders(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], STORED_LOGS)
-    reader = spark.read.schema(STORED_LOGS).option("basePath", f"{root}/{LOGS_DIR}")
-    return reader.parquet(*paths)
+    reader = spark.read.schema(STORED_LOGS).option("basePath", base)
+    return reader.parquet(*paths).select(*STORED_LOGS.names)
 
 
 def read_logs(
     spark: SparkSession, root: str, since: When | None = None, until: When | None = None
 ) -> DataFrame:
     """Stored rows within inclusive time bounds; days outside them are neither listed nor read."""
-    df = _read_folders(spark, root, day_folders(spark, root, since, until))
+    df = read_parts(spark, root, day_parts(spark, root, since, until))
     bounds = time_bounds(df, since, until)
     return df.filter(all_of(bounds)) if bounds else df
 
 
 def read_days(spark: SparkSession, root: str, first: When, last: When) -> DataFrame:
     """All rows of the stored days from ``first`` to ``last``."""
-    return _read_folders(spark, root, day_folders(spark, root, first, last))
+    return read_parts(spark, root, day_parts(spark, root, first, last))
 
 
 def read_batch(
@@ -76,7 +166,8 @@ def read_batch(
 ) -> DataFrame:
     """Rows of one write batch, looked for only in the days within the bounds."""
     paths = [f"{day}/batch={batch_id}" for day in day_folders(spark, root, since, until)]
-    return _read_folders(spark, root, [path for path in paths if path_exists(spark, path)])
+    logs = f"{root}/{LOGS_DIR}"
+    return _read_folders(spark, logs, [path for path in paths if path_exists(spark, path)])
 
 
 def read_counts(spark: SparkSession, root: str) -> DataFrame:

@@ -1,19 +1,32 @@
 """Following the stored table as it grows.
 
-The cursor of a tail is its checkpoint, so a restarted tail continues where it stopped and
-emits every row once.
+A tail follows the commits of write batches, and its cursor is its checkpoint.  A batch is
+committed once, and upkeep commits none, so a tail emits every row once, whatever is deleted,
+compacted or replayed meanwhile.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import fnmatch
+import time
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomlog.functions.args import page_limit
 from loomlog.operators.pages import rows_only
 from loomlog.plans.predicates import log_filter
 from loomlog.schema import STORED_LOGS
 from loomlog.sinks.exports import write_ndjson
-from loomlog.sources.store import LOGS_DIR
+from loomlog.sources.store import COMMITS_DIR, LOGS_DIR, file_system, read_logs
+
+#: Commits one micro-batch of a tail takes at most, which bounds what the driver reads of them.
+COMMITS_PER_BATCH = 1000
+#: Seconds between two looks of a waiting reader, at first and at most.
+FIRST_WAIT, LONGEST_WAIT = 0.25, 4.0
+COMMIT_DDL = "batch BIGINT, first STRING, last STRING"
 
 #: How often an idle tail looks for new rows.
 HEARTBEAT = "5 seconds"
@@ -22,9 +35,10 @@ HEARTBEAT = "5 seconds"
 def stored_stream(
     spark: SparkSession, root: str, files_per_batch: int | None = None, days: str | None = None
 ) -> DataFrame:
-    """The stored table as a stream of newly written files.
+    """The stored table as a stream of newly written files, for counts that may see a row again.
 
-    Every trigger lists what is watched; ``days``, a pattern such as ``2024-0[3-9]-*``, keeps a
+    It starts with the batches not yet rewritten by upkeep, which it never sees; a batch that
+    failed before its commit and is written again comes twice.  Every trigger lists what is watched; ``days``, a pattern such as ``2024-0[3-9]-*``, keeps a
     long history out of that.
     """
     path = f"{root}/{LOGS_DIR}"
@@ -52,30 +66,62 @@ def tail_stream(
     """Write matching rows as NDJSON, first those already stored, then each new one.
 
     Every micro-batch is one folder, in id order.  A repeated micro-batch replaces its folder.
-    ``files_per_batch`` bounds a micro-batch; it may divide the files of one write.
+    ``files_per_batch`` is the number of write batches a micro-batch takes at most.
     """
-    rows = log_filter(
-        stored_stream(spark, root, files_per_batch, days),
-        service=service,
-        level=level,
-        after_id=after_id,
+    folder = f"{root}/{COMMITS_DIR}"
+    files, path = file_system(spark, folder)
+    files.mkdirs(path)
+    commits = (
+        spark.readStream.schema(COMMIT_DDL)
+        .option("maxFilesPerTrigger", files_per_batch or COMMITS_PER_BATCH)
+        .json(folder)
     )
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        write_ndjson(rows_only(batch).orderBy("id"), f"{out}/batch={batch_id:010d}", "overwrite")
+        found = batch.collect()  # as many as the option above allows
+        if not found:
+            return
+        rows = read_logs(spark, root, since=min(c["first"] for c in found), until=max(c["last"] for c in found))
+        rows = rows.filter(F.col("batch").isin([c["batch"] for c in found]))
+        if days:
+            rows = rows.filter(F.col("dt").cast("string").rlike(fnmatch.translate(days)))
+        rows = log_filter(rows, service=service, level=level, after_id=after_id)
+        write_ndjson(rows_only(rows).orderBy("id"), f"{out}/batch={batch_id:010d}", "overwrite")
 
-    writer = rows.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint)
+    writer = commits.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint)
     if available_now:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=HEARTBEAT).start()
 
 
+@dataclass(frozen=True)
+class Watched:
+    """Rows that came, in id order, and the id to go on from."""
+
+    rows: list[Row]
+    last_id: int | None
+
+
 def watch(
-    spark: SparkSession, root: str, out: str, checkpoint: str, timeout_seconds: float = 15, **filters
-) -> bool:
-    """Deliver what is new since the last call; False if the time ran out first."""
-    query = tail_stream(spark, root, out, checkpoint, available_now=True, **filters)
-    finished = query.awaitTermination(timeout_seconds)
-    if not finished:
-        query.stop()
-    return bool(finished)
+    spark: SparkSession,
+    root: str,
+    after_id: int | None = None,
+    *,
+    timeout_seconds: float = 15,
+    limit: int | str | None = None,
+    **filters,
+) -> Watched:
+    """Wait until matching rows with larger ids are there, or the time is up.
+
+    Looks again after ever longer pauses.  Returns at most a page of rows with the last id among
+    them; where none came, the id it was given.
+    """
+    stop, pause = time.monotonic() + timeout_seconds, FIRST_WAIT
+    while True:
+        rows = log_filter(read_logs(spark, root), after_id=after_id, **filters)
+        page = rows_only(rows).orderBy("id").limit(page_limit(limit, 50)).collect()
+        left = stop - time.monotonic()
+        if page or left <= 0:
+            return Watched(page, page[-1]["id"] if page else after_id)
+        time.sleep(min(pause, left))
+        pause = min(2 * pause, LONGEST_WAIT)

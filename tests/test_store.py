@@ -175,6 +175,56 @@ def test_interrupted_rewrite_loses_nothing(spark, events, tmp_path, monkeypatch)
     assert numbers(spark, root) == list(range(30, 72))
 
 
+@pytest.mark.parametrize("step", ["write_note", "_log_writer", "_drop_replaced"])
+def test_a_failure_at_any_step_loses_and_repeats_nothing(spark, events, tmp_path, monkeypatch, step):
+    root = str(tmp_path)
+    filled(events, root)
+    store.compact(spark, root, "2024-01-01")
+    real = getattr(store, step)
+
+    def fails(*_):
+        raise RuntimeError("host lost")
+
+    monkeypatch.setattr(store, step, fails)
+    with pytest.raises(RuntimeError):
+        store.delete_where(spark, root, service="b")
+    left = numbers(spark, root)
+    assert left in (list(range(72)), list(range(0, 72, 2)))
+    monkeypatch.setattr(store, step, real)
+    store.delete_where(spark, root, service="b")
+    assert numbers(spark, root) == list(range(0, 72, 2))
+    store.sweep(spark, root)
+    assert numbers(spark, root) == list(range(0, 72, 2))
+    assert len(list(tmp_path.glob("logs_kept/gen=*/dt=*"))) == len({p.name for p in tmp_path.glob("logs_kept/gen=*/dt=*")})
+
+
+def test_only_days_with_rows_to_delete_are_rewritten(spark, events, tmp_path):
+    root = str(tmp_path)
+    filled(events, root)
+    untouched = sorted(tmp_path.glob("logs/dt=2024-01-03/*/*.parquet"))
+    assert store.purge_before(spark, root, "2024-01-02T06:00:00Z") == 30
+    assert sorted(tmp_path.glob("logs/dt=2024-01-03/*/*.parquet")) == untouched
+    assert not list(tmp_path.glob("logs/dt=2024-01-0[12]"))
+
+
+def test_a_batch_number_is_used_once(spark, events, tmp_path):
+    root = str(tmp_path)
+    store.ingest_batch(events((T0, {"i": 1})), root, 0)
+    with pytest.raises(ValueError):
+        store.ingest_batch(events((T0, {"i": 2})), root, 0)
+
+
+def test_rewritten_files_have_bloom_filters(spark, events, tmp_path):
+    root = str(tmp_path)
+    filled(events, root)
+    store.delete_where(spark, root, service="b")
+    (file, *_) = tmp_path.glob("logs_kept/gen=*/dt=*/*.parquet")
+    fresh = tmp_path / "plain"
+    spark.read.parquet(str(file)).write.parquet(str(fresh))
+    (plain, *_) = fresh.glob("*.parquet")
+    assert file.stat().st_size > plain.stat().st_size + 100_000
+
+
 def test_each_project_has_its_retention(spark, events, tmp_path):
     root = str(tmp_path)
     for project in ("p1", "p2"):

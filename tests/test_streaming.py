@@ -1,4 +1,6 @@
 import json
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,10 +11,11 @@ from loomlog.operators.aggregates import histogram
 from loomlog.operators.counters import log_counts
 from loomlog.sinks.store import ingest_batch
 from loomlog.sources.events import read_lines
+from loomlog.sinks.store import compact, delete_where
 from loomlog.sources.store import read_counts, read_logs
 from loomlog.streaming import aggregates as running
 from loomlog.streaming.ingest import ingest_stream, logger_events, syslog_lines
-from loomlog.streaming.tail import stored_stream, tail_stream, watch
+from loomlog.streaming.tail import Watched, stored_stream, tail_stream, watch
 from tests.conftest import at
 
 RAW = "received_at TIMESTAMP, payload STRING"
@@ -66,8 +69,40 @@ def test_tail_from_a_cursor(spark, paths):
     root, state, out = paths
     add(spark, root, 0, *[(f"2024-01-01T00:00:0{i}", {"i": i}) for i in range(5)])
     cursor = read_logs(spark, root).orderBy("id").collect()[2]["id"]
-    assert watch(spark, root, str(out), state, timeout_seconds=60, after_id=cursor)
-    assert [json.loads(r["body"])["i"] for r in emitted(out)] == [3, 4]
+    seen = watch(spark, root, cursor, timeout_seconds=60)
+    assert [json.loads(r["body"])["i"] for r in seen.rows] == [3, 4]
+    assert seen.last_id == seen.rows[-1]["id"]
+    later = threading.Timer(1.0, add, (spark, root, 1, ("2024-01-01T00:01:00", {"i": 9})))
+    later.start()
+    came = watch(spark, root, seen.last_id, timeout_seconds=90)
+    later.join()
+    assert [json.loads(r["body"])["i"] for r in came.rows] == [9]
+    started = time.monotonic()
+    assert watch(spark, root, came.last_id, timeout_seconds=1.5) == Watched([], came.last_id)
+    assert time.monotonic() - started >= 1.5
+
+
+def test_tail_after_upkeep_gives_every_id_once(spark, paths):
+    root, state, out = paths
+
+    def tail():
+        tail_stream(spark, root, str(out), state, available_now=True).awaitTermination()
+
+    first = [(f"2024-01-01T00:00:{i:02d}", {"i": i, "service": "ab"[i % 2]}) for i in range(20)]
+    second = [(f"2024-01-02T00:00:{i:02d}", {"i": 20 + i, "service": "ab"[i % 2]}) for i in range(20)]
+    add(spark, root, 0, *first)
+    add(spark, root, 1, *second)
+    tail()
+    delete_where(spark, root, service="b")
+    tail()
+    add(spark, root, 1, *second)
+    tail()
+    compact(spark, root, "2024-01-01")
+    add(spark, root, 2, ("2024-01-02T01:00:00", {"i": 40, "service": "a"}))
+    tail()
+    assert [json.loads(r["body"])["i"] for r in emitted(out)] == list(range(41))
+    left = [json.loads(r["body"])["i"] for r in read_logs(spark, root).orderBy("id").collect()]
+    assert left == [*range(0, 40, 2), 40]
 
 
 def test_tail_of_some_days(spark, paths):
