@@ -75,6 +75,17 @@ def minified(text: Column) -> Column:
     return F.get_json_object(text, "$")
 
 
+def array_elements(text: Column) -> Column:
+    """The elements of a JSON array as JSON texts; a string keeps its quotes."""
+    typed = F.from_json(text, "array<variant>")
+
+    def element(plain: Column, at: Column) -> Column:
+        variant = F.get(typed, at)
+        return F.when(F.schema_of_variant(variant) == "STRING", F.to_json(variant)).otherwise(plain)
+
+    return F.transform(F.from_json(text, "array<string>"), element)
+
+
 def json_fields(**fields: Column) -> Column:
     """A JSON object of the given columns; NULL columns are left out."""
     return F.to_json(F.struct(*[column.alias(name) for name, column in fields.items()]))

@@ -33,6 +33,7 @@ SIGNIFICANT_FACTOR = 5.0
 # Fixed value: text form of a bucket start.
 BUCKET_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
+#: Longest window of the route form; other callers have no bound.
 MAX_ALERT_MINUTES = 10_080
 
 
@@ -134,10 +135,14 @@ def alert_count(
     service: str | None = None,
     level: str | None = "error",
     query: str | None = None,
-    max_minutes: int = MAX_ALERT_MINUTES,
+    max_minutes: int | None = None,
 ) -> DataFrame:
-    """Rows of the last minutes before ``as_of``.  With a search the level is not considered."""
-    span = min(whole_number(minutes, 60), max_minutes)
+    """Rows of the last minutes before ``as_of``.  With a search the level is not considered.
+
+    ``max_minutes`` narrows longer windows, as the route form does with ``MAX_ALERT_MINUTES``.
+    """
+    span = whole_number(minutes, 60)
+    span = span if max_minutes is None else min(span, max_minutes)
     bounds = {"since": back(as_of, minutes=span), "until": as_of, "service": service}
     if query:
         return count_search(df, query, **bounds)
@@ -243,10 +248,16 @@ def trace_services(df: DataFrame, trace_id: str) -> DataFrame:
 
 def slow_requests(df: DataFrame, floor_ms: float, field: str = "ms") -> DataFrame:
     """Requests slower than the floor, slowest first."""
-    slow = F.try_variant_get(parsed(F.col("body")), f"$.{field}", "double")
+
+
+    def measured(variant: Column) -> Column:
+        return F.try_variant_get(variant, f"$.{field}", "double")
+
+    # The test binds the parsed body, so that a row is parsed once, and again only if it is kept.
+    slow = F.exists(F.array(parsed(F.col("body"))), lambda v: measured(v) > floor_ms)
     return (
-        df.select("id", "service", slow.alias("ms"), "received_at")
-        .filter(F.col("ms") > floor_ms)
+        df.filter(slow)
+        .select("id", "service", measured(parsed(F.col("body"))).alias("ms"), "received_at")
         .orderBy(F.desc("ms"), "id")
     )
 

@@ -78,7 +78,8 @@ def assign_ids(df: DataFrame, batch_id: int, tasks: int) -> DataFrame:
     """
     if not 0 <= batch_id < 1 << (63 - PARTITION_BITS - ROW_BITS):
         raise ValueError(f"batch id out of range: {batch_id}")
-    tasks = max(1, min(tasks, MAX_WRITE_TASKS))
+    if not 1 <= tasks <= MAX_WRITE_TASKS:
+        raise ValueError(f"a batch has 1 to {MAX_WRITE_TASKS} write tasks, not {tasks}")
     ordered = df.repartitionByRange(tasks, "received_at", "_arrival").sortWithinPartitions(
         "received_at", "_arrival"
     )

@@ -104,7 +104,13 @@ def field_rows(
 ) -> DataFrame:
     """Every row whose JSON body field compares true."""
     kept = log_filter(df, service=service, since=since, until=until)
-    return kept.filter(compare_field(F.col("body"), parsed(F.col("body")), field, op, value, types))
+    # Bound, so that the branches of the comparison share one parse of the body.
+    return kept.filter(
+        F.exists(
+            F.array(parsed(F.col("body"))),
+            lambda variant: compare_field(F.col("body"), variant, field, op, value, types),
+        )
+    )
 
 
 def query_field(

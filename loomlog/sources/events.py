@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.functions.jsonbody import is_object, opens_with, parsed
+from loomlog.functions.jsonbody import array_elements, is_object, opens_with, parsed
 from loomlog.functions.text import wide_trim
 
 
@@ -54,7 +54,7 @@ def explode_records(records: DataFrame, max_rows: int | None = None) -> DataFram
         opens_with(F.col("payload"), "[").alias("_is_array"),
     )
     is_array = F.col("_is_array")
-    elements = F.from_json("payload", "array<string>")
+    elements = array_elements(F.col("payload"))
     too_many = F.size(elements) > max_rows if max_rows else F.lit(False)
     whole = F.array(F.col("payload"))
     problem = (

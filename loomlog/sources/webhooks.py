@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.hashing import hmac_hex
-from loomlog.functions.jsonbody import json_fields, opens_with, parsed, put_fields
+from loomlog.functions.jsonbody import array_elements, json_fields, opens_with, parsed, put_fields
 from loomlog.functions.text import wide_trim
 
 # Providers, their signature headers, and the replay window in seconds.
@@ -82,10 +82,10 @@ def delivery_events(deliveries: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     known = F.col("provider").isin(*SIGNATURE_HEADERS)
     is_array = F.col("_is_array")
-    elements = F.from_json("_text", "array<string>")
+    elements = array_elements(F.col("_text"))
     own = json_fields(_provider=F.col("provider"))
     wrapped = F.concat(
-        F.lit('{"payload":'), wide_trim(F.col("_text")), F.lit(","), F.substring(own, 2, 1 << 20)
+        F.lit('{"payload":'), wide_trim(F.col("_text")), F.lit(","), F.substring(own, F.lit(2), F.length(own))
     )
     single = F.when(
         opens_with(F.col("_text"), "{"), put_fields(F.col("_text"), own, ("_provider",))

@@ -112,8 +112,18 @@ def alert_60m(spark, d):
 )
 def alert_week_any_level(spark, d):
     return agg.alert_count(
-        logs(spark, d), as_of="2024-01-20", minutes=99_999, service="svc4", level=None
-    )
+        logs(spark, d), as_of="2024-01-20", minutes=99_999, service="svc4", level=None,
+        max_minutes=agg.MAX_ALERT_MINUTES,
+    )
+
+
+@check(
+    "alert_month",
+    f"""{WITH} SELECT count(*) AS count FROM logs WHERE level = 'error'
+        AND received_at >= TIMESTAMP '2024-01-01' AND received_at <= TIMESTAMP '2024-01-31'""",
+)
+def alert_month(spark, d):
+    return agg.alert_count(logs(spark, d), as_of="2024-01-31", minutes=43_200)
 
 
 @check(

@@ -245,7 +245,7 @@ def truncated(spark, d):
 
 @check(
     "text_functions",
-    """SELECT doc_id, upper(source) AS up, lower(substring(text, 1, 20)) AS low, trim('  ' || lang || ' ') AS lang,
+    """SELECT doc_id, upper(source) AS up, lower(text) AS low, trim('  ' || lang || ' ') AS lang,
          lpad(CAST(doc_id AS VARCHAR), 9, '0') AS padded, strlen(text) AS bytes,
          regexp_extract(source, '([0-9]+)', 1) AS digits, sha1(text) AS sha1,
          CAST(n_chars AS BIGINT) // 60 * 60 AS snapped
@@ -255,7 +255,7 @@ def text_functions(spark, d):
     return table(spark, d, "documents").selectExpr(
         "doc_id",
         "upper(source) AS up",
-        "lower(substring(text, 1, 20)) AS low",
+        "lower(text) AS low",
         "trim(concat('  ', lang, ' ')) AS lang",
         "lpad(cast(doc_id AS string), 9, '0') AS padded",
         "cast(octet_length(text) AS bigint) AS bytes",

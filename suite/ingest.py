@@ -181,8 +181,8 @@ def oversized_split(spark, d):
 
 @check(
     "plan_row_limit",
-    """SELECT doc_id, quality, strlen(text) > quality * 1000 AND quality > 0 AS too_large
-       FROM documents JOIN labels USING (doc_id)""",
+    """SELECT doc_id, quality, coalesce(strlen(text) > quality * 1000 AND quality > 0, false) AS too_large
+       FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def plan_row_limit(spark, d):
     plans = table(spark, d, "labels").select(
@@ -191,8 +191,7 @@ def plan_row_limit(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("bytes"))
     return (
         with_plan(rows, plans, key="doc_id", spread="doc_id")
-        .filter(F.col("quality").isNotNull())
-        .select("doc_id", "quality", too_large().alias("too_large"))
+        .select("doc_id", "quality", F.coalesce(too_large(), F.lit(False)).alias("too_large"))
     )
 
 

@@ -220,3 +220,14 @@ def test_record_shapes(spark):
         "level": "error", "message": "m", "channel": "web", "datetime": "1970-01-01T00:00:01.000+00:00",
         "context": {"a": "b"},
     }
+
+
+def test_string_elements_are_no_events(spark):
+    from loomlog.sources.events import explode_records
+
+    lines = ['["{\\"a\\":1}", {"b":2}, 3]', '{"c":1}', '["x"]']
+    rows = explode_records(spark.createDataFrame([(line,) for line in lines], "payload string")).collect()
+    assert [(r.payload, r.problem) for r in rows] == [
+        ('"{\\"a\\":1}"', "not an object"), ('{"b":2}', None), ("3", "not an object"),
+        ('{"c":1}', None), ('"x"', "not an object"),
+    ]
