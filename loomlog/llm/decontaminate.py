@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import string
 from collections.abc import Iterator
@@ -9,83 +10,157 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlog.llm.common import text_of
 
-#: Hashed features, latent dimensions, and extra columns of the random sketch.
-FEATURES, LATENT, EXTRA = 1 << 13, 64, 8
+#: Hashed features, latent dimensions, and rows of the random sketch of all passages.
+FEATURES, LATENT, SKETCH = 1 << 14, 128, 256
+#: Singular values below this share of the largest count as that share.
+FLOOR = 0.1
+#: Bits of a word's hash that tell whether it is a word of the benchmark.
+VOCABULARY_BITS = 24
 #: Words of a block; passages are whole blocks, eight of them where the space is learned.
 BLOCK, PASSAGE_BLOCKS = 8, 8
-#: Least cosine of a candidate, and least share of an item's distinct words it must have.
-LEAST_COSINE, LEAST_OVERLAP = 0.4, 0.5
+#: Least cosine of a candidate with an item, and least share of the item's length along it and of
+#: the item's weight it must have; and least share of the item's distinct words.
+LEAST_COSINE, LEAST_SHARE, LEAST_OVERLAP = 0.3, 0.25, 0.5
 #: Least common subsequence of a copy; and of a paraphrase that has the answer too.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
-#: Tokens worked on at a time, items of a benchmark searched for in one scan, features of a row.
-CHUNK_TOKENS, ITEM_BLOCK, FEATURE_ROWS = 200_000, 20_000, 64
-CACHE_WORDS = 1_000_000
-
-
-class _Features(dict):
-    """Hashed feature of a word without the punctuation around it; 0 is kept for nothing else."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = n = xxhash.xxh32_intdigest(word.strip(PUNCTUATION)) % FEATURES
-        return n
-
-
-PUNCTUATION = string.punctuation.encode()
-
-
-def words_of(raw: bytes) -> list[bytes]:
-    return raw.lower().split()
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]], np.ndarray]]:
-    """Rows in slices of about ``CHUNK_TOKENS`` words: the slice, its words, all their features."""
-    feature = _Features().__getitem__
+#: Bytes worked on at a time, and items of a benchmark searched for in one scan.
+CHUNK_BYTES, ITEM_BLOCK = 1 << 20, 20_000
+
+#: A word is a run of bytes that are neither ASCII white space nor ASCII punctuation, A-Z lower-cased.
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[list(b" \t\n\x0b\x0c\r" + string.punctuation.encode())] = False
+#: A random number per byte, the same for both cases of a letter.
+_BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_BASE = 0x9E3779B97F4A7C15
+
+
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse modulo 2**64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(CHUNK_BYTES + 1, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, place of its first byte) in texts laid end to end that begin at ``starts``.
+
+    A word's hash is a polynomial in its bytes, taken from running sums over the whole input.  Long
+    inputs are worked on in pieces, cut between words where a piece has a place to cut.
+    """
+    powers, inverse = _powers()
+    hashes, places, at = [], [], 0
+    first = np.zeros(len(data) + 1, bool)
+    first[starts] = True
+    while at < len(data):
+        stop = min(at + CHUNK_BYTES, len(data))
+        inside = _IN_WORD[data[at:stop]]
+        if stop < len(data) and inside[-1] and not first[stop]:
+            cut = np.flatnonzero(~inside | first[at:stop])
+            if len(cut) and cut[-1] > 0:
+                stop = at + int(cut[-1])
+                inside = inside[: stop - at]
+        edge = first[at:stop]
+        begin = np.flatnonzero(inside & np.r_[True, ~inside[:-1] | edge[1:]])
+        end = np.flatnonzero(inside & np.r_[~inside[1:] | edge[1:], True]) + 1
+        n = stop - at
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[data[at:stop]] * powers[:n], out=sums[1:])
+        mixed = (sums[end] - sums[begin]) * inverse[begin]
+        mixed ^= mixed >> np.uint64(32)
+        hashes.append(mixed * np.uint64(0xD6E8FEB86659FD93))
+        places.append(begin + at)
+        at = stop
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+class Words(NamedTuple):
+    """Word hashes of a slice of rows, and where each row's words begin (and the end)."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+
+    def features(self, vocabulary: np.ndarray) -> np.ndarray:
+        """Hashed feature of each word; ``FEATURES`` for words that are not the benchmark's."""
+        known = vocabulary[(self.hashes >> np.uint64(64 - VOCABULARY_BITS)).astype(np.int64)]
+        return np.where(known, (self.hashes >> np.uint64(50)).astype(np.int64), FEATURES)
+
+
+def words_of(texts: list[bytes]) -> Words:
+    sizes = np.array([len(text) for text in texts], np.int64)
+    stops = np.cumsum(sizes)
+    hashes, places = word_hashes(np.frombuffer(b"".join(texts), np.uint8), (stops - sizes)[sizes > 0])
+    return Words(hashes, np.r_[0, np.searchsorted(places, stops)])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Rows in slices of about ``CHUNK_BYTES`` with their words."""
     for batch in batches:
-        texts, start, held, size = batch.column("text"), 0, [], 0
-        for i in range(batch.num_rows):
-            held.append(words_of(texts[i].as_buffer().to_pybytes()))
+        start, size, held = 0, 0, []
+        for i, text in enumerate(batch.column("text")):
+            held.append(text.as_buffer())
             size += len(held[-1])
-            if size >= CHUNK_TOKENS or i + 1 == batch.num_rows:
-                ids = np.fromiter((f for words in held for f in map(feature, words)), np.uint16, size)
-                yield batch.slice(start, i + 1 - start), held, ids
-                start, held, size = i + 1, [], 0
+            if size >= CHUNK_BYTES or i + 1 == batch.num_rows:
+                yield batch.slice(start, i + 1 - start), words_of(held)
+                start, size, held = i + 1, 0, []
 
 
-def _block_starts(held: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token offsets of the blocks of all documents, and each document's first block (and the end)."""
-    sizes = np.array([len(words) for words in held], np.int64)
-    blocks = -(-sizes // width)
-    first = np.r_[0, np.cumsum(blocks)]
-    inside = np.arange(first[-1]) - np.repeat(first[:-1], blocks)
-    return np.repeat(np.cumsum(sizes) - sizes, blocks) + inside * width, first
+def _padded(words: Words, vocabulary: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features in rows of ``width`` words, filled up with ``FEATURES``; each text's first row (and the end)."""
+    sizes = np.diff(words.first)
+    rows = -(-sizes // width)
+    first = np.r_[0, np.cumsum(rows)]
+    out = np.full(int(first[-1]) * width, FEATURES, np.int64)
+    out[np.arange(len(words.hashes)) + np.repeat(first[:-1] * width - words.first[:-1], sizes)] = words.features(vocabulary)
+    return out.reshape(-1, width), first
 
 
 class Space(NamedTuple):
-    """A vector per hashed feature; a passage is the sum of its words' vectors."""
+    """The benchmark's words as packed bits, and a weight and a vector per hashed feature.
+
+    A passage is the sum of its words' vectors.
+    """
 
+    vocabulary: np.ndarray
+    weights: np.ndarray
     vectors: np.ndarray
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+def benchmark_words(benchmark: DataFrame) -> np.ndarray:
+    """Which hashes are words of the benchmark: a table of fixed size, as packed bits."""
+    table = np.zeros(1 << VOCABULARY_BITS, bool)
+    for items in item_blocks(benchmark):
+        for item in items:
+            table[(np.array(item.words, np.uint64) >> np.uint64(64 - VOCABULARY_BITS)).astype(np.int64)] = True
+    return np.packbits(table)
+
+
+def document_frequencies(docs: DataFrame, words_known: np.ndarray) -> tuple[np.ndarray, int]:
     """How many documents have each hashed feature, and how many documents there are."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(FEATURES, np.int64), 0
-        for _, held, ids in _chunks(batches):
-            owner = np.repeat(np.arange(len(held)), [len(words) for words in held])
-            pairs = np.unique(owner * FEATURES + ids)
-            seen += np.bincount(pairs % FEATURES, minlength=FEATURES)
-            n += len(held)
-        found = np.flatnonzero(seen)
+        seen, n, vocabulary = np.zeros(FEATURES + 1, np.int64), 0, np.unpackbits(words_known).view(bool)
+        for rows, words in _chunks(batches):
+            features = words.features(vocabulary)
+            for at in range(0, rows.num_rows, 256):
+                first = words.first[at : at + 257]
+                has = np.zeros((len(first) - 1, FEATURES + 1), bool)
+                has[np.repeat(np.arange(len(has)), np.diff(first)), features[first[0] : first[-1]]] = True
+                seen += has.sum(axis=0)
+            n += rows.num_rows
+        found = np.flatnonzero(seen[:-1])
         columns = [pa.array(np.r_[found, -1]), pa.array(np.r_[seen[found], n])]
         yield pa.RecordBatch.from_arrays(columns, ["feature", "n"])
 
@@ -100,72 +175,68 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(text_of().cast("binary").alias("text"))
 
 
-def learn_space(docs: DataFrame, seed: int = 7) -> Space:
+def learn_space(docs: DataFrame, benchmark: DataFrame) -> Space:
     """The latent space of the TF-IDF passages of all of ``docs``, by a randomised decomposition.
 
-    One scan counts document frequencies, one multiplies the passages' Gram matrix with a random
-    sketch: each task adds up its part of it, a fixed number of floats.  The small rest, a Nystrom
-    approximation of the leading eigenvectors, is worked out on the driver from arrays whose size
-    depends on the features alone.  Vectors are scaled by the inverse singular values.
+    Terms are the benchmark's words, weighted by their squared inverse document frequency.  One
+    scan counts document frequencies; one multiplies the matrix of all passages from the left
+    with a random sketch: every passage is added, with a random sign, to one of ``SKETCH`` rows.
+    Each task adds up its own sketch, whose size depends on the features alone, and the sketches
+    are summed row by row.  The singular vectors of the sum, which the driver takes, are those of
+    the passages up to the sketch's error.  Vectors are scaled by the inverse singular values, the
+    small ones taken as a share of the largest, as they are mostly the sketch's own noise.
     """
-    seen, n = document_frequencies(docs)
-    weight = np.where(seen > 0, np.log((n + 1) / (seen + 0.5)), 0.0).clip(0)
-    sketch = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, LATENT + EXTRA)))[0]
-    weighted = (weight[:, None] * sketch).astype(np.float32)
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES, LATENT + EXTRA))
-        for _, held, ids in _chunks(batches):
-            if not len(ids):
-                continue
-            starts, _ = _block_starts(held, BLOCK * PASSAGE_BLOCKS)
-            passages = np.add.reduceat(weighted[ids], starts, axis=0)
-            owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(ids)]))
-            order = np.argsort(ids, kind="stable")
-            features, first = np.unique(ids[order], return_index=True)
-            total[features] += np.add.reduceat(passages[owner[order]], first, axis=0)
-        parts = np.split(total, FEATURES // FEATURE_ROWS)
-        columns = [pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["rows", "product"])
+    known = benchmark_words(benchmark)
+    seen, n = document_frequencies(docs, known)
+    weight = np.log((n + 1) / (seen + 0.5)).clip(0) ** 2
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, vocabulary = np.zeros(SKETCH * FEATURES), np.unpackbits(known).view(bool)
+        for _, words in _chunks(batches):
+            features, _ = _padded(words, vocabulary, BLOCK * PASSAGE_BLOCKS)
+            real = features < FEATURES
+            # The passage's own words choose its row and sign, so a repeated task repeats itself.
+            mark = (np.where(real, features, 0) * np.arange(1, features.shape[1] + 1)).sum(axis=1) * 0x9E3779B1
+            row, sign = (mark >> 7) % SKETCH, 1.0 - 2.0 * (mark >> 17 & 1)
+            np.add.at(total, (row[:, None] * FEATURES + features)[real], np.broadcast_to(sign[:, None], features.shape)[real])
+        parts = total.reshape(SKETCH, FEATURES)
+        columns = [pa.array(range(SKETCH), pa.int32()), pa.array([p.astype("f4").tobytes() for p in parts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
-        whole = sum(np.frombuffer(x.as_buffer()) for x in table["product"])
-        return pa.table({"rows": table["rows"][:1], "product": pa.array([whole.tobytes()], pa.binary())})
+        whole = np.sum([np.frombuffer(x.as_buffer(), "f4") for x in table["sums"]], axis=0, dtype=float)
+        return pa.table({"row": table["row"][:1], "sums": pa.array([whole.astype("f4").tobytes()], pa.binary())})
 
-    summed = _texts(docs).mapInArrow(products, "rows int, product binary")
-    rows = summed.groupBy("rows").applyInArrow(add, "rows int, product binary").collect()
-    product = np.zeros((FEATURES, LATENT + EXTRA))
+    summed = _texts(docs).mapInArrow(sketches, "row int, sums binary")
+    rows = summed.groupBy("row").applyInArrow(add, "row int, sums binary").collect()
+    sketch = np.zeros((SKETCH, FEATURES))
     for row in rows:
-        at = row.rows * FEATURE_ROWS
-        product[at : at + FEATURE_ROWS] = np.frombuffer(row["product"]).reshape(FEATURE_ROWS, -1)
-    product *= weight[:, None]
-    shift = 1e-9 * max(np.linalg.norm(product), 1e-9)
-    product += shift * sketch
-    core = sketch.T @ product
-    half = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * np.trace(core) * np.eye(len(core)))
-    left, sizes, _ = np.linalg.svd(np.linalg.solve(half, product.T).T, full_matrices=False)
+        sketch[row.row] = np.frombuffer(row.sums, "f4")
+    sketch *= weight
+    _, sizes, right = np.linalg.svd(sketch, full_matrices=False)
     keep = sizes[:LATENT] > 1e-6 * max(sizes[0], 1e-12)
-    axes = left[:, :LATENT][:, keep] / sizes[:LATENT][keep]
-    return Space((weight[:, None] * axes).astype(np.float32))
+    axes = right[:LATENT][keep].T / np.maximum(sizes[:LATENT][keep], FLOOR * sizes[0])
+    vectors = np.vstack([weight[:, None] * axes, np.zeros((1, axes.shape[1]))]).astype(np.float32)
+    return Space(known, np.r_[weight, 0.0].astype(np.float32), vectors)
 
 
 class Item(NamedTuple):
     item_id: int
-    words: list[bytes]
-    answer: list[bytes]
+    words: list[int]
+    answer: list[int]
 
 
 def read_item(item_id: int, text: str) -> Item | None:
     """An item's words; its answer is its last sentence, or its last five words if that is shorter."""
-    words = [w.strip(PUNCTUATION) for w in words_of(text.encode())]
+    words = words_of([text.encode()]).hashes.tolist()
     sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n+", text.strip()) if s.strip()]
-    answer = [w.strip(PUNCTUATION) for w in words_of(sentences[-1].encode())] if sentences else []
+    answer = words_of([sentences[-1].encode()]).hashes.tolist() if sentences else []
     return Item(item_id, words, answer if len(answer) >= 5 else words[-5:]) if words else None
 
 
-def common_subsequence(pattern: list[bytes], text: list[bytes]) -> int:
-    """Length of the longest common subsequence, a machine word's worth of columns at a time."""
-    masks: dict[bytes, int] = {}
+def common_subsequence(pattern: list[int], text: list[int]) -> int:
+    """Length of the longest common subsequence, with all columns of the table as bits of one number."""
+    masks: dict[int, int] = {}
     for i, word in enumerate(pattern):
         masks[word] = masks.get(word, 0) | 1 << i
     full = (1 << len(pattern)) - 1
@@ -180,23 +251,27 @@ def search(docs: DataFrame, items: list[Item], space: Space) -> DataFrame:
     """``docs`` (text and others) with ``matches``: array of (item_id, cosine, lcs, answer, start).
 
     For an item of n words the passages are all runs of blocks that are sure to hold n words from
-    any start on; passages whose vector has a cosine of ``LEAST_COSINE`` or more with the item's,
-    and half of its words, are checked by their longest common subsequence with the item.  The
-    best passage of each item is reported.
+    any start on.  Of those with a share of the item's weight, the ones whose vector has a cosine
+    of ``LEAST_COSINE`` or more with the item's, and reaches a share of its length, are candidates;
+    those with half of its words are checked by their longest common subsequence with the item.
+    The best passage of each item is reported.
     """
     widths: dict[int, list[int]] = {}
-    feature = _Features().__getitem__
     for i, item in enumerate(items):
         widths.setdefault(-(-len(item.words) // BLOCK) + 1, []).append(i)
-    vectors = np.array([space.vectors[list(map(feature, item.words))].sum(axis=0) for item in items])
-    vectors = _unit(vectors.reshape(len(items), -1)).T.copy()
+    vocabulary = np.unpackbits(space.vocabulary).view(bool)
+    terms = [Words(np.array(item.words, np.uint64), None).features(vocabulary) for item in items]
+    summed = np.array([space.vectors[t].sum(axis=0) for t in terms]).reshape(len(items), -1)
+    lengths = np.linalg.norm(summed, axis=1)
+    vectors = _unit(summed).T.copy()
+    masses = np.array([space.weights[t].sum() for t in terms])
+    del vocabulary
     bags = [frozenset(item.words) for item in items]
     others = [name for name in docs.columns if name != "text"]
 
-    def check(words: list[bytes], block: int, width: int, which: int) -> dict | None:
+    def check(words: np.ndarray, block: int, width: int, which: int) -> dict | None:
         start = max(block - 1, 0) * BLOCK
-        near = [w.strip(PUNCTUATION) for w in words[start : (block + width + 1) * BLOCK]]
-        item = items[which]
+        near, item = words[start : (block + width + 1) * BLOCK].tolist(), items[which]
         if len(bags[which].intersection(near)) < LEAST_OVERLAP * len(bags[which]):
             return None
         lcs = common_subsequence(item.words, near) / len(item.words)
@@ -206,25 +281,40 @@ def search(docs: DataFrame, items: list[Item], space: Space) -> DataFrame:
         return None
 
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, held, ids in _chunks(batches):
-            found: list[dict[int, dict]] = [{} for _ in held]
-            if len(ids):
-                starts, first = _block_starts(held, BLOCK)
-                summed = np.add.reduceat(space.vectors[ids], starts, axis=0)
-                running = np.vstack([np.zeros((1, summed.shape[1])), np.cumsum(summed, axis=0, dtype=np.float64)])
-                owner = np.repeat(np.arange(len(held)), np.diff(first))
-                for width, which in widths.items():
-                    stop = np.minimum(np.arange(len(starts)) + width, first[owner + 1])
-                    passages = _unit((running[stop] - running[:-1]).astype(np.float32))
-                    cosine = passages @ vectors[:, which]
-                    for block, column in zip(*np.nonzero(cosine >= LEAST_COSINE), strict=True):
-                        doc = owner[block]
-                        match = check(held[doc], int(block - first[doc]), width, which[column])
-                        if match:
-                            match["cosine"] = float(cosine[block, column])
-                            old = found[doc].get(match["item_id"])
-                            if old is None or (match["lcs"], match["cosine"]) > (old["lcs"], old["cosine"]):
-                                found[doc][match["item_id"]] = match
+        vocabulary = np.unpackbits(space.vocabulary).view(bool)
+        for rows, words in _chunks(batches):
+            found: list[dict[int, dict]] = [{} for _ in range(rows.num_rows)]
+            features, first = _padded(words, vocabulary, BLOCK)
+            n, owner = len(features), np.repeat(np.arange(rows.num_rows), np.diff(first))
+            weight = np.r_[0.0, np.cumsum(space.weights[features].sum(axis=1, dtype=float))]
+            windows = {}
+            needed = np.zeros(n + 1, np.int32)
+            for width, which in widths.items():
+                stop = np.minimum(np.arange(n) + width, first[owner + 1])
+                at = np.flatnonzero(weight[stop] - weight[:-1] >= LEAST_SHARE * masses[which].min())
+                windows[width] = (at, stop[at])
+                np.add.at(needed, at, 1)
+                np.add.at(needed, stop[at], -1)
+            needed = np.flatnonzero(np.cumsum(needed[:-1]) > 0)
+            running = np.zeros((n + 1, space.vectors.shape[1]), np.float32)
+            for k in range(BLOCK):
+                running[needed + 1] += space.vectors[features[needed, k]]
+            np.cumsum(running, axis=0, out=running)
+            for width, which in widths.items():
+                at, stop = windows[width]
+                passages = running[stop] - running[at]
+                size = np.maximum(np.linalg.norm(passages, axis=1), 1e-12)
+                product = passages @ vectors[:, which]
+                enough = np.maximum(LEAST_COSINE * size[:, None], LEAST_SHARE * lengths[which])
+                for i, column in zip(*(x.tolist() for x in np.nonzero(product >= enough)), strict=True):
+                    block, doc = int(at[i]), int(owner[at[i]])
+                    own = words.hashes[words.first[doc] : words.first[doc + 1]]
+                    match = check(own, block - int(first[doc]), width, which[column])
+                    if match:
+                        match["cosine"] = float(product[i, column] / size[i])
+                        old = found[doc].get(match["item_id"])
+                        if old is None or (match["lcs"], match["cosine"]) > (old["lcs"], old["cosine"]):
+                            found[doc][match["item_id"]] = match
             listed = [sorted(x.values(), key=lambda m: (-m["lcs"], m["item_id"])) for x in found]
             columns = [*[rows.column(name) for name in others], pa.array(listed, MATCHES)]
             yield pa.RecordBatch.from_arrays(columns, [*others, "matches"])
@@ -278,7 +368,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     them together with 60 % of the item's answer.  The space is learned from all documents.  Null
     and empty texts match nothing, null and empty items are left out.
     """
-    space = learn_space(docs)
+    space = learn_space(docs, benchmark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
     return mark(rows, benchmark, space).select(
         "doc_id",
@@ -292,6 +382,6 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that match no item; no row is shuffled."""
-    space = learn_space(docs)
+    space = learn_space(docs, benchmark)
     rows = docs.select(F.struct("*").alias("_row"), text_of().cast("binary").alias("text"))
     return mark(rows, benchmark, space).filter("size(matches) = 0").select("_row.*")
