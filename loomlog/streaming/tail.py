@@ -20,7 +20,7 @@ from loomlog.operators.pages import rows_only
 from loomlog.plans.predicates import log_filter
 from loomlog.schema import STORED_LOGS
 from loomlog.sinks.exports import write_ndjson
-from loomlog.sources.store import COMMITS_DIR, LOGS_DIR, file_system, read_logs
+from loomlog.sources.store import COMMITS_DIR, LOGS_DIR, file_system, read_days, read_logs
 
 #: Commits one micro-batch of a tail takes at most, which bounds what the driver reads of them.
 COMMITS_PER_BATCH = 1000
@@ -81,7 +81,8 @@ def tail_stream(
         found = batch.collect()  # as many as the option above allows
         if not found:
             return
-        rows = read_logs(spark, root, since=min(c["first"] for c in found), until=max(c["last"] for c in found))
+        # Whole days: a commit names its times in milliseconds, rows may have finer ones.
+        rows = read_days(spark, root, min(c["first"] for c in found), max(c["last"] for c in found))
         rows = rows.filter(F.col("batch").isin([c["batch"] for c in found]))
         if days:
             rows = rows.filter(F.col("dt").cast("string").rlike(fnmatch.translate(days)))

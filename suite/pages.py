@@ -305,3 +305,54 @@ def sql_union(spark, d):
         "SELECT kind, count(*) AS n FROM (SELECT 'e' AS kind, id FROM logs WHERE level = 'error' "
         "UNION ALL SELECT 's' AS kind, id FROM logs WHERE service = 'svc1') GROUP BY kind ORDER BY kind",
     )
+
+
+@check(
+    "sql_slow_requests",
+    f"""{RICH} SELECT service, json_extract_string(body, '$.ms') AS ms, received_at FROM rich
+        WHERE service = 'svc1' AND received_at >= TIMESTAMP '2024-01-19' AND received_at < TIMESTAMP '2024-01-20'
+        AND CAST(json_extract_string(body, '$.ms') AS BIGINT) > 500""",
+)
+def sql_slow_requests(spark, d):
+    return query_sql(
+        rich_logs(spark, d).filter("service = 'svc1' AND to_date(received_at) = DATE'2024-01-19'"),
+        """SELECT service, json_extract(body, '$.ms') AS ms, received_at
+FROM logs WHERE json_extract(body, '$.ms') > 500
+ORDER BY ms DESC""",
+        limit=500,
+    )
+
+
+@check(
+    "sql_latency",
+    f"""{RICH} SELECT service, count(*) AS requests,
+          CAST(max(CAST(json_extract_string(body, '$.ms') AS BIGINT)) AS VARCHAR) AS max_ms
+        FROM rich WHERE json_extract_string(body, '$.ms') IS NOT NULL GROUP BY service""",
+)
+def sql_latency(spark, d):
+    return query_sql(
+        rich_logs(spark, d),
+        """SELECT service,
+       COUNT(*) AS requests,
+       MAX(json_extract(body, '$.ms')) AS max_ms
+FROM logs WHERE json_extract(body, '$.ms') IS NOT NULL
+GROUP BY service ORDER BY max_ms DESC""",
+    )
+
+
+@check(
+    "sql_hour_errors",
+    f"""{WITH} SELECT service, strftime(date_trunc('hour', received_at), '%Y-%m-%dT%H:00:00Z') AS hour, count(*) AS errors
+        FROM logs WHERE level = 'error' AND received_at >= TIMESTAMP '2024-01-19'
+        AND received_at < TIMESTAMP '2024-01-20' GROUP BY 1, 2""",
+)
+def sql_hour_errors(spark, d):
+    return query_sql(
+        logs(spark, d).filter("to_date(received_at) = DATE'2024-01-19'"),
+        """SELECT service,
+       strftime('%Y-%m-%dT%H:00:00Z', received_at) AS hour,
+       COUNT(*) AS errors
+FROM logs WHERE level = 'error'
+GROUP BY service, hour ORDER BY hour DESC""",
+        limit=500,
+    )

@@ -10,10 +10,10 @@ from loomlog.operators.counters import log_counts
 from loomlog.operators.retention import deleted_rows, kept_rows, newest_rows
 from loomlog.operators.tenancy import retained
 from loomlog.session import shared_dir
-from loomlog.sinks.store import delete_where, ingest_batch, purge_before, purge_excess
+from loomlog.sinks.store import compact, delete_where, ingest_batch, purge_before, purge_excess
 from loomlog.sources.store import read_counts, read_logs
-from loomlog.streaming.aggregates import windowed_counts
-from loomlog.streaming.tail import stored_stream, tail_stream
+from loomlog.streaming.aggregates import alerts, running_counts, windowed_counts
+from loomlog.streaming.tail import stored_stream, tail_stream, watch
 from suite import check
 from suite.views import LOGS_SQL, events, logs, table
 
@@ -153,3 +153,64 @@ def stream_histogram(spark, d):
     )
     query.awaitTermination()
     return spark.read.schema("bucket STRING, count BIGINT").parquet(f"{root}/hist")
+
+
+@check(
+    "stream_tail_after_upkeep",
+    f"""{STORED_SQL} SELECT n, trace_id FROM stored
+        WHERE received_at < TIMESTAMP '2024-01-16' OR service <> 's2'""",
+)
+def stream_tail_after_upkeep(spark, d):
+    """Every row comes once although batches are replayed, rows deleted and a day compacted."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    rows = raw_events(spark, d)
+    early, late = rows.filter(F.col("received_at") < "2024-01-16"), rows.filter(F.col("received_at") >= "2024-01-16")
+
+    def tail():
+        tail_stream(spark, root, f"{root}/tail", f"{root}/tail-state", available_now=True).awaitTermination()
+
+    ingest_batch(early, root, 0)
+    tail()
+    ingest_batch(late, root, 1)
+    delete_where(spark, root, service="s2")
+    ingest_batch(late, root, 1)
+    compact(spark, root, "2024-01-15")
+    tail()
+    lines = spark.read.schema("trace_id STRING, body STRING").json(f"{root}/tail/*")
+    return lines.select(F.get_json_object("body", "$.n").cast("bigint").alias("n"), "trace_id")
+
+
+@check(
+    "watch_stored",
+    f"""{STORED_SQL} SELECT n, service FROM stored WHERE service = 's1' AND level = 'error'
+        ORDER BY received_at, n LIMIT 50""",
+)
+def watch_stored(spark, d):
+    seen = watch(spark, stored(spark, d), None, timeout_seconds=5, service="s1", level="error")
+    found = spark.createDataFrame([(r["service"], r["body"]) for r in seen.rows], "service STRING, body STRING")
+    return found.select(F.get_json_object("body", "$.n").cast("bigint").alias("n"), "service")
+
+
+@check("stream_counts", f"{STORED_SQL} SELECT service, level, count(*) AS count FROM stored GROUP BY 1, 2")
+def stream_counts(spark, d):
+    name = f"counts_{uuid.uuid4().hex}"
+    counts = running_counts(stored_stream(spark, stored(spark, d)))
+    query = counts.writeStream.format("memory").queryName(name).outputMode("complete")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("service", "level", "count")
+
+
+@check(
+    "stream_alerts",
+    f"""{STORED_SQL}, w AS (SELECT date_trunc('hour', received_at) AS since, service, count(*) AS count
+          FROM stored WHERE level = 'error' GROUP BY 1, 2 HAVING count(*) >= 2)
+        SELECT since, service, count FROM w
+        WHERE since + INTERVAL 1 HOUR <= (SELECT max(received_at) FROM stored WHERE level = 'error')""",
+)
+def stream_alerts(spark, d):
+    root = stored(spark, d)
+    found = alerts(stored_stream(spark, root), 60, 2)
+    query = found.writeStream.format("parquet").outputMode("append").option("path", f"{root}/alerts")
+    query = query.option("checkpointLocation", f"{root}/alert-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("since TIMESTAMP, service STRING, count BIGINT").parquet(f"{root}/alerts")
