@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from loomlog.functions.args import export_limit, page_limit
 from loomlog.functions.instants import When
 from loomlog.functions.jsonbody import compare_field, parsed
-from loomlog.plans.predicates import log_filter
+from loomlog.plans.predicates import all_of, batch_bound, log_filter
 from loomlog.plans.textquery import search_condition
-from loomlog.schema import ROW_COLUMNS
+from loomlog.schema import ID_BITS, ROW_COLUMNS
 
 
 def rows_only(df: DataFrame) -> DataFrame:
@@ -88,7 +88,8 @@ def search_logs(
 
 def get_log(df: DataFrame, log_id: int) -> DataFrame:
     """The row with this id, or no row."""
-    return rows_only(df.filter(F.col("id") == F.lit(log_id)))
+    bound = batch_bound(df, F.col("batch") == F.lit(log_id >> ID_BITS))
+    return rows_only(df.filter(all_of([F.col("id") == F.lit(log_id), *bound])))
 
 
 def field_rows(

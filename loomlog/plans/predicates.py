@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.instants import When, instant, to_instant
+from loomlog.schema import ID_BITS
 
 
 def all_of(conditions: list[Column]) -> Column:
@@ -42,6 +43,11 @@ def time_bounds(
     return conditions + (day_bounds(since, until) if "dt" in df.columns else [])
 
 
+def batch_bound(df: DataFrame, condition: Column) -> list[Column]:
+    """A condition on the batch an id carries, for tables partitioned by it: it prunes batches."""
+    return [condition] if {"batch", "dt"}.issubset(df.columns) else []
+
+
 def log_filter(
     df: DataFrame,
     *,
@@ -64,6 +70,7 @@ def log_filter(
     conditions += time_bounds(df, since, until)
     if after_id is not None:
         conditions.append(F.col("id") > F.lit(after_id))
+        conditions += batch_bound(df, F.col("batch") >= F.lit(after_id >> ID_BITS))
     return df.filter(all_of(conditions)) if conditions else df
 
 

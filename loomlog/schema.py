@@ -48,6 +48,9 @@ LOG_COUNTS = T.StructType(
     ]
 )
 
+#: An id is its batch, then this many bits for the place in it.
+ID_BITS = 40
+
 COUNT_DELTAS = T.StructType(LOG_COUNTS.fields + [T.StructField("batch", T.LongType())])
 
 TOKENS = T.StructType(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import suite
 from loomlog.operators.dedup import drop_recent_duplicates
-from loomlog.operators.pages import query_logs
+from loomlog.operators.pages import get_log, query_logs
+from loomlog.plans.predicates import log_filter
 from loomlog.plans.skew import heavy_keys, lookup_join
 from loomlog.sinks.store import ingest_batch
 from loomlog.sources.store import read_logs
@@ -66,6 +67,18 @@ def test_days_are_pruned(spark, tmp_path):
     assert df.count() == min(100, whole.count()) > 0
 
 
+def test_a_cursor_and_an_id_prune_batches(spark, tmp_path):
+    raw = logs(spark, SF).select("received_at", F.col("body").alias("payload"))
+    for batch in range(3):
+        part = raw.filter(F.dayofmonth("received_at") % 3 == batch)
+        ingest_batch(part, str(tmp_path), batch)
+    stored = read_logs(spark, str(tmp_path))
+    last = stored.orderBy(F.desc("id")).first()["id"]
+    for df in (log_filter(stored, after_id=last - 1), get_log(stored, last)):
+        filters = re.search(r"PartitionFilters: \[(.*?)\]\n", plan_of(df)).group(1)
+        assert "batch" in filters and [r["id"] for r in df.collect()] == [last]
+
+
 @pytest.fixture
 def skewed(spark):
     """A third of the rows share one key, and some have none."""
