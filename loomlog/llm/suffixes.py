@@ -16,15 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import salted_lookup, staged, text_of
+from loomlog.llm.common import discard, salted_lookup, staged, text_of
 
 LENGTH, GRAM = 100, 32
 #: Bytes of the anchor's hash in front of each suffix: ranges are cut between hashes.
 HEAD = 8
 #: Bytes hashed at a time, bytes of suffixes in a sorted run, and in a range of the order.
-PIECE, RUN_BYTES, RANGE_BYTES = 1 << 21, 48 << 20, 48 << 20
+PIECE, RUN_BYTES, RANGE_BYTES = 1 << 18, 8 << 20, 16 << 20
 #: Suffixes of one gram whose windows are compared where they were sorted; more are shuffled on.
-GROUP = 2000
+GROUP = 4000
+#: Rows of a batch put out.
+OUT_ROWS = 5000
 NO_ID = (1 << 63) - 1
 
 
@@ -105,6 +107,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc.alias("doc"), F.xxhash64(text).alias("tid"), text.alias("text"))
 
 
+def _packed(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with its texts compressed one by one, for the shuffles that carry them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            sizes = [len(x.as_buffer()) for x in batch.column("text")]
+            data = [codec.compress(x.as_buffer(), asbytes=True) for x in batch.column("text")]
+            columns = [batch.column("doc"), batch.column("tid"), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "tid", "size", "text"])
+
+    return keyed.mapInArrow(rows, "doc long, tid long, size long, text binary")
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in slices of about ``PIECE`` bytes with their texts as they were."""
+    codec, sizes, start, size = pa.Codec("zstd", 1), batch.column("size").to_pylist(), 0, 0
+    for i in range(batch.num_rows):
+        size += sizes[i]
+        if size >= PIECE or i + 1 == batch.num_rows:
+            part = batch.slice(start, i + 1 - start)
+            texts = [
+                codec.decompress(x.as_buffer(), n, asbytes=True) if n else b""
+                for x, n in zip(part.column("text"), sizes[start : i + 1], strict=True)
+            ]
+            at = part.schema.get_field_index("text")
+            yield part.set_column(at, "text", pa.array(texts, pa.binary()))
+            start, size = i + 1, 0
+
+
 def repeated_grams(keyed: DataFrame) -> DataFrame:
     """(doc, tid, grams): hashes of the anchors whose gram may occur at another anchor too.
 
@@ -252,13 +284,15 @@ def _earliest(equal: list[Entry], out: list[dict]) -> Entry:
 def sorted_runs(docs: DataFrame, ranges: int) -> DataFrame:
     """Suffixes at the anchors of ``docs`` (doc, tid, text, grams) as packed runs, and spans.
 
-    Of equal suffixes in a run only the first travels on; the others' spans are rows of part -1.
+    Of equal suffixes in a run only the first travels on; the others' spans are rows without a
+    run, dealt out evenly over the parts.
     """
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: list[Entry] = []
         size = 0
-        for chunk, data, stops in _chunks(batches):
+        whole = (part for batch in batches for part in _unpacked(batch))
+        for chunk, data, stops in _chunks(whole):
             place, first, last, hashes = anchors(data, stops)
             owner = np.searchsorted(stops, place, side="right")
             grams = chunk.column("grams")
@@ -278,7 +312,7 @@ def sorted_runs(docs: DataFrame, ranges: int) -> DataFrame:
         if entries:
             yield _run_rows(entries, ranges)
 
-    return docs.mapInArrow(runs, "part int, run binary, doc long, tid long, start long, stop long")
+    return docs.mapInArrow(runs, RUNS)
 
 
 def _run_rows(entries: list[Entry], ranges: int) -> pa.RecordBatch:
@@ -295,50 +329,88 @@ def _run_rows(entries: list[Entry], ranges: int) -> pa.RecordBatch:
     parts: dict[int, list[Entry]] = {}
     for entry in kept:
         parts.setdefault(int.from_bytes(entry[0][:4], "big") * ranges >> 32, []).append(entry)
-    rows = [{"part": part, "run": pack_run(held)} for part, held in parts.items()]
-    rows += [{"part": -1, **{k: s[k] for k in ("doc", "tid", "start", "stop")}} for s in spans]
-    return pa.RecordBatch.from_pylist(rows, RUN_ARROW)
+    codec = pa.Codec("zstd", 1)
+    packed = [pack_run(held) for held in parts.values()]
+    n = len(spans)
+    columns = [
+        pa.array([*parts, *[i % ranges for i in range(n)]], pa.int32()),
+        pa.array([*[codec.compress(run, asbytes=True) for run in packed], *[None] * n], pa.binary()),
+        pa.array([*map(len, packed), *[None] * n], pa.int64()),
+        *[pa.array([*[None] * len(parts), *[s[k] for s in spans]], pa.int64()) for k in ("doc", "tid", "start", "stop")],
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["part", "run", "size", "doc", "tid", "start", "stop"])
 
 
-RUN_ARROW = pa.schema(
-    [("part", pa.int32()), ("run", pa.binary()), ("doc", pa.int64()), ("tid", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())]
-)
+RUNS = "part int, run binary, size long, doc long, tid long, start long, stop long"
 
 
-def merge_range(table: pa.Table) -> pa.Table:
+def merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of the ranges in ``batches``, which come sorted by part, range by range."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        parts = batch.column("part").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            if held and stop > start and held[0].column("part")[0].as_py() != parts[start]:
+                yield from merge_range(pa.Table.from_batches(held))
+                held = []
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+    if held:
+        yield from merge_range(pa.Table.from_batches(held))
+
+
+def merge_range(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """The spans of one range of the order: repeated suffixes, and repeated windows of unequal ones.
 
     Suffixes that share a gram follow each other.  Of equal ones the first stays; the windows of
     those that stay are compared with each other, here if they are few, else as rows of kind 1.
+    Rows leave as they come, so that a gram with very many suffixes is never held as a whole.
     """
+    spans = table.filter(table["run"].is_null()).select(["doc", "tid", "start", "stop"])
+    if len(spans):
+        kinds = pa.array(np.zeros(len(spans), np.int32))
+        known = spans.add_column(0, "kind", kinds).append_column("window", pa.nulls(len(spans), pa.binary()))
+        yield from known.cast(SPAN_ARROW).to_batches()
+    codec, sent = pa.Codec("zstd", 1), table.filter(table["run"].is_valid())
+    runs = [codec.decompress(r.as_buffer(), n.as_py(), asbytes=True) for r, n in zip(sent["run"], sent["size"], strict=True)]
     out: list[dict] = []
+    for found in _merged_spans(runs):
+        out.append(found)
+        if len(out) == OUT_ROWS:
+            yield pa.RecordBatch.from_pylist(out, SPAN_ARROW)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, SPAN_ARROW)
+
+
+def _merged_spans(runs: list[bytes]) -> Iterator[dict]:
     equal: list[Entry] = []
     group: list[Entry] = []
     wide = False
-
-    def close_equal() -> None:
-        nonlocal wide
-        if equal:
-            group.append(_earliest(equal, out))
-            equal.clear()
+    for shared, entry in _marked(merge_runs(runs)):
+        same = entry and equal and shared == len(entry[0]) == len(equal[-1][0]) and entry[1] == equal[-1][1]
+        if equal and not same:
+            first = min(equal, key=lambda e: (e[2], e[3]))
+            yield from (_span(e) for e in equal if e[2:4] != first[2:4])
+            equal = []
+            group.append(first)
             if len(group) > GROUP or wide:
                 wide = True
-                for entry in group:
-                    out.extend(_window_rows(entry))
-                group.clear()
-
-    for shared, entry in merge_runs([x.as_py() for x in table["run"]]):
-        same = equal and shared == len(entry[0]) == len(equal[-1][0]) and entry[1] == equal[-1][1]
-        if not same:
-            close_equal()
-            if shared < HEAD + GRAM:
-                out.extend(_compare_windows(group))
-                group.clear()
-                wide = False
-        equal.append(entry)
-    close_equal()
-    out.extend(_compare_windows(group))
-    return pa.Table.from_pylist(out, SPAN_ARROW)
+                for one in group:
+                    yield from _window_rows(one)
+                group = []
+        if shared < HEAD + GRAM:
+            yield from _compare_windows(group)
+            group, wide = [], False
+        if entry:
+            equal.append(entry)
+
+
+def _marked(merged: Iterator[tuple[int, Entry]]) -> Iterator[tuple[int, Entry | None]]:
+    """The merged entries and one mark that shares nothing, which closes the last group."""
+    yield from merged
+    yield 0, None
 
 
 def _text(entry: Entry) -> tuple[bytes, int]:
@@ -381,16 +453,17 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     grams = staged(repeated_grams(keyed), "grams")
     total = grams.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
     ranges = max(1, int(total * (LENGTH + 72) // RANGE_BYTES))
-    runs = staged(sorted_runs(keyed.join(grams, ["doc", "tid"]), ranges), "runs")
-    merged = staged(runs.filter("part >= 0").select("part", "run").groupBy("part").applyInArrow(merge_range, SPANS), "merged")
+    runs = sorted_runs(_packed(keyed).join(grams, ["doc", "tid"]), ranges)
+    in_order = runs.repartition("part").sortWithinPartitions("part")
+    merged = staged(in_order.mapInArrow(merge_ranges, SPANS), "merged")
+    discard(grams)
     windows = merged.filter("kind = 1").select("doc", "tid", "start", "stop", "window")
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"))
     later = salted_lookup(windows, firsts, ["window"], ["doc", "start"]).filter(
         "struct(doc, start) > struct(first.doc, first.start)"
     )
     columns = ["doc", "tid", "start", "stop"]
-    known = runs.filter("part < 0").select(*columns).union(merged.filter("kind = 0").select(*columns))
-    return known.union(later.select(*columns))
+    return merged.filter("kind = 0").select(*columns).union(later.select(*columns))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -406,7 +479,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _unpacked(whole)):
             rows = []
             for doc, raw, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans")), strict=True):
                 kept, removed, n, at = [], 0, 0, 0
@@ -420,7 +493,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    marked = keyed.join(spans, ["doc", "tid"], "left")
+    marked = _packed(keyed).join(spans, ["doc", "tid"], "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     return marked.mapInArrow(cut, schema)
 
