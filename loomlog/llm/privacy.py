@@ -46,6 +46,12 @@ ALPHABETS: list[tuple[str, str]] = [
 ]
 
 
+#: Every entity has one of these characters or words in it; texts without any are not searched.
+MARKS = "[0-9@=:]"
+_TITLES = [title for title in f"{_MALE}|{_FEMALE}|{_EITHER}".replace("Herrn?", "Herr").split("|") if title != "M"]
+WORDS = [*_TITLES, "M.", "M ", "M\xa0", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-"]
+
+
 def _quoted(text: str) -> str:
     return "r'" + text + "'" if "'" not in text else "r\"" + text.replace('"', r"\x22") + '"'
 
@@ -53,8 +59,11 @@ def _quoted(text: str) -> str:
 def find_entities(text: str = "text") -> Column:
     """array<struct(kind, raw)> of the entities in a text, in order."""
     kinds = " ".join(f"WHEN e RLIKE {_quoted(f'^(?:{p})$')} THEN '{kind}'" for kind, p in KINDS.items())
-    found = f"regexp_extract_all(coalesce({text}, ''), {_quoted(ANY)}, 0)"
-    return F.expr(f"transform({found}, e -> named_struct('kind', CASE {kinds} ELSE 'person' END, 'raw', e))")
+    words = " OR ".join(f"contains({text}, '{word}')" for word in WORDS)
+    found = f"regexp_extract_all({text}, {_quoted(ANY)}, 0)"
+    entities = f"transform({found}, e -> named_struct('kind', CASE {kinds} ELSE 'person' END, 'raw', e))"
+    none = "cast(array() AS array<struct<kind:string,raw:string>>)"
+    return F.expr(f"CASE WHEN {text} RLIKE '{MARKS}' OR {words} THEN {entities} ELSE {none} END")
 
 
 def _value() -> Column:
