@@ -55,11 +55,25 @@ def train_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     learnable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(~held_out())
-    labelled = learnable.join(known.hint("shuffle_hash"), "doc_id")
+    likely = learnable.join(F.broadcast(_id_filter(known)), F.expr(WORD) == F.col("_word")).filter(f"(_bits & {MASK}) = {MASK}")
+    labelled = likely.join(known.hint("shuffle_hash"), "doc_id")
     once = labelled.select(F.col("toxic").cast("int").alias("toxic"), "text", F.xxhash64("text").alias("_same"))
     return once.dropDuplicates(["toxic", "_same"]).select("toxic", "text")
 
 
+def _id_filter(known: DataFrame) -> DataFrame:
+    """A Bloom filter of the labelled ids, so that few texts without a label are shuffled.
+
+    At most ``FILTER_WORDS`` rows of one 64-bit word each, however many labels there are.
+    """
+    return known.selectExpr(f"{WORD} AS _word", f"{MASK} AS _mask").groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+
+
+FILTER_WORDS = 1 << 17
+WORD = f"(xxhash64(doc_id) & {FILTER_WORDS - 1}L)"
+MASK = "(" + " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), {n}) & 63 AS INT))" for n in (24, 30, 36)) + ")"
+
+
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
