@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 import string
 from collections.abc import Iterator
@@ -24,13 +25,12 @@ FLOOR = 0.1
 VOCABULARY_BITS = 24
 #: Words of a block; passages are whole blocks, eight of them where the space is learned.
 BLOCK, PASSAGE_BLOCKS = 8, 8
-#: Least cosine of a candidate with an item, and least share of the item's length along it and of
-#: the item's weight it must have; and least share of the item's distinct words.
-LEAST_COSINE, LEAST_SHARE, LEAST_OVERLAP = 0.3, 0.25, 0.5
 #: Least common subsequence of a copy; and of a paraphrase that has the answer too.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 #: Bytes worked on at a time, and items of a benchmark searched for in one scan.
 CHUNK_BYTES, ITEM_BLOCK = 1 << 20, 20_000
+#: Items of one length whose words are counted at a time, and blocks of a stretch looked at as a whole first.
+ITEM_SLICE, STRETCH = 256, 16
 
 #: A word is a run of bytes that are neither ASCII white space nor ASCII punctuation, A-Z lower-cased.
 _IN_WORD = np.ones(256, bool)
@@ -128,13 +128,12 @@ def _padded(words: Words, vocabulary: np.ndarray, width: int) -> tuple[np.ndarra
 
 
 class Space(NamedTuple):
-    """The benchmark's words as packed bits, and a weight and a vector per hashed feature.
+    """The benchmark's words as packed bits, and a vector per hashed feature.
 
     A passage is the sum of its words' vectors.
     """
 
     vocabulary: np.ndarray
-    weights: np.ndarray
     vectors: np.ndarray
 
 
@@ -217,7 +216,7 @@ def learn_space(docs: DataFrame, benchmark: DataFrame) -> Space:
     keep = sizes[:LATENT] > 1e-6 * max(sizes[0], 1e-12)
     axes = right[:LATENT][keep].T / np.maximum(sizes[:LATENT][keep], FLOOR * sizes[0])
     vectors = np.vstack([weight[:, None] * axes, np.zeros((1, axes.shape[1]))]).astype(np.float32)
-    return Space(known, np.r_[weight, 0.0].astype(np.float32), vectors)
+    return Space(known, vectors)
 
 
 class Item(NamedTuple):
@@ -251,70 +250,93 @@ def search(docs: DataFrame, items: list[Item], space: Space) -> DataFrame:
     """``docs`` (text and others) with ``matches``: array of (item_id, cosine, lcs, answer, start).
 
     For an item of n words the passages are all runs of blocks that are sure to hold n words from
-    any start on.  Of those with a share of the item's weight, the ones whose vector has a cosine
-    of ``LEAST_COSINE`` or more with the item's, and reaches a share of its length, are candidates;
-    those with half of its words are checked by their longest common subsequence with the item.
-    The best passage of each item is reported.
+    any start on, with a block before and after.  Candidates are those that hold as many distinct
+    words of the item as its least common subsequence needs, counted in running sums over the
+    blocks, so no passage that meets the rule is left out; they are checked by their longest common
+    subsequence with the item.  The best passage of each item is reported, with its cosine to the
+    item in the latent space.
     """
-    widths: dict[int, list[int]] = {}
-    for i, item in enumerate(items):
-        widths.setdefault(-(-len(item.words) // BLOCK) + 1, []).append(i)
     vocabulary = np.unpackbits(space.vocabulary).view(bool)
     terms = [Words(np.array(item.words, np.uint64), None).features(vocabulary) for item in items]
-    summed = np.array([space.vectors[t].sum(axis=0) for t in terms]).reshape(len(items), -1)
-    lengths = np.linalg.norm(summed, axis=1)
-    vectors = _unit(summed).T.copy()
-    masses = np.array([space.weights[t].sum() for t in terms])
     del vocabulary
-    bags = [frozenset(item.words) for item in items]
+    vectors = _unit(np.array([space.vectors[t].sum(axis=0) for t in terms]).reshape(len(items), -1))
+    widths: dict[int, list[int]] = {}
+    for i, item in enumerate(items):
+        widths.setdefault(-(-len(item.words) // BLOCK) + 1, []).append(i)
+    slices = [(w, which[i : i + ITEM_SLICE]) for w, which in widths.items() for i in range(0, len(which), ITEM_SLICE)]
+    bags = [np.unique(t) for t in terms]
+    used = np.unique(np.concatenate([*bags, np.zeros(0, np.int64)])).astype(np.int64)
+    place = np.full(FEATURES + 1, -1)
+    place[used] = np.arange(len(used))
+    # Repeats of words can make up for so many distinct ones; two words may share a feature.
+    least = np.array([math.ceil(PARAPHRASE * len(t) - 1e-9) - (len(t) - len(bag)) for t, bag in zip(terms, bags, strict=True)], np.int32)
     others = [name for name in docs.columns if name != "text"]
 
-    def check(words: np.ndarray, block: int, width: int, which: int) -> dict | None:
-        start = max(block - 1, 0) * BLOCK
-        near, item = words[start : (block + width + 1) * BLOCK].tolist(), items[which]
-        if len(bags[which].intersection(near)) < LEAST_OVERLAP * len(bags[which]):
-            return None
+    def check(near: list[int], which: int) -> dict | None:
+        item = items[which]
         lcs = common_subsequence(item.words, near) / len(item.words)
+        if lcs < PARAPHRASE:
+            return None
         answer = common_subsequence(item.answer, near) / len(item.answer)
-        if lcs >= COPY or (lcs >= PARAPHRASE and answer >= ANSWER):
-            return {"item_id": item.item_id, "lcs": lcs, "answer": answer, "start": start}
+        if lcs >= COPY or answer >= ANSWER:
+            return {"item_id": item.item_id, "lcs": lcs, "answer": answer}
         return None
 
+    def cosine(near: np.ndarray, width: int, which: int) -> float:
+        """The largest cosine of a run of ``width`` blocks in the features ``near``."""
+        blocks = [space.vectors[near[at : at + BLOCK]].sum(axis=0) for at in range(0, len(near), BLOCK)]
+        runs = [np.sum(blocks[at : at + width], axis=0) for at in range(max(len(blocks) - width, 0) + 1)]
+        return float(max(_unit(np.array(runs)) @ vectors[which]))
+
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = np.unpackbits(space.vocabulary).view(bool)
         for rows, words in _chunks(batches):
             found: list[dict[int, dict]] = [{} for _ in range(rows.num_rows)]
-            features, first = _padded(words, vocabulary, BLOCK)
-            n, owner = len(features), np.repeat(np.arange(rows.num_rows), np.diff(first))
-            weight = np.r_[0.0, np.cumsum(space.weights[features].sum(axis=1, dtype=float))]
-            windows = {}
-            needed = np.zeros(n + 1, np.int32)
-            for width, which in widths.items():
-                stop = np.minimum(np.arange(n) + width, first[owner + 1])
-                at = np.flatnonzero(weight[stop] - weight[:-1] >= LEAST_SHARE * masses[which].min())
-                windows[width] = (at, stop[at])
-                np.add.at(needed, at, 1)
-                np.add.at(needed, stop[at], -1)
-            needed = np.flatnonzero(np.cumsum(needed[:-1]) > 0)
-            running = np.zeros((n + 1, space.vectors.shape[1]), np.float32)
-            for k in range(BLOCK):
-                running[needed + 1] += space.vectors[features[needed, k]]
-            np.cumsum(running, axis=0, out=running)
-            for width, which in widths.items():
-                at, stop = windows[width]
-                passages = running[stop] - running[at]
-                size = np.maximum(np.linalg.norm(passages, axis=1), 1e-12)
-                product = passages @ vectors[:, which]
-                enough = np.maximum(LEAST_COSINE * size[:, None], LEAST_SHARE * lengths[which])
-                for i, column in zip(*(x.tolist() for x in np.nonzero(product >= enough)), strict=True):
-                    block, doc = int(at[i]), int(owner[at[i]])
-                    own = words.hashes[words.first[doc] : words.first[doc + 1]]
-                    match = check(own, block - int(first[doc]), width, which[column])
+            features = words.features(vocabulary)
+            sizes = np.diff(words.first)
+            blocks = -(-sizes // BLOCK)
+            first = np.r_[0, np.cumsum(blocks)]
+            owner = np.repeat(np.arange(rows.num_rows), blocks)
+            known = np.flatnonzero(place[features] >= 0)
+            doc = np.searchsorted(words.first, known, "right") - 1
+            feature, block = place[features[known]], first[doc] + (known - words.first[doc]) // BLOCK
+            order = np.argsort(doc * FEATURES + feature, kind="stable")
+            again = (np.diff(feature[order]) == 0) & (np.diff(doc[order]) == 0)
+            before = np.full(len(known), -1)
+            before[order[1:][again]] = block[order[:-1][again]]
+            # A word counts in the runs that begin after its last occurrence's block; none for a
+            # second occurrence in a block.
+            begin = np.maximum(before + 1, first[doc])
+            new = begin <= block
+            feature, block, begin = feature[new], block[new], begin[new]
+            stretches: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for width, which in slices:
+                size = max(STRETCH, width + 2)
+                if size not in stretches:
+                    stretches[size] = _stretches(feature, block, first, size, len(used))
+                part = stretches[size][0]
+                has = np.zeros((len(used), len(which)), np.float32)
+                for i, item in enumerate(which):
+                    has[place[bags[item]], i] = 1
+                alive = (stretches[size][1] @ has >= np.maximum(least[which], 1)).any(axis=1)
+                alive[1:] |= alive[:-1]
+                kept = alive[part]
+                near = kept[block]
+                at = np.flatnonzero(kept)
+                index = np.r_[0, np.cumsum(kept)]
+                low = index[np.maximum(begin[near], block[near] - width - 1)]
+                runs = _enough(feature[near], index[block[near]], low, len(at), has, least[which])
+                for at, column in zip(at[runs[0]].tolist(), runs[1].tolist(), strict=True):
+                    row = owner[at]
+                    start = int(at - first[row]) * BLOCK
+                    low = int(words.first[row]) + start
+                    high = min(low + (width + 2) * BLOCK, int(words.first[row + 1]))
+                    match = check(words.hashes[low:high].tolist(), which[column])
                     if match:
-                        match["cosine"] = float(product[i, column] / size[i])
-                        old = found[doc].get(match["item_id"])
+                        match |= {"start": start, "cosine": cosine(features[low:high], width, which[column])}
+                        old = found[row].get(match["item_id"])
                         if old is None or (match["lcs"], match["cosine"]) > (old["lcs"], old["cosine"]):
-                            found[doc][match["item_id"]] = match
+                            found[row][match["item_id"]] = match
             listed = [sorted(x.values(), key=lambda m: (-m["lcs"], m["item_id"])) for x in found]
             columns = [*[rows.column(name) for name in others], pa.array(listed, MATCHES)]
             yield pa.RecordBatch.from_arrays(columns, [*others, "matches"])
@@ -324,6 +346,41 @@ def search(docs: DataFrame, items: list[Item], space: Space) -> DataFrame:
     return docs.mapInArrow(matches, schema)
 
 
+def _stretches(feature: np.ndarray, block: np.ndarray, first: np.ndarray, size: int, used: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stretch of ``size`` blocks each block is in; and which of ``used`` features a stretch
+    and the next of its text have, so that any run of up to ``size`` blocks from the stretch is in it.
+    """
+    blocks = np.diff(first)
+    parts = -(-blocks // size)
+    begin = np.r_[0, np.cumsum(parts)]
+    part = np.repeat(begin[:-1], blocks) + (np.arange(first[-1]) - np.repeat(first[:-1], blocks)) // size
+    has = np.zeros((begin[-1], used), np.float32)
+    has[part[block], feature] = 1
+    joined = has.copy()
+    if len(has):
+        same = np.diff(np.repeat(np.arange(len(parts)), parts)) == 0
+        np.maximum(joined[:-1], has[1:] * same[:, None], out=joined[:-1])
+    return part, joined
+
+
+def _enough(
+    feature: np.ndarray, block: np.ndarray, begin: np.ndarray, n: int, has: np.ndarray, least: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, item) of the runs that hold ``least`` distinct features of an item.
+
+    ``has`` tells which features an item has.  A feature counts in the runs that begin from ``begin``
+    to ``block``.
+    """
+    if not len(feature):
+        return (np.zeros(0, np.int64),) * 2
+    change = np.zeros((n + 1, has.shape[1]), np.float32)
+    for sign, places in ((1, begin), (-1, block + 1)):
+        order = np.argsort(places, kind="stable")
+        at = np.flatnonzero(np.r_[True, np.diff(places[order]) > 0])
+        change[places[order][at]] += sign * np.add.reduceat(has[feature[order]], at, axis=0)
+    return np.nonzero(np.cumsum(change[:-1], axis=0) >= np.maximum(least, 1))
+
+
 MATCHES = pa.list_(
     pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("start", pa.int64())])
 )

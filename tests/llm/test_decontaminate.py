@@ -89,3 +89,39 @@ def test_odd_rows(spark):
     assert left.columns == docs.columns
     assert decontaminate.find_contaminated(empty(spark), benchmark).count() == 0
     assert decontaminate.find_contaminated(docs, empty(spark, ITEMS)).filter("contaminated").count() == 0
+
+
+def brute_matches(items, pairs):
+    """Documents by the rule itself: a longest common subsequence at every word, no candidates."""
+    out = set()
+    for i, text in pairs:
+        words = decontaminate.words_of([text.encode()]).hashes.tolist()
+        for k, passage in items:
+            item = decontaminate.read_item(k, passage)
+            n = len(item.words)
+            for at in range(max(len(words) - n, 0) + 1):
+                part = words[at : at + n + 8]
+                lcs = decontaminate.common_subsequence(item.words, part)
+                if lcs >= 0.8 * n or lcs >= 0.6 * n and decontaminate.common_subsequence(item.answer, part) >= 0.6 * len(item.answer):
+                    out.add(i)
+    return out
+
+
+def test_paraphrases_of_the_rarest_words_are_found(spark):
+    rng, common = random.Random(12), [f"c{i}" for i in range(60)]
+    items, pairs = [], []
+    for k in range(12):
+        passage = [f"rare{k}x{j}" if j % 5 < 2 else rng.choice(common) for j in range(40)]
+        items.append((k, passage))
+        for share in (0.2, 0.3, 0.4):
+            copy, left = list(passage), int(share * 40)
+            for j in [j for j in range(35) if j % 5 < 2][:left]:
+                copy[j] = f"zz{k}x{j}"
+            body = [rng.choice(common) + "y" for _ in range(30)]
+            pairs.append((len(pairs), " ".join(body[:11] + copy + body[11:])))
+    for k in range(200):
+        pairs.append((len(pairs), " ".join(rng.choice(common) + rng.choice(["", "y"]) for _ in range(60))))
+    items = [(k, " ".join(w)) for k, w in items]
+    rows = decontaminate.find_contaminated(documents(spark, pairs), spark.createDataFrame(items, ITEMS)).collect()
+    expected = brute_matches(items, pairs)
+    assert len(expected) >= 36 and {r.doc_id for r in rows if r.contaminated} == expected
