@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,22 +21,47 @@ from loomlog.llm.common import staged, text_of
 STEMS = (4, 5)
 #: Weight of the background prior, as a share of all counted features.
 PRIOR_SHARE = 0.1
-#: A feature carries weight from this share of the toxic features and this z value on.  The share
-#: bounds the model: there are at most 1 / SHARE weighted features, whatever the corpus.
-SHARE = 1e-5
+#: A feature carries weight from this z value on.
 LEAST_Z = 4.0
+#: Counted features from which on a word is known by itself.
+KNOWN = 2
 #: Score of a token without weight: about sixty of them part two passages of one strong word each.
 GAP = -0.1
 #: Evidence from here on counts as this much; the calibrated score is 1 long before.
 FULL_EVIDENCE = 60.0
 THRESHOLD = 0.3
 EULER = 0.5772156649015329
+#: Of the hash of a feature; Spark's own.
+SEED = 42
+
+
+class Weights(NamedTuple):
+    """Weights by the sorted hashes of their features, as packed arrays: 16 bytes a feature."""
+
+    hashes: bytes
+    values: bytes
+
+    @staticmethod
+    def of(hashes: np.ndarray, values: np.ndarray) -> Weights:
+        order = np.argsort(hashes)
+        return Weights(hashes[order].tobytes(), values[order].tobytes())
+
+    def lookup(self) -> Callable[[str], float | None]:
+        """The weight of a feature, None where it has none."""
+        hashes, values = np.frombuffer(self.hashes, np.int64), np.frombuffer(self.values)
+
+        def weight(feature: str) -> float | None:
+            key = np.uint64(xxhash.xxh64_intdigest(feature.encode(), SEED)).astype(np.int64)
+            at = hashes.searchsorted(key)
+            return float(values[at]) if at < len(hashes) and hashes[at] == key else None
+
+        return weight
 
 
 class Model(NamedTuple):
     """Weights of features, the tail's decay and scale, and the calibration of the evidence."""
 
-    weights: dict[str, float]
+    weights: Weights
     decay: float
     log_scale: float
     intercept: float
@@ -105,19 +131,20 @@ def _feature_batch(words: tuple[Counter, Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["feature", "clean", "toxic"])
 
 
-def weighted_features(counted: DataFrame) -> tuple[dict[str, float], list[tuple[float, float]]]:
-    """Features whose log-odds speak for toxicity, and their rate in clean text with their weight.
+def weighted_features(counted: DataFrame) -> tuple[Weights, np.ndarray]:
+    """Features whose log-odds speak for toxicity, and columns of their rate in clean text and weight.
 
     A word that is known well enough and does not speak for toxicity has weight 0, whatever its
     beginning says.
 
     The log-odds of a feature between the classes have a Dirichlet prior that is the background of
-    both classes together, weighted as ``PRIOR_SHARE`` of all counts.
+    both classes together, weighted as ``PRIOR_SHARE`` of all counts.  The driver takes hashes and
+    weights of all that pass, and hands them to the workers.
     """
     total = counted.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.sum("clean"), F.lit(0)).alias("clean")).first()
     everything = total.toxic + total.clean
     if not total.toxic or not total.clean:
-        return {}, []
+        return Weights(b"", b""), np.zeros((2, 0))
     prior = PRIOR_SHARE * everything
     rate = f"((toxic + clean) * {prior / everything!r}D)"
 
@@ -128,11 +155,9 @@ def weighted_features(counted: DataFrame) -> tuple[dict[str, float], list[tuple[
         "feature", "toxic", "clean", f"{odds('toxic', total.toxic)} - {odds('clean', total.clean)} AS weight",
         f"sqrt(1 / (toxic + {rate}) + 1 / (clean + {rate})) AS deviation",
     )
-    strong = f"toxic >= {SHARE * total.toxic!r} AND weight >= {LEAST_Z} * deviation AND weight > 1"
-    # At most 1 / SHARE rows here, and ten times as many words below, by their shares.
-    rows = scored.filter(strong).collect()
-    weights = {r.feature: r.weight for r in rows}
-    known = scored.filter(f"toxic + clean >= {max(2.0, SHARE / 10 * everything)!r} AND NOT ({strong})")
+    strong = f"weight >= {LEAST_Z} * deviation AND weight > 1"
+    rows = scored.filter(strong).select(F.xxhash64("feature").alias("hash"), "weight", (F.col("clean") / total.clean).alias("rate")).toArrow()
+    known = scored.filter(f"toxic + clean >= {KNOWN} AND NOT ({strong})")
     usual = [
         known.filter("startswith(feature, '=')")
         .withColumn("stem", F.concat(F.expr(f"substring(feature, 2, {n})"), F.lit("-")))
@@ -140,15 +165,17 @@ def weighted_features(counted: DataFrame) -> tuple[dict[str, float], list[tuple[
         .select("feature")
         for n in STEMS
     ]
-    weights.update((r.feature, 0.0) for r in usual[0].union(usual[1]).distinct().collect())
-    return weights, [(r.clean / total.clean, r.weight) for r in rows]
+    zero = usual[0].union(usual[1]).distinct().select(F.xxhash64("feature").alias("hash")).toArrow()
+    rate, weight = (rows[name].to_numpy().astype(float) for name in ("rate", "weight"))
+    hashes = np.r_[rows["hash"].to_numpy().astype(np.int64), zero["hash"].to_numpy().astype(np.int64)]
+    return Weights.of(hashes, np.r_[weight, np.zeros(zero.num_rows)]), np.array([rate, weight])
 
 
-def tail_decay(rates: list[tuple[float, float]]) -> float:
+def tail_decay(rates: np.ndarray) -> float:
     """The positive root of E[exp(decay * score)] = 1 over tokens of clean text."""
-    if not rates:
+    if not rates.size:
         return 1.0
-    rate, weight = np.array(rates).T
+    rate, weight = rates
     rate = np.maximum(rate, 1e-9)
     rest = max(1 - rate.sum(), 0.5)
 
@@ -192,21 +219,21 @@ def maximal_segments(places: list[int], scores: list[float]) -> list[tuple[int,
 class _Weights(dict):
     """The weight of a token: its word's, else the larger of its beginnings', else 0."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: Weights):
         super().__init__()
-        self.known = weights
+        self.known = weights.lookup()
 
     def __missing__(self, word: str) -> float:
         if len(self) > 1_000_000:
             self.clear()
         found = features(word)
-        own = self.known.get(found[0]) if found else 0.0
-        weight = own if own is not None else max([self.known.get(stem, 0.0) for stem in found[1:]], default=0.0)
+        own = self.known(found[0]) if found else 0.0
+        weight = own if own is not None else max([self.known(stem) or 0.0 for stem in found[1:]], default=0.0)
         self[word] = weight
         return weight
 
 
-def scan(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+def scan(rows: DataFrame, weights: Weights) -> DataFrame:
     """``rows`` (text and others) with n_tokens and segments: array of (start, stop, score)."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

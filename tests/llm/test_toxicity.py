@@ -92,3 +92,13 @@ def test_drop_keeps_clean_documents(spark):
     left = {r.doc_id for r in toxicity.drop_toxic(docs, spark.createDataFrame(marks, LABELS)).collect()}
     clean = {i for i in range(600) if i % 6}
     assert len(clean - left) <= 3 and len(left - clean) <= 6
+
+
+def test_rare_words_keep_their_weight_in_a_large_table(spark):
+    """A word of 40 toxic texts and no clean one counts however many other toxic features there are."""
+    counted = spark.range(8_000_000).selectExpr("concat('=w', id) AS feature", "1L AS toxic", "1L AS clean")
+    own = spark.createDataFrame([("=vile", 40, 0), ("=vilest", 40, 0), ("vile-", 70, 1)], "feature string, toxic long, clean long")
+    weights, rates = toxicity.weighted_features(counted.union(own))
+    weight = weights.lookup()
+    assert weight("=vile") > 1 and weight("=vilest") > 1 and weight("vile-") > 1 and rates.shape == (2, 3)
+    assert weight("=w5") is None
