@@ -30,6 +30,8 @@ GAP = -0.1
 #: Evidence from here on counts as this much; the calibrated score is 1 long before.
 FULL_EVIDENCE = 60.0
 THRESHOLD = 0.3
+#: Words whose weight a worker remembers, and bytes of rows it hands back at a time.
+CACHED, SLICE_BYTES = 250_000, 1 << 20
 EULER = 0.5772156649015329
 #: Of the hash of a feature; Spark's own.
 SEED = 42
@@ -224,7 +226,7 @@ class _Weights(dict):
         self.known = weights.lookup()
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 1_000_000:
+        if len(self) > CACHED:
             self.clear()
         found = features(word)
         own = self.known(found[0]) if found else 0.0
@@ -239,16 +241,10 @@ def scan(rows: DataFrame, weights: Weights) -> DataFrame:
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight_of = _Weights(weights).__getitem__
         for batch in batches:
-            sizes, found = [], []
-            for text in batch.column("text"):
-                words = (text.as_py() or "").split()
-                weight = np.fromiter(map(weight_of, words), float, len(words))
-                places = np.flatnonzero(weight)
-                spans = maximal_segments(places.tolist(), weight[places].tolist())
-                sizes.append(len(words))
-                found.append([{"start": a, "stop": b, "score": s} for a, b, s in spans])
+            found = [_text_segments(text.as_py(), weight_of) for text in batch.column("text")]
+            spans = [[{"start": a, "stop": b, "score": s} for a, b, s in part] for _, part in found]
             kept = [batch.column(name) for name in others]
-            columns = [*kept, pa.array(sizes, pa.int64()), pa.array(found, SEGMENTS)]
+            columns = [*kept, pa.array([n for n, _ in found], pa.int64()), pa.array(spans, SEGMENTS)]
             yield pa.RecordBatch.from_arrays(columns, [*others, "n_tokens", "segments"])
 
     others = [name for name in rows.columns if name != "text"]
@@ -257,6 +253,14 @@ def scan(rows: DataFrame, weights: Weights) -> DataFrame:
     return rows.mapInArrow(segments, schema)
 
 
+def _text_segments(text: str | None, weight_of: Callable[[str], float]) -> tuple[int, list[tuple[int, int, float]]]:
+    """The number of tokens of a text, and its maximal segments."""
+    words = (text or "").split()
+    weight = np.fromiter(map(weight_of, words), float, len(words))
+    places = np.flatnonzero(weight)
+    return len(words), maximal_segments(places.tolist(), weight[places].tolist())
+
+
 SEGMENTS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))
 
 
@@ -326,8 +330,29 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def text_score(model: Model, n_tokens: int, segments: list[tuple[int, int, float]]) -> float:
+    """What :func:`score_of` gives for one text."""
+    floor = model.log_scale + math.log(max(n_tokens, 1))
+    total = min(sum(max(0.0, model.decay * score - floor) for _, _, score in segments), FULL_EVIDENCE)
+    return 1 / (1 + math.exp(-(model.intercept + model.slope * total)))
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below the threshold; no row is shuffled."""
+    """The rows of ``docs``, all columns, whose score is below the threshold; no row is shuffled.
+
+    Rows go through the workers once, with their text once, and come back in slices of bounded size.
+    """
     model = fit(docs, labels)
-    rows = docs.select(F.struct("*").alias("_row"), text_of().alias("text"))
-    return scan(rows, model.weights).filter(F.expr(score_of(model)) < THRESHOLD).select("_row.*")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight_of = _Weights(model.weights).__getitem__
+        for batch in batches:
+            texts = batch.column(0).field("text")
+            kept = [text_score(model, *_text_segments(text.as_py(), weight_of)) < THRESHOLD for text in texts]
+            left = batch.filter(pa.array(kept, pa.bool_()))
+            step = max(1, SLICE_BYTES * left.num_rows // max(left.nbytes, 1))
+            for at in range(0, left.num_rows, step):
+                yield left.slice(at, step)
+
+    rows = docs.select(F.struct("*").alias("_row"))
+    return rows.mapInArrow(clean, rows.schema).select("_row.*")
