@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import decontaminate, exact, ngram, pieces, privacy, simhash, suffixes, tokenfiles, toxicity, warc
+from loomlog.llm import decontaminate, exact, mixture, ngram, pieces, privacy, simhash, suffixes, tokenfiles, toxicity, turns, warc
 from loomlog.llm.common import staging_path
 
 #: Key of the test queries; real runs pass their own secret.
@@ -73,6 +73,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("entities").alias("n_entities"), *kinds, "text")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turns.repair(turns.damaged(conversations), conversations, "times")
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.taken(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_score": op2_lm_score,
@@ -84,6 +93,8 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_source_mix": op12_source_mix,
 }
 
 ORACLES: dict[str, str] = {

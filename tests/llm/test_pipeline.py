@@ -101,4 +101,4 @@ def test_odd_and_empty_documents(spark):
 
 def test_registered():
     names = {name.split("_")[0] for name in entry.queries() if name.startswith("op")}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
