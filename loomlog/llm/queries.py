@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import decontaminate, exact, mixture, ngram, pieces, privacy, simhash, suffixes, tokenfiles, toxicity, turns, warc
+from loomlog.llm import decontaminate, exact, mixture, negatives, ngram, pieces, privacy, simhash, suffixes, tokenfiles, toxicity, turns, warc
 from loomlog.llm.common import staging_path
 
 #: Key of the test queries; real runs pass their own secret.
@@ -82,6 +82,11 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.taken(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", shifted))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_score": op2_lm_score,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op10_pii": op10_pii,
     "op11_turn_repair": op11_turn_repair,
     "op12_source_mix": op12_source_mix,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -124,5 +130,25 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN latest END AS refers_to
 FROM g
+""",
+    "op13_hard_negatives": """
+WITH r AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, a.label AS anchor_label, r.vec_id, r.label, list_dot_product(a.v, r.v)::BIGINT AS score
+    FROM r a, r WHERE a.vec_id % 100 = 0
+), p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label AND vec_id <> anchor_id
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE label <> anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
 """,
 }

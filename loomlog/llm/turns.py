@@ -294,7 +294,7 @@ def _ends(blocks: DataFrame) -> DataFrame:
 
     backwards = salted_lookup(several, staged(tables, "tables"), ["marks"], ["conv_id", "block"])
     backwards = backwards.repartition("conv_id").sortWithinPartitions("conv_id", F.desc("block"))
-    folded = backwards.mapInArrow(fold, blocks.schema.add("end", "string"))
+    folded = backwards.mapInArrow(fold, T.StructType([*blocks.schema.fields, T.StructField("end", T.StringType())]))
     return blocks.filter(one).withColumn("end", F.lit("")).unionByName(folded)
 
 
@@ -303,7 +303,7 @@ def _solved(requests: DataFrame) -> DataFrame:
     the counts of faults; the first block of a conversation is entered by the first state only.
     """
     longs = T.ArrayType(T.LongType())
-    schema = requests.schema.add("edits", T.ArrayType(T.StringType())).add("costs", longs)
+    schema = T.StructType(list(requests.schema.fields)).add("edits", T.ArrayType(T.StringType())).add("costs", longs)
     schema = schema.add("states", T.ArrayType(T.IntegerType())).add("counts", longs)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
