@@ -6,7 +6,7 @@ import functools
 import math
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -105,18 +105,26 @@ def words_of(texts: list[bytes]) -> Words:
     return Words(hashes, np.r_[0, np.searchsorted(places, stops)])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Rows in slices of about ``CHUNK_BYTES`` with their words."""
+def _chunks(batches: Iterator[pa.RecordBatch], text_of_batch) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Rows in slices of about ``CHUNK_BYTES`` with their words; null texts are empty."""
     for batch in batches:
         start, size, held = 0, 0, []
-        for i, text in enumerate(batch.column("text")):
-            held.append(text.as_buffer())
+        for i, text in enumerate(text_of_batch(batch)):
+            held.append(text.as_buffer() or b"")
             size += len(held[-1])
             if size >= CHUNK_BYTES or i + 1 == batch.num_rows:
                 yield batch.slice(start, i + 1 - start), words_of(held)
                 start, size, held = i + 1, 0, []
 
 
+def _binary_text(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column("text")
+
+
+def _carried_text(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column("_row").field("text")
+
+
 def _padded(words: Words, vocabulary: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Features in rows of ``width`` words, filled up with ``FEATURES``; each text's first row (and the end)."""
     sizes = np.diff(words.first)
@@ -151,7 +159,7 @@ def document_frequencies(docs: DataFrame, words_known: np.ndarray) -> tuple[np.n
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n, vocabulary = np.zeros(FEATURES + 1, np.int64), 0, np.unpackbits(words_known).view(bool)
-        for rows, words in _chunks(batches):
+        for rows, words in _chunks(batches, _binary_text):
             features = words.features(vocabulary)
             for at in range(0, rows.num_rows, 256):
                 first = words.first[at : at + 257]
@@ -191,7 +199,7 @@ def learn_space(docs: DataFrame, benchmark: DataFrame) -> Space:
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, vocabulary = np.zeros(SKETCH * FEATURES), np.unpackbits(known).view(bool)
-        for _, words in _chunks(batches):
+        for _, words in _chunks(batches, _binary_text):
             features, _ = _padded(words, vocabulary, BLOCK * PASSAGE_BLOCKS)
             real = features < FEATURES
             # The passage's own words choose its row and sign, so a repeated task repeats itself.
@@ -246,8 +254,8 @@ def common_subsequence(pattern: list[int], text: list[int]) -> int:
     return len(pattern) - state.bit_count()
 
 
-def search(docs: DataFrame, items: list[Item], space: Space) -> DataFrame:
-    """``docs`` (text and others) with ``matches``: array of (item_id, cosine, lcs, answer, start).
+def searcher(items: list[Item], space: Space) -> Callable[[int, Words, np.ndarray], list[list[dict]]]:
+    """What finds the matches of a slice of texts: of each text a list of (item_id, cosine, lcs, answer, start).
 
     For an item of n words the passages are all runs of blocks that are sure to hold n words from
     any start on, with a block before and after.  Candidates are those that hold as many distinct
@@ -270,7 +278,6 @@ def search(docs: DataFrame, items: list[Item], space: Space) -> DataFrame:
     place[used] = np.arange(len(used))
     # Repeats of words can make up for so many distinct ones; two words may share a feature.
     least = np.array([math.ceil(PARAPHRASE * len(t) - 1e-9) - (len(t) - len(bag)) for t, bag in zip(terms, bags, strict=True)], np.int32)
-    others = [name for name in docs.columns if name != "text"]
 
     def check(near: list[int], which: int) -> dict | None:
         item = items[which]
@@ -288,61 +295,72 @@ def search(docs: DataFrame, items: list[Item], space: Space) -> DataFrame:
         runs = [np.sum(blocks[at : at + width], axis=0) for at in range(max(len(blocks) - width, 0) + 1)]
         return float(max(_unit(np.array(runs)) @ vectors[which]))
 
+    def matches(n: int, words: Words, vocabulary: np.ndarray) -> list[list[dict]]:
+        found: list[dict[int, dict]] = [{} for _ in range(n)]
+        features = words.features(vocabulary)
+        sizes = np.diff(words.first)
+        blocks = -(-sizes // BLOCK)
+        first = np.r_[0, np.cumsum(blocks)]
+        owner = np.repeat(np.arange(n), blocks)
+        known = np.flatnonzero(place[features] >= 0)
+        doc = np.searchsorted(words.first, known, "right") - 1
+        feature, block = place[features[known]], first[doc] + (known - words.first[doc]) // BLOCK
+        order = np.argsort(doc * FEATURES + feature, kind="stable")
+        again = (np.diff(feature[order]) == 0) & (np.diff(doc[order]) == 0)
+        before = np.full(len(known), -1)
+        before[order[1:][again]] = block[order[:-1][again]]
+        # A word counts in the runs that begin after its last occurrence's block; none for a
+        # second occurrence in a block.
+        begin = np.maximum(before + 1, first[doc])
+        new = begin <= block
+        feature, block, begin = feature[new], block[new], begin[new]
+        stretches: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width, which in slices:
+            size = max(STRETCH, width + 2)
+            if size not in stretches:
+                stretches[size] = _stretches(feature, block, first, size, len(used))
+            part = stretches[size][0]
+            has = np.zeros((len(used), len(which)), np.float32)
+            for i, item in enumerate(which):
+                has[place[bags[item]], i] = 1
+            alive = (stretches[size][1] @ has >= np.maximum(least[which], 1)).any(axis=1)
+            alive[1:] |= alive[:-1]
+            kept = alive[part]
+            near = kept[block]
+            at = np.flatnonzero(kept)
+            index = np.r_[0, np.cumsum(kept)]
+            low = index[np.maximum(begin[near], block[near] - width - 1)]
+            runs = _enough(feature[near], index[block[near]], low, len(at), has, least[which])
+            for at, column in zip(at[runs[0]].tolist(), runs[1].tolist(), strict=True):
+                row = owner[at]
+                start = int(at - first[row]) * BLOCK
+                low = int(words.first[row]) + start
+                high = min(low + (width + 2) * BLOCK, int(words.first[row + 1]))
+                match = check(words.hashes[low:high].tolist(), which[column])
+                if match:
+                    match |= {"start": start, "cosine": cosine(features[low:high], width, which[column])}
+                    old = found[row].get(match["item_id"])
+                    if old is None or (match["lcs"], match["cosine"]) > (old["lcs"], old["cosine"]):
+                        found[row][match["item_id"]] = match
+        return [sorted(x.values(), key=lambda m: (-m["lcs"], m["item_id"])) for x in found]
+
+    return matches
+
+
+def search(docs: DataFrame, items: list[Item], space: Space) -> DataFrame:
+    """``docs`` (text and others) with ``matches``, as :func:`searcher` finds them."""
+    found = searcher(items, space)
+    others = [name for name in docs.columns if name != "text"]
+
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = np.unpackbits(space.vocabulary).view(bool)
-        for rows, words in _chunks(batches):
-            found: list[dict[int, dict]] = [{} for _ in range(rows.num_rows)]
-            features = words.features(vocabulary)
-            sizes = np.diff(words.first)
-            blocks = -(-sizes // BLOCK)
-            first = np.r_[0, np.cumsum(blocks)]
-            owner = np.repeat(np.arange(rows.num_rows), blocks)
-            known = np.flatnonzero(place[features] >= 0)
-            doc = np.searchsorted(words.first, known, "right") - 1
-            feature, block = place[features[known]], first[doc] + (known - words.first[doc]) // BLOCK
-            order = np.argsort(doc * FEATURES + feature, kind="stable")
-            again = (np.diff(feature[order]) == 0) & (np.diff(doc[order]) == 0)
-            before = np.full(len(known), -1)
-            before[order[1:][again]] = block[order[:-1][again]]
-            # A word counts in the runs that begin after its last occurrence's block; none for a
-            # second occurrence in a block.
-            begin = np.maximum(before + 1, first[doc])
-            new = begin <= block
-            feature, block, begin = feature[new], block[new], begin[new]
-            stretches: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for width, which in slices:
-                size = max(STRETCH, width + 2)
-                if size not in stretches:
-                    stretches[size] = _stretches(feature, block, first, size, len(used))
-                part = stretches[size][0]
-                has = np.zeros((len(used), len(which)), np.float32)
-                for i, item in enumerate(which):
-                    has[place[bags[item]], i] = 1
-                alive = (stretches[size][1] @ has >= np.maximum(least[which], 1)).any(axis=1)
-                alive[1:] |= alive[:-1]
-                kept = alive[part]
-                near = kept[block]
-                at = np.flatnonzero(kept)
-                index = np.r_[0, np.cumsum(kept)]
-                low = index[np.maximum(begin[near], block[near] - width - 1)]
-                runs = _enough(feature[near], index[block[near]], low, len(at), has, least[which])
-                for at, column in zip(at[runs[0]].tolist(), runs[1].tolist(), strict=True):
-                    row = owner[at]
-                    start = int(at - first[row]) * BLOCK
-                    low = int(words.first[row]) + start
-                    high = min(low + (width + 2) * BLOCK, int(words.first[row + 1]))
-                    match = check(words.hashes[low:high].tolist(), which[column])
-                    if match:
-                        match |= {"start": start, "cosine": cosine(features[low:high], width, which[column])}
-                        old = found[row].get(match["item_id"])
-                        if old is None or (match["lcs"], match["cosine"]) > (old["lcs"], old["cosine"]):
-                            found[row][match["item_id"]] = match
-            listed = [sorted(x.values(), key=lambda m: (-m["lcs"], m["item_id"])) for x in found]
+        for rows, words in _chunks(batches, _binary_text):
+            listed = found(rows.num_rows, words, vocabulary)
             columns = [*[rows.column(name) for name in others], pa.array(listed, MATCHES)]
             yield pa.RecordBatch.from_arrays(columns, [*others, "matches"])
 
     match = T.StructType().add("item_id", "long").add("cosine", "double").add("lcs", "double").add("answer", "double")
-    schema = docs.select(*others).schema.add("matches", T.ArrayType(match.add("start", "long")))
+    schema = T.StructType(list(docs.select(*others).schema.fields)).add("matches", T.ArrayType(match.add("start", "long")))
     return docs.mapInArrow(matches, schema)
 
 
@@ -438,7 +456,23 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that match no item; no row is shuffled."""
+    """The rows of ``docs``, all columns, that match no item; no row is shuffled.
+
+    Rows go through the workers with their text once and come back in slices of bounded size.
+    """
     space = learn_space(docs, benchmark)
-    rows = docs.select(F.struct("*").alias("_row"), text_of().cast("binary").alias("text"))
-    return mark(rows, benchmark, space).filter("size(matches) = 0").select("_row.*")
+    rows = docs.select(F.struct("*").alias("_row"))
+    for items in item_blocks(benchmark):
+        rows = rows.mapInArrow(_without(searcher(items, space), space), rows.schema)
+    return rows.select("_row.*")
+
+
+def _without(found: Callable, space: Space) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lets the rows pass that match no item."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = np.unpackbits(space.vocabulary).view(bool)
+        for rows, words in _chunks(batches, _carried_text):
+            yield rows.filter(pa.array([not listed for listed in found(rows.num_rows, words, vocabulary)], pa.bool_()))
+
+    return clean
