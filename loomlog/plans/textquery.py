@@ -400,3 +400,32 @@ def any_token(wanted: list[tuple[str, bool]], token: Column) -> Column:
     tests = [token.isin(*exact)] if exact else []
     tests += [token.startswith(word) for word, is_prefix in wanted if is_prefix]
     return reduce(or_, tests) if tests else F.lit(False)
+
+
+def presence_flags(query: str) -> tuple[list[tuple[str, bool]], object] | None:
+    """Tokens and tree of a search that presence of tokens decides; None where bodies must be looked at.
+
+    That is so for single words and prefixes joined by AND, OR and NOT: no phrase, no first word,
+    no NEAR.
+    """
+    tree = parse_search(query)
+    leaves = _leaves(tree)
+    if not all(isinstance(leaf, Phrase) and len(leaf.parts) == 1 and not leaf.first for leaf in leaves):
+        return None
+    wanted: list[tuple[str, bool]] = []
+    for leaf in leaves:
+        wanted += [part for part in leaf.parts if part not in wanted]
+    return wanted, tree
+
+
+def presence(tree, flag_of) -> Column:
+    """The exact condition of a tree of ``presence_flags``, given ``flag_of((token, is_prefix)) -> Column``."""
+    if isinstance(tree, Both):
+        return presence(tree.left, flag_of) & presence(tree.right, flag_of)
+    if isinstance(tree, Either):
+        return presence(tree.left, flag_of) | presence(tree.right, flag_of)
+    if isinstance(tree, Without):
+        return presence(tree.left, flag_of) & ~presence(tree.right, flag_of)
+    if isinstance(tree, Nothing):
+        return F.lit(False)
+    return flag_of(tree.parts[0])

@@ -62,6 +62,16 @@ TOKENS = T.StructType(
     ]
 )
 
+POSTINGS = T.StructType(
+    [
+        T.StructField("token", T.StringType()),
+        T.StructField("dt", T.DateType()),
+        T.StructField("id", T.LongType()),
+        T.StructField("part", T.StringType()),
+        T.StructField("head", T.IntegerType()),
+    ]
+)
+
 QUARANTINE = T.StructType(
     [
         T.StructField("index", T.LongType()),

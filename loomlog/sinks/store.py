@@ -18,6 +18,8 @@ from loomlog.operators.normalize import arrival_number, assign_ids, normalize
 from loomlog.operators.retention import deletion, excess_cutoff
 from loomlog.operators.tenancy import retention_cutoff
 from loomlog.schema import LOGS
+from loomlog.sinks.postings import drop_dead_postings, write_postings
+from loomlog.sources.postings import is_indexed
 from loomlog.sources.store import (
     COUNTS_DIR,
     FOLDED_DIR,
@@ -25,6 +27,7 @@ from loomlog.sources.store import (
     KEPT_DIR,
     LOGS_DIR,
     QUARANTINE_DIR,
+    TOKENS_DIR,
     commit_path,
     day_parts,
     folders,
@@ -33,9 +36,11 @@ from loomlog.sources.store import (
     project_root,
     read_batch,
     read_counts,
+    read_folders,
     read_logs,
     read_note,
     read_parts,
+    remove,
     write_note,
 )
 
@@ -162,6 +167,8 @@ def ingest_batch(
     own = read_batch(spark, root, batch_id, counts["earliest"], counts["latest"])
     _own_partition(count_deltas(own), f"{root}/{COUNTS_DIR}", batch_id)
     written = own.count()
+    if is_indexed(spark, root):
+        write_postings(own, root, f"b{batch_id}")
     outcome = IngestCounts(
         written=written,
         deduplicated=counts["total"] - refused - written,
@@ -287,6 +294,8 @@ def _replace_days(spark: SparkSession, root: str, days: list[str], keep: Column)
     rows = read_parts(spark, root, parts).filter(keep)
     _log_writer(rows.hint("rebalance", "dt").sortWithinPartitions("dt", "id")).partitionBy("dt").parquet(path)
     kept = {name[3:]: True for name in folders(spark, path) if name.startswith("dt=")}
+    if is_indexed(spark, root):
+        write_postings(read_folders(spark, f"{root}/{KEPT_DIR}", [f"{path}/dt={day}" for day in kept]), root, f"g{gen}")
     write_note(spark, f"{root}/{GENERATIONS_DIR}/{gen:012d}.json", {"gen": gen, "days": parts, "kept": kept})
     _drop_replaced(spark, root, parts)
 
@@ -305,9 +314,12 @@ def _drop_replaced(spark: SparkSession, root: str, days: dict[str, dict[str, lis
         folder = f"{root}/{LOGS_DIR}/dt={day}"
         names, gone = folders(spark, folder), {f"batch={b}" for b in parts["batches"]}
         for path in [folder] if gone.issuperset(names) else [f"{folder}/{name}" for name in gone.intersection(names)]:
-            _remove(spark, path)
+            remove(spark, path)
         for gen in parts["kept"]:
-            _remove(spark, f"{root}/{KEPT_DIR}/gen={gen}/dt={day}")
+            remove(spark, f"{root}/{KEPT_DIR}/gen={gen}/dt={day}")
+    drop_dead_postings(
+        spark, root, {b for parts in days.values() for b in parts["batches"]}, {g for parts in days.values() for g in parts["kept"]}
+    )
 
 
 def sweep(spark: SparkSession, root: str) -> None:
@@ -318,7 +330,8 @@ def sweep(spark: SparkSession, root: str) -> None:
     known = {f"gen={note['gen']}" for note in notes}
     for name in folders(spark, f"{root}/{KEPT_DIR}"):
         if name not in known:
-            _remove(spark, f"{root}/{KEPT_DIR}/{name}")
+            remove(spark, f"{root}/{KEPT_DIR}/{name}")
+            remove(spark, f"{root}/{TOKENS_DIR}/part=g{name[4:]}")
 
 
 def _left_over(spark: SparkSession, root: str, day: str, parts: dict[str, list[int]]) -> bool:
@@ -327,11 +340,6 @@ def _left_over(spark: SparkSession, root: str, day: str, parts: dict[str, list[i
     return any(f"batch={b}" in names for b in parts["batches"]) or any(path_exists(spark, path) for path in kept)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def fold_counts(spark: SparkSession, root: str, up_to_batch: int) -> None:
     """Fold the counter deltas of finished batches into one sum, so readers open few files.
 
@@ -342,13 +350,13 @@ def fold_counts(spark: SparkSession, root: str, up_to_batch: int) -> None:
     stage = f"{root}/_stage-{uuid.uuid4().hex}"
     old.groupBy("service", "level").agg(F.sum("count").alias("count")).write.parquet(stage)
     _own_partition(spark.read.parquet(stage), f"{root}/{FOLDED_DIR}", up_to_batch)
-    _remove(spark, stage)
+    remove(spark, stage)
     for name in folders(spark, f"{root}/{COUNTS_DIR}"):
         if name.startswith("batch=") and int(name[6:]) <= up_to_batch:
-            _remove(spark, f"{root}/{COUNTS_DIR}/{name}")
+            remove(spark, f"{root}/{COUNTS_DIR}/{name}")
     for name in folders(spark, f"{root}/{FOLDED_DIR}"):
         if name.startswith("batch=") and int(name[6:]) < up_to_batch:
-            _remove(spark, f"{root}/{FOLDED_DIR}/{name}")
+            remove(spark, f"{root}/{FOLDED_DIR}/{name}")
 
 
 __all__ = [

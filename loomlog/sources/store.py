@@ -69,10 +69,17 @@ def file_system(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or a folder with all that is in it."""
+    files, hadoop = file_system(spark, path)
+    files.delete(hadoop, True)
+
+
 def write_note(spark: SparkSession, path: str, note: dict) -> None:
     """Put a small JSON file in place in one step."""
     folder, _, name = path.rpartition("/")
     files, hidden = file_system(spark, f"{folder}/_{uuid.uuid4().hex}")
+    files.mkdirs(hidden.getParent())
     stream = files.create(hidden)
     stream.write(bytearray(json.dumps(note).encode()))
     stream.close()
@@ -136,11 +143,12 @@ def read_parts(spark: SparkSession, root: str, days: dict[str, DayParts | None])
     whole = [f"{logs}/dt={day}" for day, parts in days.items() if parts is None]
     some = [f"{logs}/dt={day}/batch={b}" for day, parts in days.items() if parts for b in parts["batches"]]
     later = [f"{kept}/gen={g}/dt={day}" for day, parts in days.items() if parts for g in parts["kept"]]
-    rows = _read_folders(spark, logs, [*whole, *some])
-    return rows.unionByName(_read_folders(spark, kept, later)) if later else rows
+    rows = read_folders(spark, logs, [*whole, *some])
+    return rows.unionByName(read_folders(spark, kept, later)) if later else rows
 
 
-def _read_folders(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
+def read_folders(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
+    """The rows of some folders under ``base``."""
     if not paths:
         return spark.createDataFrame([], STORED_LOGS)
     reader = spark.read.schema(STORED_LOGS).option("basePath", base)
@@ -167,7 +175,7 @@ def read_batch(
     """Rows of one write batch, looked for only in the days within the bounds."""
     paths = [f"{day}/batch={batch_id}" for day in day_folders(spark, root, since, until)]
     logs = f"{root}/{LOGS_DIR}"
-    return _read_folders(spark, logs, [path for path in paths if path_exists(spark, path)])
+    return read_folders(spark, logs, [path for path in paths if path_exists(spark, path)])
 
 
 def read_counts(spark: SparkSession, root: str) -> DataFrame:

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from loomlog.operators.counters import log_counts
+from loomlog.operators.tokens import count_search_stored, search_page_stored, search_stored
 from loomlog.operators.retention import deleted_rows, kept_rows, newest_rows
 from loomlog.operators.tenancy import retained
 from loomlog.session import shared_dir
+from loomlog.sinks.postings import index_store
 from loomlog.sinks.store import compact, delete_where, ingest_batch, purge_before, purge_excess
 from loomlog.sources.store import read_counts, read_logs
 from loomlog.streaming.aggregates import alerts, running_counts, windowed_counts
@@ -73,9 +75,11 @@ def raw_events(spark, d):
     return events(spark, d).select(F.col("ts").alias("received_at"), payload.alias("payload"))
 
 
-def stored(spark, d) -> str:
+def stored(spark, d, indexed: bool = False) -> str:
     """Ingest all events in two batches, the second partly repeating the first."""
     root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    if indexed:
+        index_store(spark, root)
     rows = raw_events(spark, d)
     border, again = "2024-01-16", "2024-01-14"
     ingest_batch(rows.filter(F.col("received_at") < border), root, 0)
@@ -214,3 +218,62 @@ def stream_alerts(spark, d):
     query = query.option("checkpointLocation", f"{root}/alert-state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("since TIMESTAMP, service STRING, count BIGINT").parquet(f"{root}/alerts")
+
+
+def number():
+    return F.get_json_object("body", "$.n").cast("bigint").alias("n")
+
+
+@check(
+    "search_stored",
+    f"""{STORED_SQL} SELECT n, service FROM stored
+        WHERE (service = 's1' AND level = 'error' OR trace_id LIKE 't7%') AND NOT trace_id LIKE 't1%'""",
+)
+def search_of_a_store(spark, d):
+    """A phrase, a prefix and an exclusion, found through the index."""
+    root = stored(spark, d, indexed=True)
+    return search_stored(spark, root, '("svc s1" AND error OR t7*) NOT t1*').select(number(), "service")
+
+
+@check(
+    "search_page_stored",
+    f"""{STORED_SQL} SELECT n, trace_id FROM stored WHERE service = 's3' AND level = 'click'
+        AND received_at >= TIMESTAMP '2024-01-09 07:30:00' ORDER BY received_at DESC, n DESC LIMIT 40""",
+)
+def search_page_of_a_store(spark, d):
+    root = stored(spark, d, indexed=True)
+    page = search_page_stored(spark, root, "click", service="s3", since="2024-01-09T07:30:00Z", limit=40)
+    return page.select(number(), "trace_id")
+
+
+@check(
+    "search_count_stored",
+    f"""{STORED_SQL} SELECT 1 AS k, count(*) AS count FROM stored WHERE level = 'error' AND service <> 's2'
+        UNION ALL SELECT 2, count(*) FROM stored WHERE trace_id LIKE 't1%' AND received_at < TIMESTAMP '2024-01-20 12:00:00.001'
+        UNION ALL SELECT 3, count(*) FROM stored WHERE service = 's1' AND level IN ('error', 'click')""",
+)
+def search_counts_of_a_store(spark, d):
+    """Counts from the postings alone, with a bound within a day, and with a service from the rows."""
+    root = stored(spark, d, indexed=True)
+    counts = [
+        count_search_stored(spark, root, "error NOT s2"),
+        count_search_stored(spark, root, "t1*", until="2024-01-20T12:00:00Z"),
+        count_search_stored(spark, root, "error OR click", service="s1"),
+    ]
+    numbered = [c.select(F.lit(k).alias("k"), "count") for k, c in enumerate(counts, 1)]
+    return numbered[0].union(numbered[1]).union(numbered[2])
+
+
+@check(
+    "search_after_delete",
+    f"""{STORED_SQL} SELECT n, count(*) OVER () AS count FROM stored WHERE level = 'error' AND service <> 's2'
+        AND received_at >= TIMESTAMP '2024-01-05 12:00:00'""",
+)
+def search_after_delete(spark, d):
+    """The index follows deletions and compaction."""
+    root = stored(spark, d, indexed=True)
+    purge_before(spark, root, "2024-01-05T12:00:00Z")
+    delete_where(spark, root, service="s2")
+    compact(spark, root, "2024-01-15")
+    found = search_stored(spark, root, "error").select(number())
+    return found.crossJoin(count_search_stored(spark, root, "error"))

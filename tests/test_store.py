@@ -161,16 +161,16 @@ def test_purge_excess(spark, events, tmp_path):
 def test_interrupted_rewrite_loses_nothing(spark, events, tmp_path, monkeypatch):
     root = str(tmp_path)
     filled(events, root)
-    real = store._remove
+    real = store.remove
 
     def fails(*_):
         raise RuntimeError("executor host lost")
 
-    monkeypatch.setattr(store, "_remove", fails)
+    monkeypatch.setattr(store, "remove", fails)
     with pytest.raises(RuntimeError):
         store.purge_before(spark, root, "2024-01-02T06:00:00Z")
     assert set(numbers(spark, root)) >= set(range(30, 72))
-    monkeypatch.setattr(store, "_remove", real)
+    monkeypatch.setattr(store, "remove", real)
     store.purge_before(spark, root, "2024-01-02T06:00:00Z")
     assert numbers(spark, root) == list(range(30, 72))
 
