@@ -6,9 +6,9 @@ import json
 import re
 from collections.abc import Callable, Mapping
 from functools import reduce
-from operator import or_
+from operator import eq, ge, gt, le, lt, ne, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,11 @@ def parsed(body: Column) -> Column:
     return F.try_parse_json(body)
 
 
+def variant_of(df: DataFrame) -> Column:
+    """The body as VARIANT: the stored column ``fields`` where rows have it, else parsed from the text."""
+    return F.col("fields") if "fields" in df.columns else parsed(F.col("body"))
+
+
 def _leaf(variant: Column, path: str, as_type: str = "variant") -> Column:
     return F.try_variant_get(variant, path, as_type)
 
@@ -189,14 +194,15 @@ def compare_field(
         text = F.when(is_string, _leaf(variant, path, "string"))
         if types == "strict":
             return F.coalesce(_apply(op, text, F.lit(value)), F.lit(False))
-        text = F.coalesce(text, F.when(nested, F.get_json_object(body, path)))
         number_below = number_kind | (kind == "BOOLEAN")
-        return F.coalesce(
-            F.when(number_below, F.lit(op in ("!=", "<", "<="))).otherwise(
-                _apply(op, text, F.lit(value))
-            ),
-            F.lit(False),
-        )
+        decided = F.when(number_below, F.lit(op in ("!=", "<", "<=")))
+        if value[:1] in ("{", "["):
+            text = F.coalesce(text, F.when(nested, F.get_json_object(body, path)))
+        else:
+            # The first character decides, so the body's text is not needed.
+            for name, sign in (("OBJECT", "{"), ("ARRAY", "[")):
+                decided = decided.when(kind.startswith(name), F.lit(_apply(op, sign, value[:1])))
+        return F.coalesce(decided.otherwise(_apply(op, text, F.lit(value))), F.lit(False))
 
     if isinstance(value, int) and abs(value) < 2**63:
         # Whole numbers compare exactly; a detour over DOUBLE would blur large ids.
@@ -217,12 +223,8 @@ def compare_field(
     )
 
 
-def _apply(op: str, left: Column, right: Column) -> Column:
-    return {
-        "=": left == right,
-        "!=": left != right,
-        ">": left > right,
-        ">=": left >= right,
-        "<": left < right,
-        "<=": left <= right,
-    }[op]
+_COMPARE = {"=": eq, "!=": ne, ">": gt, ">=": ge, "<": lt, "<=": le}
+
+
+def _apply(op: str, left, right):
+    return _COMPARE[op](left, right)

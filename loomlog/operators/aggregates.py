@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.args import whole_number
 from loomlog.functions.instants import When, back, instant, to_instant
-from loomlog.functions.jsonbody import parsed
+from loomlog.functions.jsonbody import variant_of
 from loomlog.operators.pages import search_rows
 from loomlog.plans.predicates import log_filter
 
@@ -227,7 +227,7 @@ def latency_by_service(df: DataFrame, field: str = "ms", accuracy: int = 10_000)
     The percentile is a mergeable sketch, so no group is collected.  Rows without a latency are
     skipped by the aggregates themselves, which spares a second look into every body.
     """
-    latency = F.try_variant_get(parsed(F.col("body")), f"$.{field}", "double")
+    latency = F.try_variant_get(variant_of(df), f"$.{field}", "double")
     return (
         df.select("service", latency.alias("_ms"))
         .groupBy("service")
@@ -249,15 +249,15 @@ def trace_services(df: DataFrame, trace_id: str) -> DataFrame:
 def slow_requests(df: DataFrame, floor_ms: float, field: str = "ms") -> DataFrame:
     """Requests slower than the floor, slowest first."""
 
-
     def measured(variant: Column) -> Column:
         return F.try_variant_get(variant, f"$.{field}", "double")
 
     # The test binds the parsed body, so that a row is parsed once, and again only if it is kept.
-    slow = F.exists(F.array(parsed(F.col("body"))), lambda v: measured(v) > floor_ms)
+    body = variant_of(df)
+    slow = measured(body) > floor_ms if "fields" in df.columns else F.exists(F.array(body), lambda v: measured(v) > floor_ms)
     return (
         df.filter(slow)
-        .select("id", "service", measured(parsed(F.col("body"))).alias("ms"), "received_at")
+        .select("id", "service", measured(body).alias("ms"), "received_at")
         .orderBy(F.desc("ms"), "id")
     )
 

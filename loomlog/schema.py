@@ -23,6 +23,9 @@ STORED_LOGS = T.StructType(
     LOGS.fields + [T.StructField("dt", T.DateType()), T.StructField("batch", T.LongType())]
 )
 
+#: The body as a shredded VARIANT, in stores that keep it.
+FIELDS = T.StructField("fields", T.VariantType())
+
 RAW_EVENT = T.StructType(
     [
         T.StructField("project_id", T.StringType()),

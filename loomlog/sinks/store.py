@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.functions.instants import When, iso_millis, to_instant
+from loomlog.functions.jsonbody import parsed
 from loomlog.operators.counters import count_deltas
 from loomlog.operators.dedup import WINDOW_SECONDS, content_hash, mark_recent_duplicates
 from loomlog.operators.normalize import arrival_number, assign_ids, normalize
@@ -22,6 +23,8 @@ from loomlog.sinks.postings import drop_dead_postings, write_postings
 from loomlog.sources.postings import is_indexed
 from loomlog.sources.store import (
     COUNTS_DIR,
+    FIELDS_KEPT,
+    FIELDS_READY,
     FOLDED_DIR,
     GENERATIONS_DIR,
     KEPT_DIR,
@@ -191,6 +194,13 @@ def set_aside(rows: DataFrame) -> DataFrame:
     )
 
 
+def _with_fields(rows: DataFrame, root: str) -> DataFrame:
+    """Rows with their bodies as VARIANT too, if the store keeps that; Spark shreds it as it writes."""
+    if not path_exists(rows.sparkSession, f"{root}/{FIELDS_KEPT}"):
+        return rows
+    return rows.withColumn("fields", parsed(F.col("body")))
+
+
 def _log_writer(rows: DataFrame):
     """The writer of all log files.
 
@@ -211,7 +221,7 @@ def append_rows(rows: DataFrame, root: str, batch_id: int) -> None:
         .withColumn("dt", F.to_date("received_at"))
         .withColumn("batch", F.lit(batch_id).cast("bigint"))
     )
-    dynamic = _log_writer(dated).option("partitionOverwriteMode", "dynamic")
+    dynamic = _log_writer(_with_fields(dated, root)).option("partitionOverwriteMode", "dynamic")
     dynamic.partitionBy("dt", "batch").parquet(f"{root}/{LOGS_DIR}")
 
 
@@ -277,6 +287,21 @@ def compact(spark: SparkSession, root: str, day: str) -> None:
     _replace_days(spark, root, [day], F.lit(True))
 
 
+def keep_fields(spark: SparkSession, root: str) -> None:
+    """Keep bodies as shredded VARIANTs beside their text from now on, and add them to what is stored.
+
+    The first note makes writers add the column; the days stored by then are written anew, one
+    generation for all, and the second note says that readers may rely on it.  A run that breaks
+    off is taken up by the next.
+    """
+    if path_exists(spark, f"{root}/{FIELDS_READY}"):
+        return
+    if not path_exists(spark, f"{root}/{FIELDS_KEPT}"):
+        write_note(spark, f"{root}/{FIELDS_KEPT}", {"fields": True})
+    _replace_days(spark, root, list(day_parts(spark, root)), F.lit(True))
+    write_note(spark, f"{root}/{FIELDS_READY}", {"fields": True})
+
+
 def _replace_days(spark: SparkSession, root: str, days: list[str], keep: Column) -> None:
     """Write the rows of whole days that stay as a new generation, then drop what it replaces.
 
@@ -292,7 +317,8 @@ def _replace_days(spark: SparkSession, root: str, days: list[str], keep: Column)
     gen = 1 + max([int(name[4:]) for name in folders(spark, f"{root}/{KEPT_DIR}")] + [n["gen"] for n in generations(spark, root)], default=0)
     path = f"{root}/{KEPT_DIR}/gen={gen}"
     rows = read_parts(spark, root, parts).filter(keep)
-    _log_writer(rows.hint("rebalance", "dt").sortWithinPartitions("dt", "id")).partitionBy("dt").parquet(path)
+    ordered = _with_fields(rows, root).hint("rebalance", "dt").sortWithinPartitions("dt", "id")
+    _log_writer(ordered).partitionBy("dt").parquet(path)
     kept = {name[3:]: True for name in folders(spark, path) if name.startswith("dt=")}
     if is_indexed(spark, root):
         write_postings(read_folders(spark, f"{root}/{KEPT_DIR}", [f"{path}/dt={day}" for day in kept]), root, f"g{gen}")
@@ -367,6 +393,7 @@ __all__ = [
     "delete_where",
     "fold_counts",
     "ingest_batch",
+    "keep_fields",
     "measured",
     "outcome_counts",
     "purge_before",

@@ -11,13 +11,15 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomlog.functions.instants import When, to_instant
 from loomlog.plans.predicates import all_of, time_bounds
-from loomlog.schema import COUNT_DELTAS, STORED_LOGS
+from loomlog.schema import COUNT_DELTAS, FIELDS, STORED_LOGS
 
 LOGS_DIR = "logs"
 COUNTS_DIR = "counts"
@@ -27,6 +29,8 @@ TOKENS_DIR = "tokens"
 COMMITS_DIR = "commits"
 KEPT_DIR = "logs_kept"
 GENERATIONS_DIR = "generations"
+#: Notes of a store that keeps its bodies as shredded VARIANTs too: from when on, and for all rows.
+FIELDS_KEPT, FIELDS_READY = "fields_state/kept.json", "fields_state/ready.json"
 
 #: Folders of one day: the write batches, and the generations that hold rows of it.
 DayParts = dict[str, list[int]]
@@ -137,33 +141,49 @@ def day_parts(
     return dict(sorted(days.items()))
 
 
-def read_parts(spark: SparkSession, root: str, days: dict[str, DayParts | None]) -> DataFrame:
-    """The rows of the given folders."""
+def read_parts(spark: SparkSession, root: str, days: dict[str, DayParts | None], fields: bool = False) -> DataFrame:
+    """The rows of the given folders, with ``fields`` as a last column if asked for."""
     logs, kept = f"{root}/{LOGS_DIR}", f"{root}/{KEPT_DIR}"
     whole = [f"{logs}/dt={day}" for day, parts in days.items() if parts is None]
     some = [f"{logs}/dt={day}/batch={b}" for day, parts in days.items() if parts for b in parts["batches"]]
     later = [f"{kept}/gen={g}/dt={day}" for day, parts in days.items() if parts for g in parts["kept"]]
-    rows = read_folders(spark, logs, [*whole, *some])
-    return rows.unionByName(read_folders(spark, kept, later)) if later else rows
+    schema = T.StructType([*STORED_LOGS.fields, FIELDS]) if fields else STORED_LOGS
+    found = [read_folders(spark, base, paths, schema) for base, paths in ((logs, [*whole, *some]), (kept, later)) if paths]
+    return reduce(DataFrame.unionByName, found) if found else read_folders(spark, logs, [], schema)
 
 
-def read_folders(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
+def read_folders(spark: SparkSession, base: str, paths: list[str], schema: T.StructType = STORED_LOGS) -> DataFrame:
     """The rows of some folders under ``base``."""
     if not paths:
-        return spark.createDataFrame([], STORED_LOGS)
-    reader = spark.read.schema(STORED_LOGS).option("basePath", base)
-    return reader.parquet(*paths).select(*STORED_LOGS.names)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*schema.names)
 
 
 def read_logs(
     spark: SparkSession, root: str, since: When | None = None, until: When | None = None
 ) -> DataFrame:
     """Stored rows within inclusive time bounds; days outside them are neither listed nor read."""
-    df = read_parts(spark, root, day_parts(spark, root, since, until))
+    return _within(read_parts(spark, root, day_parts(spark, root, since, until)), since, until)
+
+
+def _within(df: DataFrame, since: When | None, until: When | None) -> DataFrame:
     bounds = time_bounds(df, since, until)
     return df.filter(all_of(bounds)) if bounds else df
 
 
+def read_fields(
+    spark: SparkSession, root: str, since: When | None = None, until: When | None = None
+) -> DataFrame:
+    """``read_logs`` with the column ``fields``, from which field tests read single members.
+
+    A test of ``fields`` reaches the scan: only the members it names are read, as Parquet columns of
+    their own where most bodies have them.  Only stores that keep fields for all rows have it; of
+    others the rows come without it, and field tests parse their bodies.
+    """
+    fields = path_exists(spark, f"{root}/{FIELDS_READY}")
+    return _within(read_parts(spark, root, day_parts(spark, root, since, until), fields), since, until)
+
+
 def read_days(spark: SparkSession, root: str, first: When, last: When) -> DataFrame:
     """All rows of the stored days from ``first`` to ``last``."""
     return read_parts(spark, root, day_parts(spark, root, first, last))

@@ -6,14 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from loomlog.operators.aggregates import latency_by_service, slow_requests
 from loomlog.operators.counters import log_counts
+from loomlog.operators.pages import field_rows
 from loomlog.operators.tokens import count_search_stored, search_page_stored, search_stored
 from loomlog.operators.retention import deleted_rows, kept_rows, newest_rows
 from loomlog.operators.tenancy import retained
 from loomlog.session import shared_dir
 from loomlog.sinks.postings import index_store
-from loomlog.sinks.store import compact, delete_where, ingest_batch, purge_before, purge_excess
-from loomlog.sources.store import read_counts, read_logs
+from loomlog.sinks.store import compact, delete_where, ingest_batch, keep_fields, purge_before, purge_excess
+from loomlog.sources.store import read_counts, read_fields, read_logs
 from loomlog.streaming.aggregates import alerts, running_counts, windowed_counts
 from loomlog.streaming.tail import stored_stream, tail_stream, watch
 from suite import check
@@ -277,3 +279,49 @@ def search_after_delete(spark, d):
     compact(spark, root, "2024-01-15")
     found = search_stored(spark, root, "error").select(number())
     return found.crossJoin(count_search_stored(spark, root, "error"))
+
+
+def stored_fields(spark, d) -> str:
+    """A store whose first batch was written before it kept fields, with a deletion after."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    rows = raw_events(spark, d)
+    border = "2024-01-16"
+    ingest_batch(rows.filter(F.col("received_at") < border), root, 0)
+    keep_fields(spark, root)
+    ingest_batch(rows.filter(F.col("received_at") >= border), root, 1)
+    delete_where(spark, root, service="s2")
+    return root
+
+
+KEPT_SQL = STORED_SQL.replace("FROM events)", "FROM events WHERE user_id % 5 <> 2)")
+
+
+@check(
+    "field_stored",
+    f"""{KEPT_SQL} SELECT 1 AS k, n FROM stored WHERE n <= 3000
+        UNION ALL SELECT 2, n FROM stored WHERE trace_id >= 't9' AND level = 'error'""",
+)
+def field_stored(spark, d):
+    """Comparisons of a number and of a text, from the members of the shredded bodies."""
+    rows = read_fields(spark, stored_fields(spark, d))
+    numbers = field_rows(rows, "n", "<=", 3000)
+    texts = field_rows(field_rows(rows, "traceId", ">=", "t9"), "level", "=", "error")
+    found = [df.select(F.lit(k).alias("k"), F.expr("variant_get(fields, '$.n', 'bigint')").alias("n")) for k, df in ((1, numbers), (2, texts))]
+    return found[0].union(found[1])
+
+
+@check(
+    "latency_stored",
+    f"""{KEPT_SQL} SELECT service, count(*) AS requests, max(n)::DOUBLE AS max_ms FROM stored GROUP BY service""",
+)
+def latency_stored(spark, d):
+    """Counts and greatest values per service from one member of the shredded bodies."""
+    return latency_by_service(read_fields(spark, stored_fields(spark, d)), "n").select("service", "requests", "max_ms")
+
+
+@check(
+    "slow_stored",
+    f"""{KEPT_SQL} SELECT service, n::DOUBLE AS ms FROM stored WHERE n > 9000""",
+)
+def slow_stored(spark, d):
+    return slow_requests(read_fields(spark, stored_fields(spark, d)), 9000, "n").select("service", "ms")
