@@ -28,7 +28,7 @@ BLOCK, PASSAGE_BLOCKS = 8, 8
 #: Least common subsequence of a copy; and of a paraphrase that has the answer too.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 #: Bytes worked on at a time, and items of a benchmark searched for in one scan.
-CHUNK_BYTES, ITEM_BLOCK = 1 << 20, 20_000
+CHUNK_BYTES, ITEM_BLOCK = 1 << 19, 20_000
 #: Items of one length whose words are counted at a time, and blocks of a stretch looked at as a whole first.
 ITEM_SLICE, STRETCH = 256, 16
 
