@@ -6,11 +6,13 @@ import re
 import uuid
 
 from py4j.java_gateway import JavaObject
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlog.functions.args import page_limit
+from loomlog.schema import LOGS
 from loomlog.session import prepare
 
 #: Names a statement may read: the rows, and (rowid, body) under the text table's name.
@@ -38,15 +40,24 @@ FUNCTIONS = frozenset(
     "date to_date to_timestamp date_trunc trunc date_add date_sub date_format datediff year month day "
     "dayofmonth dayofweek dayofyear hour minute second quarter weekofyear unix_timestamp unix_seconds "
     "unix_millis timestamp_seconds timestamp_millis from_unixtime current_timestamp current_date now "
-    "get_json_object json_array_length json_extract json_number strftime datetime".split()
+    "get_json_object json_array_length json_extract json_number strftime datetime group_concat total".split()
 )
 
 _SELECT = re.compile(r"\s*select\b", re.IGNORECASE)
 _COMPARISONS = frozenset("EqualTo EqualNullSafe GreaterThan GreaterThanOrEqual LessThan LessThanOrEqual In".split())
+#: Functions that hand on one of their arguments as it is.
+_PASSING = frozenset("coalesce ifnull nvl nullif min max min_by max_by first last any_value first_value last_value".split())
 _ARITHMETIC = frozenset("Add Subtract Multiply Divide IntegralDivide Remainder UnaryMinus UnaryPositive Abs".split())
 #: Text of a JSON value, numbers and booleans first: what the reference dialect orders by.
 _RANKED = T.StructType().add("kind", "integer").add("number", "double").add("text", "string")
 
+#: The number of a ranked value: a text counts as the number it begins with, else as 0.
+_LEAD = r"regexp_extract(value_['text'], '^\\s*[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?', 0)"
+_NUMBER = (
+    "CASE WHEN value_ IS NULL THEN NULL WHEN value_['kind'] = 0 THEN value_['number'] "
+    f"ELSE coalesce(try_cast({_LEAD} AS DOUBLE), 0D) END"
+)
+
 #: strftime's letters as patterns of date_format; %s and %w are no patterns.
 _LETTERS = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "f": "ss.SSS", "j": "DDD", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "R": "HH:mm"}
 
@@ -124,6 +135,51 @@ class _Guard:
         for child in _items(expression.children()):
             self.check_expression(child, names)
 
+    def check_analysed(self, plan: JavaObject, known: tuple[JavaObject, ...] = ()) -> None:
+        """Every join must have an equality between its two sides, in its condition or in a filter above
+        it; what counts is which side a column comes from, not how it is written.
+        """
+        kind = _kind(plan)
+        below: tuple[JavaObject, ...] = ()
+        if kind == "Filter":
+            below = (*known, *self.conjuncts(plan.condition()))
+        elif kind == "Join":
+            own = tuple(self.conjuncts(plan.condition().get())) if plan.condition().isDefined() else ()
+            inner = plan.joinType().toString() in ("Inner", "Cross")
+            if not any(self.joins(part, plan) for part in (*own, *(known if inner else ()))):
+                raise SqlRefused("a join needs an equality between its two sides")
+            below = (*own, *known) if inner else ()
+        elif kind == "SubqueryAlias":
+            below = known
+        for expression in _items(plan.expressions()):
+            self.check_inside(expression)
+        for child in _items(plan.children()):
+            self.check_analysed(child, below)
+
+    def check_inside(self, expression: JavaObject) -> None:
+        if _kind(expression) in ("ScalarSubquery", "Exists", "ListQuery"):
+            self.check_analysed(expression.plan())
+        for child in _items(expression.children()):
+            self.check_inside(child)
+
+    def conjuncts(self, condition: JavaObject) -> list[JavaObject]:
+        if _kind(condition) != "And":
+            return [condition]
+        return [part for side in _items(condition.children()) for part in self.conjuncts(side)]
+
+    def joins(self, condition: JavaObject, join: JavaObject) -> bool:
+        """Whether a condition is an equality of something of the left with something of the right."""
+        if _kind(condition) not in ("EqualTo", "EqualNullSafe"):
+            return False
+        sides = [side.references() for side in _items(condition.children())]
+        left, right = join.left().outputSet(), join.right().outputSet()
+
+        def of(references: JavaObject, output: JavaObject) -> bool:
+            return not references.isEmpty() and references.subsetOf(output)
+
+        a, b = sides
+        return of(a, left) and of(b, right) or of(a, right) and of(b, left)
+
     # -- typed JSON values
 
     def parsed(self, text: str, **holes: JavaObject) -> JavaObject:
@@ -171,15 +227,95 @@ class _Guard:
             f"ELSE named_struct('kind', 1, 'number', 0D, 'text', {text}) END", body_=body, path_=path,
         )
 
-    def comparable(self, expression: JavaObject) -> JavaObject:
-        """The other side of a comparison with a JSON value."""
+    def is_dynamic(self, expression: JavaObject) -> bool:
+        """Whether an expression has the type of a JSON value, which each row decides: json_extract, and
+        what hands such a value on.
+        """
+        kind = _kind(expression)
+        if kind in ("UnresolvedFunction", "CaseWhen"):
+            return self.is_json(expression) or any(self.is_dynamic(part) for part in self.handed_on(expression))
+        if kind == "ScalarSubquery":
+            plan = expression.plan()
+            while _kind(plan) in ("Sort", "GlobalLimit", "LocalLimit", "Distinct", "UnresolvedHaving", "Offset"):
+                plan = plan.children().apply(0)
+            shown = {"Project": "projectList", "Aggregate": "aggregateExpressions"}.get(_kind(plan))
+            return bool(shown) and any(self.is_dynamic(part) for part in _items(getattr(plan, shown)()))
+        return kind in ("Alias", "UnresolvedAlias") and self.is_dynamic(expression.children().apply(0))
+
+    def handed_on(self, expression: JavaObject) -> list[JavaObject]:
+        """The parts one of which is the expression's value."""
+        parts = _items(expression.children())
+        if _kind(expression) == "CaseWhen":
+            return [part for i, part in enumerate(parts) if i % 2 or i == len(parts) - 1]
+        name = self.function(expression)
+        if name in ("if", "iff"):
+            return parts[1:]
+        if name in ("min_by", "max_by", "nullif"):
+            return parts[:1]
+        return parts if name in _PASSING else []
+
+    def ranked(self, expression: JavaObject) -> JavaObject:
+        """Any expression as a ranked value: its kind, number and text."""
         if self.is_json(expression):
             return self.json(expression, "ranked")
+        kind = _kind(expression)
+        if kind == "ScalarSubquery" and self.is_dynamic(expression):
+            return self.expression(expression)
+        if self.is_dynamic(expression):
+            handed = self.handed_on(expression)
+            if self.function(expression) == "nullif":
+                value, other = (self.ranked(part) for part in _items(expression.children()))
+                return self.parsed("nullif(value_, other_)", value_=value, other_=other)
+            values = [self.ranked(p) if any(p is h for h in handed) else self.expression(p) for p in self.parts(expression, handed)]
+            return self.with_children(expression, values)
+        value = self.expression(expression)
+        number = "CASE WHEN typeof(value_) = 'boolean' THEN CAST(CAST(value_ AS STRING) = 'true' AS DOUBLE) ELSE try_cast(CAST(value_ AS STRING) AS DOUBLE) END"
+        return self.parsed(
+            f"CASE WHEN value_ IS NULL THEN NULL WHEN typeof(value_) RLIKE '^(tinyint|smallint|int|bigint|decimal|double|float|boolean)' "
+            f"THEN named_struct('kind', 0, 'number', {number}, 'text', '') "
+            f"ELSE named_struct('kind', 1, 'number', 0D, 'text', CAST(value_ AS STRING)) END", value_=value,
+        )
+
+    def parts(self, expression: JavaObject, handed: list[JavaObject]) -> list[JavaObject]:
+        """The children of an expression, those of ``handed`` as the same objects."""
+        every, left = _items(expression.children()), list(handed)
+        out = []
+        for part in every:
+            if left and part.equals(left[0]):
+                out.append(left.pop(0))
+            else:
+                out.append(part)
+        return out
+
+    def number(self, expression: JavaObject) -> JavaObject:
+        """A JSON value in arithmetic: numbers, booleans as 1 and 0, the number a text begins with, else 0."""
+        return self.parsed(_NUMBER, value_=self.ranked(expression))
+
+    def cast(self, expression: JavaObject) -> JavaObject:
+        """A cast of a JSON value: numbers lose their fraction in whole types, texts give the number they begin with."""
+        child, target = expression.children().apply(0), expression.dataType()
+        value, wanted = self.ranked(child), target.simpleString()
+        if wanted == "string":
+            return self.text(value)
+        if not re.match("(tinyint|smallint|int|bigint|decimal|double|float)", wanted):
+            raise SqlRefused(f"json_extract cannot be cast to {wanted}")
+        return self.parsed(f"try_cast({_NUMBER} AS {wanted})", value_=value)
+
+    def text(self, ranked: JavaObject) -> JavaObject:
+        """A ranked value as text; whole numbers without a fraction."""
+        whole = "value_['number'] = floor(value_['number']) AND abs(value_['number']) < 1e15"
+        return self.parsed(
+            f"CASE WHEN value_ IS NULL THEN NULL WHEN value_['kind'] = 1 THEN value_['text'] "
+            f"WHEN {whole} THEN CAST(CAST(value_['number'] AS BIGINT) AS STRING) ELSE CAST(value_['number'] AS STRING) END", value_=ranked,
+        )
+
+    def comparable(self, expression: JavaObject) -> JavaObject:
+        """One side of a comparison with a JSON value."""
         inner = expression
         while _kind(inner) in ("UnaryMinus", "UnaryPositive"):
             inner = inner.children().apply(0)
         if _kind(inner) != "Literal":
-            raise SqlRefused("json_extract can be compared with literals and json_extract; use json_number for others")
+            return self.ranked(expression)
         if inner.dataType().simpleString() == "string":
             return self.parsed("named_struct('kind', 1, 'number', 0D, 'text', value_)", value_=expression)
         return self.parsed("named_struct('kind', 0, 'number', CAST(value_ AS DOUBLE), 'text', '')", value_=expression)
@@ -197,18 +333,37 @@ class _Guard:
             return self.parsed("date_format(at_, 'yyyy-MM-dd HH:mm:ss')", at_=self.instant(_items(expression.arguments())))
         if kind in ("ScalarSubquery", "Exists", "ListQuery"):
             return expression.withNewPlan(self.rebuilt(expression.plan()))
-        holds_json = any(self.is_json(child) for child in children)
+        if name == "group_concat":
+            value, *separator = _items(expression.arguments())
+            if len(separator) > 1:
+                raise SqlRefused("group_concat takes a value and a separator")
+            value = self.text(self.ranked(value)) if self.is_dynamic(value) else self.expression(value)
+            once = "DISTINCT " if expression.isDistinct() else ""
+            parts = {"value_": value} | ({"by_": separator[0]} if separator else {})
+            return self.parsed(f"listagg({once}CAST(value_ AS STRING), {'by_' if separator else repr(',')})", **parts)
+        if name == "total":
+            (value,) = _items(expression.arguments())
+            value = self.number(value) if self.is_dynamic(value) else self.expression(value)
+            return self.parsed("coalesce(sum(CAST(value_ AS DOUBLE)), 0D)", value_=value)
+        if kind == "Cast" and self.is_dynamic(children[0]):
+            return self.cast(expression)
+        if self.is_dynamic(expression) and kind not in ("Alias", "UnresolvedAlias"):
+            return self.ranked(expression)
+        holds_json = any(self.is_dynamic(child) for child in children)
         if holds_json and (kind in _COMPARISONS or name == "between"):
             return self.with_children(expression, [self.comparable(child) for child in children])
         if kind == "UnresolvedAlias" and holds_json:
             shown = children[0].sql().replace("`", "``")
-            return self.parsed(f"value_ AS `{shown}`", value_=self.json(children[0], "ranked"))
-        form = None
-        if name in ("min", "max") or kind in ("SortOrder", "Alias"):
-            form = "ranked"
+            return self.parsed(f"value_ AS `{shown}`", value_=self.ranked(children[0]))
+        if kind in ("SortOrder", "Alias"):
+            form = self.ranked
         elif name in ("sum", "avg", "mean") or kind in _ARITHMETIC:
-            form = "number"
-        rebuilt = [self.json(c, form) if form and self.is_json(c) else self.expression(c) for c in children]
+            form = self.number
+        elif kind in ("IsNull", "IsNotNull") or name in ("count", "isnull", "isnotnull"):
+            form = self.ranked
+        else:
+            form = lambda part: self.json(part, "text") if self.is_json(part) else self.text(self.ranked(part))
+        rebuilt = [form(c) if self.is_dynamic(c) else self.expression(c) for c in children]
         return self.with_children(expression, rebuilt)
 
     def instant(self, arguments: list[JavaObject]) -> JavaObject:
@@ -247,7 +402,7 @@ class _Guard:
         kind = _kind(plan)
 
         def each(seq: JavaObject) -> JavaObject:
-            return self.seq([self.json(e, "ranked") if self.is_json(e) else self.expression(e) for e in _items(seq)])
+            return self.seq([self.ranked(e) if self.is_dynamic(e) and "Alias" not in _kind(e) else self.expression(e) for e in _items(seq)])
 
         if kind == "Project":
             return plan.copy(each(plan.projectList()), plan.child())
@@ -283,18 +438,38 @@ def check_select(spark: SparkSession, sql: str) -> str:
     Every node of the parsed plan, sub-queries included, must be of an allowed kind, every
     relation one of the two names, every function one of ``FUNCTIONS``, and every join must have
     an equality, so that quoting, comments, nesting and computed names do not get past the check.
+    On the analysed plan, over a table without rows, the equality must be one between the two
+    sides of the join.
     """
-    _parsed(spark, sql)
+    _analysed(prepare(spark).createDataFrame([], LOGS).drop("body_hash"), sql)
     return sql.strip()
 
 
+def refusal(spark: SparkSession, sql: str) -> str | None:
+    """Why a statement does not pass, None if it does."""
+    try:
+        check_select(spark, sql)
+    except SqlRefused as refused:
+        return str(refused)
+    except (AnalysisException, ParseException) as wrong:
+        return str(wrong).splitlines()[0]
+    return None
+
+
 def query_sql(df: DataFrame, sql: str, limit: int | str | None = None) -> DataFrame:
     """Run a guarded SELECT; ``logs`` is ``df``.  At most ``limit`` rows, 100 by default.
 
-    ``json_extract`` orders and compares by type, numbers before text; as a column of the result
-    it is text.  ``json_number``, ``strftime`` and ``datetime`` are there too.  Nothing is
-    registered in the session.
+    A value of ``json_extract`` has the type it has in the body, row by row, and keeps it through
+    COALESCE, CASE, MIN, MAX and sub-queries: it orders and compares by type, numbers before text,
+    counts as a number in arithmetic and casts, and as a column of the result it is text.
+    ``json_number``, ``strftime``, ``datetime``, ``group_concat`` and ``total`` are there too.
+    Nothing is registered in the session.
     """
+    return _plain(_analysed(df, sql)).limit(page_limit(limit, 100))
+
+
+def _analysed(df: DataFrame, sql: str) -> DataFrame:
+    """The checked statement over ``df``, analysed but not run."""
     spark = prepare(df.sparkSession)
     guard, plan = _parsed(spark, sql)
     view = f"_logs_{uuid.uuid4().hex}"
@@ -306,7 +481,8 @@ def query_sql(df: DataFrame, sql: str, limit: int | str | None = None) -> DataFr
         }
         bound = _bound(guard, guard.rebuilt(plan), tables)
         frame = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, bound)
-        return _plain(DataFrame(frame, spark)).limit(page_limit(limit, 100))
+        guard.check_analysed(frame.queryExecution().analyzed())
+        return DataFrame(frame, spark)
     finally:
         # The analysed plan no longer needs the name.
         spark.catalog.dropTempView(view)

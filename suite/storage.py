@@ -17,6 +17,7 @@ from loomlog.sinks.postings import index_store
 from loomlog.sinks.store import compact, delete_where, ingest_batch, keep_fields, purge_before, purge_excess
 from loomlog.sources.store import read_counts, read_fields, read_logs
 from loomlog.streaming.aggregates import alerts, running_counts, windowed_counts
+from loomlog.streaming.copies import drop_recent_copies
 from loomlog.streaming.tail import stored_stream, tail_stream, watch
 from suite import check
 from suite.views import LOGS_SQL, events, logs, table
@@ -325,3 +326,25 @@ def latency_stored(spark, d):
 )
 def slow_stored(spark, d):
     return slow_requests(read_fields(spark, stored_fields(spark, d)), 9000, "n").select("service", "ms")
+
+
+@check(
+    "stream_copies",
+    f"""{STORED_SQL.replace("WITH stored", "WITH RECURSIVE stored")}, r AS (
+          SELECT n, service || level AS k, received_at,
+                 row_number() OVER (PARTITION BY service, level ORDER BY received_at, n) AS place FROM stored),
+        c AS (SELECT k, place, n, received_at AS last, true AS kept FROM r WHERE place = 1
+          UNION ALL
+          SELECT r.k, r.place, r.n, CASE WHEN r.received_at > c.last + INTERVAL 3 HOURS THEN r.received_at ELSE c.last END,
+                 r.received_at > c.last + INTERVAL 3 HOURS
+          FROM c JOIN r ON r.k = c.k AND r.place = c.place + 1)
+        SELECT n, k FROM c WHERE kept""",
+)
+def stream_copies(spark, d):
+    """Of the rows of a service and level, those that none let through in the three hours before covers."""
+    root = stored(spark, d)
+    rows = stored_stream(spark, root).select("id", "received_at", F.concat("service", "level").alias("k"), number())
+    query = drop_recent_copies(rows, "k", seconds=3 * 3600).writeStream.format("parquet").outputMode("append")
+    query = query.option("path", f"{root}/once").option("checkpointLocation", f"{root}/once-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("n BIGINT, k STRING").parquet(f"{root}/once")

@@ -1,6 +1,6 @@
 import pytest
 
-from loomlog.operators.sqlsurface import SqlRefused, check_select, query_sql
+from loomlog.operators.sqlsurface import SqlRefused, check_select, query_sql, refusal
 
 
 @pytest.fixture
@@ -140,9 +140,79 @@ def test_json_values_compare_by_type(mixed):
     assert ids(f"{ms} IN (99, 'abc')") == [1, 4]
     assert ids(f"{ms} = 'abc'") == [4]
     assert ids(f"{ms} > -5 AND {ms} LIKE '%5%'") == [2, 3]
-    assert query_sql(mixed, f"SELECT min({ms}) AS low, sum({ms}) AS total FROM logs").first() == ("1", 2199.5)
+    assert query_sql(mixed, f"SELECT min({ms}) AS low, sum({ms}) AS total FROM logs").first() == ("1", 2200.5)
+    assert ids(f"{ms} > id") == [1, 2, 3, 4]
+    assert ids(f"{ms} < service") == [1, 2, 3, 4, 7]
+
+
+def test_json_values_keep_their_type_through_expressions(mixed):
+    def first(select, rest=""):
+        return tuple(query_sql(mixed, f"SELECT {select} FROM logs {rest}").first())
+
+    def column(expression):
+        return [r[0] for r in query_sql(mixed, f"SELECT {expression} AS v, id FROM logs ORDER BY id").collect()]
+
+    ms = "json_extract(body, '$.ms')"
+    assert column(f"COALESCE({ms}, 0)") == ["99", "1500", "600.5", "abc", "0", "0", "1"]
+    assert column(f"CAST({ms} AS INTEGER)") == [99, 1500, 600, 0, None, None, 1]
+    assert column(f"CAST({ms} AS DOUBLE)") == [99.0, 1500.0, 600.5, 0.0, None, None, 1.0]
+    assert column(f"CAST({ms} AS STRING)") == ["99", "1500", "600.5", "abc", None, None, "1"]
+    assert column(f"CASE WHEN {ms} > 500 THEN {ms} ELSE -1 END") == ["-1", "1500", "600.5", "abc", "-1", "-1", "-1"]
+    assert column(f"CASE WHEN {ms} > 500 THEN {ms} END + 1") == [None, 1501.0, 601.5, 1.0, None, None, None]
+    assert column(f"upper(COALESCE({ms}, 'none'))") == ["99", "1500", "600.5", "ABC", "NONE", "NONE", "1"]
+    assert column(f"NULLIF({ms}, 99)") == [None, "1500", "600.5", "abc", None, None, "1"]
+    numbers = f"WHERE {ms} < 10000"
+    assert first(f"MAX({ms}) - MIN({ms})", numbers) == (1499.0,)
+    assert first(f"MAX({ms}) > 600, MIN(COALESCE({ms}, 7)) < 5", numbers) == (True, True)
+    top = query_sql(mixed, f"SELECT id FROM logs WHERE {ms} = (SELECT MAX({ms}) FROM logs {numbers})").collect()
+    assert [r.id for r in top] == [2]
+    assert [r.id for r in query_sql(mixed, f"SELECT id FROM logs WHERE {ms} > (SELECT avg(id) FROM logs) AND {ms} < 700 ORDER BY id").collect()] == [1, 3]
+    assert first("TOTAL(id), TOTAL(id * 0.5)", "WHERE id < 0") == (0.0, 0.0)
+    assert first(f"TOTAL({ms})", numbers) == (2200.5,)
+    assert set(first("GROUP_CONCAT(service)")[0].split(",")) == {"a", "b"}
+    assert sorted(first("GROUP_CONCAT(DISTINCT service, ' / ')")[0].split(" / ")) == ["a", "b"]
+    assert sorted(first(f"GROUP_CONCAT({ms}, '|')")[0].split("|")) == ["1", "1500", "600.5", "99", "abc"]
+
+
+SELF = "SELECT count(*) FROM logs a JOIN logs b ON "
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        SELF + "a.id = a.id",
+        SELF + "a.id + b.id = b.id + a.id",
+        SELF + "a.id = 3 AND b.id = a.id - a.id + b.id",
+        SELF + "a.id = b.id OR a.service = b.service",
+        SELF + "a.id < b.id",
+        "SELECT count(*) FROM logs a, logs b WHERE a.id = a.id AND b.id = b.id",
+        "SELECT count(*) FROM logs a JOIN (SELECT x.id FROM logs x JOIN logs y ON x.id = x.id) b ON a.id = b.id",
+        "SELECT id FROM logs WHERE id IN (SELECT a.id FROM logs a JOIN logs b ON a.id = a.id)",
+        "SELECT count(*) FROM logs a LEFT JOIN logs b ON a.id = a.id",
+    ],
+)
+def test_joins_without_an_equality_between_the_sides_are_refused(rows, sql):
     with pytest.raises(SqlRefused):
-        query_sql(mixed, f"SELECT id FROM logs WHERE {ms} > id")
+        query_sql(rows, sql)
+    assert "equality" in refusal(rows.sparkSession, sql)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        SELF + "a.id = b.id",
+        SELF + "b.id = a.id + 1 AND a.service = 'a'",
+        SELF + "a.id % 10 = b.id % 10 AND a.id < b.id",
+        "SELECT count(*) FROM logs a JOIN logs b ON a.id = b.id JOIN logs c ON c.id = b.id",
+        "SELECT count(*) FROM logs a LEFT JOIN logs b ON a.trace_id = b.trace_id",
+        "SELECT count(*) FROM logs a JOIN logs_fts f ON f.rowid = a.id",
+        "SELECT id FROM logs a WHERE EXISTS (SELECT 1 FROM logs b WHERE b.id = a.id + 1)",
+        "SELECT json_extract(a.body, '$.ms') FROM logs a JOIN logs b ON a.id = b.id AND json_extract(a.body, '$.ms') = json_extract(b.body, '$.ms')",
+    ],
+)
+def test_joins_with_one_pass(rows, sql):
+    query_sql(rows, sql).collect()
+    assert refusal(rows.sparkSession, sql) is None
 
 
 def test_time_functions(mixed):
