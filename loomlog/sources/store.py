@@ -108,6 +108,15 @@ def commit_path(root: str, batch_id: int) -> str:
     return f"{root}/{COMMITS_DIR}/{batch_id:020d}.json"
 
 
+def commits_from(spark: SparkSession, root: str, batch_id: int) -> list[int]:
+    """Numbers of the committed batches from one on; the names of earlier ones do not leave the file system."""
+    digits = f"{batch_id:020d}"
+    larger = [f"{digits[:i]}[{int(d) + 1}-9]{'?' * (19 - i)}" for i, d in enumerate(digits) if d != "9"]
+    files, pattern = file_system(spark, f"{root}/{COMMITS_DIR}/{{{','.join([digits, *larger])}}}.json")
+    found = files.globStatus(pattern)
+    return sorted(int(entry.getPath().getName()[:20]) for entry in found or [])
+
+
 def generations(spark: SparkSession, root: str) -> list[dict]:
     """Notes of the committed generations, one for each run of upkeep that changed days."""
     path = f"{root}/{GENERATIONS_DIR}"

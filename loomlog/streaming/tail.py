@@ -18,14 +18,16 @@ from pyspark.sql.streaming import StreamingQuery
 from loomlog.functions.args import page_limit
 from loomlog.operators.pages import rows_only
 from loomlog.plans.predicates import log_filter
-from loomlog.schema import STORED_LOGS
+from loomlog.schema import ID_BITS, STORED_LOGS
 from loomlog.sinks.exports import write_ndjson
-from loomlog.sources.store import COMMITS_DIR, LOGS_DIR, file_system, read_days, read_logs
+from loomlog.sources.store import COMMITS_DIR, LOGS_DIR, commit_path, commits_from, file_system, read_days, read_note
 
 #: Commits one micro-batch of a tail takes at most, which bounds what the driver reads of them.
 COMMITS_PER_BATCH = 1000
 #: Seconds between two looks of a waiting reader, at first and at most.
 FIRST_WAIT, LONGEST_WAIT = 0.25, 4.0
+#: Batches a waiting reader reads at a time.
+LOOKED_AT = 64
 COMMIT_DDL = "batch BIGINT, first STRING, last STRING"
 
 #: How often an idle tail looks for new rows.
@@ -114,15 +116,32 @@ def watch(
 ) -> Watched:
     """Wait until matching rows with larger ids are there, or the time is up.
 
-    Looks again after ever longer pauses.  Returns at most a page of rows with the last id among
-    them; where none came, the id it was given.
+    Looks again after ever longer pauses.  A look asks for the commits from the cursor's batch on that
+    it has not seen, and reads the days of these alone, ``LOOKED_AT`` batches at a time until a page
+    is full.  Returns at most a page of rows with the last id among them; where none came, the id it
+    was given.
     """
     stop, pause = time.monotonic() + timeout_seconds, FIRST_WAIT
+    size, seen = page_limit(limit, 50), set()
+    first = 0 if after_id is None else max(after_id, 0) >> ID_BITS
     while True:
-        rows = log_filter(read_logs(spark, root), after_id=after_id, **filters)
-        page = rows_only(rows).orderBy("id").limit(page_limit(limit, 50)).collect()
+        page: list[Row] = []
+        new = [batch for batch in commits_from(spark, root, first) if batch not in seen]
+        for at in range(0, len(new), LOOKED_AT):
+            if len(page) == size:
+                break
+            page += _rows_of(spark, root, new[at : at + LOOKED_AT], after_id, size - len(page), filters)
+        seen.update(new)
         left = stop - time.monotonic()
         if page or left <= 0:
             return Watched(page, page[-1]["id"] if page else after_id)
         time.sleep(min(pause, left))
         pause = min(2 * pause, LONGEST_WAIT)
+
+
+def _rows_of(spark: SparkSession, root: str, batches: list[int], after_id: int | None, size: int, filters: dict) -> list[Row]:
+    """The first matching rows of some batches, in id order."""
+    notes = [read_note(spark, commit_path(root, batch)) for batch in batches]
+    rows = read_days(spark, root, min(n["first"] for n in notes), max(n["last"] for n in notes))
+    rows = log_filter(rows.filter(F.col("batch").isin(batches)), after_id=after_id, **filters)
+    return rows_only(rows).orderBy("id").limit(size).collect()

@@ -47,4 +47,4 @@ def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module of registered queries."""
-    from suite import aggregates, fields, ingest, pages, searches, sources, storage  # noqa: F401
+    from suite import aggregates, fields, flows, ingest, pages, searches, sources, storage  # noqa: F401

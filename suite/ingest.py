@@ -133,18 +133,22 @@ def dedup_hot_keys(spark, d):
 
 @check(
     "dedup_within_batch",
-    f"""{WITH} SELECT min(id) AS id, trace_id, body FROM logs WHERE level = 'info' AND trace_id IS NOT NULL
-        GROUP BY trace_id, body""",
+    f"""{WITH}, fresh AS (SELECT * FROM logs b WHERE level = 'info' AND trace_id IS NOT NULL AND NOT EXISTS
+          (SELECT 1 FROM logs s WHERE s.level = 'warn' AND s.trace_id = b.trace_id
+             AND s.received_at >= b.received_at - INTERVAL 3 DAY))
+        SELECT min(id) AS id, trace_id FROM fresh GROUP BY trace_id""",
 )
 def dedup_within_batch(spark, d):
-    rows = logs(spark, d)
+    """Copies in the batch and in the store at once: traces of the batch that the store has not seen lately."""
+    rows = logs(spark, d).filter(F.col("trace_id").isNotNull())
     fresh = drop_recent_duplicates(
-        rows.filter((F.col("level") == "info") & F.col("trace_id").isNotNull()),
-        rows.filter(F.col("level") == "none such"),
-        keys=("trace_id", "body"),
+        rows.filter(F.col("level") == "info"),
+        rows.filter(F.col("level") == "warn"),
+        seconds=3 * 86400,
+        keys=("trace_id",),
         within_batch=True,
     )
-    return fresh.select("id", "trace_id", "body")
+    return fresh.select("id", "trace_id")
 
 
 @check(

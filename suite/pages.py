@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.operators import pages
-from loomlog.operators.sqlsurface import query_sql
+from loomlog.operators.sqlsurface import query_sql, refusal
 from loomlog.operators.traces import key_trace, latest_per, slowest_steps, trace_gaps
 from loomlog.plans.predicates import for_project, log_filter
 from loomlog.sinks.exports import csv_columns, export_page
@@ -310,15 +313,15 @@ def sql_union(spark, d):
 @check(
     "sql_slow_requests",
     f"""{RICH} SELECT service, json_extract_string(body, '$.ms') AS ms, received_at FROM rich
-        WHERE service = 'svc1' AND received_at >= TIMESTAMP '2024-01-19' AND received_at < TIMESTAMP '2024-01-20'
-        AND CAST(json_extract_string(body, '$.ms') AS BIGINT) > 500""",
+        WHERE CAST(json_extract_string(body, '$.ms') AS BIGINT) > 500
+        ORDER BY CAST(json_extract_string(body, '$.ms') AS BIGINT) DESC, received_at, id LIMIT 500""",
 )
 def sql_slow_requests(spark, d):
     return query_sql(
-        rich_logs(spark, d).filter("service = 'svc1' AND to_date(received_at) = DATE'2024-01-19'"),
+        rich_logs(spark, d),
         """SELECT service, json_extract(body, '$.ms') AS ms, received_at
 FROM logs WHERE json_extract(body, '$.ms') > 500
-ORDER BY ms DESC""",
+ORDER BY ms DESC, received_at, id""",
         limit=500,
     )
 
@@ -343,16 +346,67 @@ GROUP BY service ORDER BY max_ms DESC""",
 @check(
     "sql_hour_errors",
     f"""{WITH} SELECT service, strftime(date_trunc('hour', received_at), '%Y-%m-%dT%H:00:00Z') AS hour, count(*) AS errors
-        FROM logs WHERE level = 'error' AND received_at >= TIMESTAMP '2024-01-19'
-        AND received_at < TIMESTAMP '2024-01-20' GROUP BY 1, 2""",
+        FROM logs WHERE level = 'error' GROUP BY 1, 2 ORDER BY hour DESC, service NULLS FIRST LIMIT 500""",
 )
 def sql_hour_errors(spark, d):
     return query_sql(
-        logs(spark, d).filter("to_date(received_at) = DATE'2024-01-19'"),
+        logs(spark, d),
         """SELECT service,
        strftime('%Y-%m-%dT%H:00:00Z', received_at) AS hour,
        COUNT(*) AS errors
 FROM logs WHERE level = 'error'
-GROUP BY service, hour ORDER BY hour DESC""",
+GROUP BY service, hour ORDER BY hour DESC, service""",
         limit=500,
     )
+
+
+@check(
+    "sql_typed_json",
+    f"""{RICH}, v AS (SELECT service, CAST(json_extract_string(body, '$.ms') AS BIGINT) AS ms FROM rich)
+        SELECT service, (max(ms) - min(ms))::DOUBLE AS span, sum(ms) AS total,
+          count(*) FILTER (ms > (SELECT avg(ms) FROM v)) AS above, min(ms)::VARCHAR AS least
+        FROM v GROUP BY service""",
+)
+def sql_typed_json(spark, d):
+    """JSON values in differences, casts, COALESCE, CASE and against a sub-query."""
+    return query_sql(
+        rich_logs(spark, d),
+        """SELECT service, MAX(json_extract(body, '$.ms')) - MIN(json_extract(body, '$.ms')) AS span,
+             SUM(CAST(COALESCE(json_extract(body, '$.none'), json_extract(body, '$.ms'), 'x') AS BIGINT)) AS total,
+             COUNT(CASE WHEN json_extract(body, '$.ms') > (SELECT AVG(json_extract(body, '$.ms')) FROM logs) THEN 1 END) AS above,
+             MIN(COALESCE(json_extract(body, '$.ms'), 0)) AS least
+           FROM logs GROUP BY service""",
+        limit=500,
+    )
+
+
+# Statements in turn, and the rows a pass gives; None is refused.
+STATEMENTS = (
+    ("SELECT id FROM logs WHERE level = 'error'", "SELECT count(*) FROM logs WHERE level = 'error'"),
+    ("SELECT a.id FROM logs a JOIN logs b ON a.id = b.id", "SELECT count(*) FROM logs"),
+    ("SELECT a.id FROM logs a JOIN logs b ON a.id = a.id", None),
+    ("SELECT a.id FROM logs a JOIN logs b ON a.id + b.id = b.id + a.id", None),
+    ("SELECT a.id FROM logs a, logs b WHERE a.id = b.id AND a.service = 'svc1'", "SELECT count(*) FROM logs WHERE service = 'svc1'"),
+    ("SELECT DISTINCT service FROM logs", "SELECT count(*) FROM (SELECT DISTINCT service FROM logs)"),
+    ("DELETE FROM logs", None),
+    ("SELECT id FROM logs; SELECT 1", None),
+    ("SELECT id FROM users", None),
+    ("SELECT reflect('java.lang.System', 'exit', 1) FROM logs", None),
+    ("SELECT id FROM logs a WHERE EXISTS (SELECT 1 FROM logs b WHERE b.id = a.id + 1)",
+     "SELECT count(*) FROM logs a WHERE EXISTS (SELECT 1 FROM logs b WHERE b.id = a.id + 1)"),
+)
+
+
+@check(
+    "sql_statements",
+    WITH + " UNION ALL ".join(f" SELECT {n} AS statement, ({sql or 'NULL'})::BIGINT AS rows" for n, (_, sql) in enumerate(STATEMENTS)),
+)
+def sql_statements(spark, d):
+    """Which statements the guard lets through, and how many rows each of those gives over all logs."""
+    rows = logs(spark, d)
+    counts = []
+    for n, (sql, _) in enumerate(STATEMENTS):
+        passes = refusal(spark, sql) is None
+        found = query_sql(rows, f"SELECT count(*) AS rows FROM ({sql}) x") if passes else spark.range(1).select(F.lit(None).cast("long").alias("rows"))
+        counts.append(found.select(F.lit(n).alias("statement"), "rows"))
+    return reduce(DataFrame.union, counts)
