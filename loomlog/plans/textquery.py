@@ -264,6 +264,22 @@ def search_condition(query: str, body: Column) -> Column:
     return F.coalesce(matched, F.lit(False))
 
 
+def _joined(tree, of) -> Column:
+    """``of`` every part of a chain of AND or of OR, joined pair by pair: long searches stay shallow plans."""
+    parts, left = [], [tree]
+    while left:
+        node = left.pop()
+        if type(node) is type(tree):
+            left += [node.right, node.left]
+        elif node not in parts:
+            parts.append(node)
+    columns, join = [of(part) for part in parts], and_ if isinstance(tree, Both) else or_
+    while len(columns) > 1:
+        pairs = [columns[i : i + 2] for i in range(0, len(columns), 2)]
+        columns = [join(*pair) if len(pair) == 2 else pair[0] for pair in pairs]
+    return columns[0]
+
+
 def _leaves(tree) -> list:
     if isinstance(tree, (Both, Either, Without)):
         return _leaves(tree.left) + _leaves(tree.right)
@@ -276,10 +292,8 @@ def _words(leaf) -> list[str]:
 
 
 def _possible(tree, text: Column) -> Column:
-    if isinstance(tree, Both):
-        return _possible(tree.left, text) & _possible(tree.right, text)
-    if isinstance(tree, Either):
-        return _possible(tree.left, text) | _possible(tree.right, text)
+    if isinstance(tree, (Both, Either)):
+        return _joined(tree, lambda part: _possible(part, text))
     if isinstance(tree, Without):
         return _possible(tree.left, text)
     if isinstance(tree, Nothing):
@@ -288,10 +302,8 @@ def _possible(tree, text: Column) -> Column:
 
 
 def _exact(tree, text: Column) -> Column:
-    if isinstance(tree, Both):
-        return _exact(tree.left, text) & _exact(tree.right, text)
-    if isinstance(tree, Either):
-        return _exact(tree.left, text) | _exact(tree.right, text)
+    if isinstance(tree, (Both, Either)):
+        return _joined(tree, lambda part: _exact(part, text))
     if isinstance(tree, Without):
         return _exact(tree.left, text) & ~_exact(tree.right, text)
     if isinstance(tree, Nothing):
@@ -384,10 +396,8 @@ def _positive(tree):
 
 def combine_flags(tree, flag_of) -> Column:
     """Candidate condition given ``flag_of((token, is_prefix)) -> Column``."""
-    if isinstance(tree, Both):
-        return combine_flags(tree.left, flag_of) & combine_flags(tree.right, flag_of)
-    if isinstance(tree, Either):
-        return combine_flags(tree.left, flag_of) | combine_flags(tree.right, flag_of)
+    if isinstance(tree, (Both, Either)):
+        return _joined(tree, lambda part: combine_flags(part, flag_of))
     if isinstance(tree, Nothing):
         return F.lit(False)
     phrases = tree.phrases if isinstance(tree, Near) else (tree,)
@@ -420,10 +430,8 @@ def presence_flags(query: str) -> tuple[list[tuple[str, bool]], object] | None:
 
 def presence(tree, flag_of) -> Column:
     """The exact condition of a tree of ``presence_flags``, given ``flag_of((token, is_prefix)) -> Column``."""
-    if isinstance(tree, Both):
-        return presence(tree.left, flag_of) & presence(tree.right, flag_of)
-    if isinstance(tree, Either):
-        return presence(tree.left, flag_of) | presence(tree.right, flag_of)
+    if isinstance(tree, (Both, Either)):
+        return _joined(tree, lambda part: presence(part, flag_of))
     if isinstance(tree, Without):
         return presence(tree.left, flag_of) & ~presence(tree.right, flag_of)
     if isinstance(tree, Nothing):

@@ -193,3 +193,10 @@ def test_token_table_gives_the_same_rows(spark, bodies, tmp_path):
         assert looked_up == scanned, query
     plan = candidate_ids(stored, "connection refused")._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1]
+
+
+def test_as_many_words_as_a_search_can_hold(make_logs):
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = make_logs(("2024-01-01T00:00:00", None, None, None, " ".join(words)), ("2024-01-01T00:00:00", None, None, None, " ".join(words[1:])))
+    for query, expected in ((" ".join(words), [1]), (" OR ".join(words[:160]), [1, 2]), (" ".join(["ab"] * 333), [1, 2])):
+        assert [r["id"] for r in search_rows(rows, query).orderBy("id").collect()] == expected
