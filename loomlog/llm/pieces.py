@@ -164,6 +164,13 @@ def encode(docs: DataFrame, model: str, keep_ids: bool = True) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model)
+        try:
+            yield from encoded(machine, batches)
+        finally:
+            # Workers live on; what they remember of this task's words is of little use to the next.
+            machine.known.clear()
+
+    def encoded(machine: Transducer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.cumsum([len(x.as_buffer()) for x in batch.column(1)])
             cuts = np.searchsorted(sizes, np.arange(CHUNK_CHARS, int(sizes[-1]) if len(sizes) else 0, CHUNK_CHARS))
