@@ -13,6 +13,7 @@ from loomlog.operators.tokens import count_search_stored, search_page_stored, se
 from loomlog.operators.retention import deleted_rows, kept_rows, newest_rows
 from loomlog.operators.tenancy import retained
 from loomlog.session import shared_dir
+from loomlog.sinks.projects import ingest_projects, read_projects, read_usage, retention_all, sweep_projects
 from loomlog.sinks.postings import index_store
 from loomlog.sinks.store import compact, delete_where, ingest_batch, keep_fields, purge_before, purge_excess
 from loomlog.sources.store import read_counts, read_fields, read_logs
@@ -348,3 +349,57 @@ def stream_copies(spark, d):
     query = query.option("path", f"{root}/once").option("checkpointLocation", f"{root}/once-state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("n BIGINT, k STRING").parquet(f"{root}/once")
+
+
+def project_events(spark, d):
+    return raw_events(spark, d).withColumn("project_id", F.concat(F.lit("p"), F.get_json_object("payload", "$.n").cast("bigint") % 7))
+
+
+def projects_stored(spark, d) -> str:
+    """The events of seven projects in two batches, the second partly repeating the first and then replayed."""
+    root = f"{shared_dir(spark)}/projects-{uuid.uuid4().hex}"
+    rows = project_events(spark, d)
+    late = rows.filter(F.col("received_at") >= "2024-01-14")
+    ingest_projects(rows.filter(F.col("received_at") < "2024-01-16"), root, 0)
+    for _ in range(2):
+        ingest_projects(late, root, 1)
+    return root
+
+
+PROJECTS_SQL = """WITH stored AS (SELECT event_id AS n, 'p' || event_id % 7 AS project_id, ts AS received_at, event_type AS level,
+    strlen('{"svc":"s' || user_id % 5 || '","level":"' || event_type || '","traceId":"t' || user_id || '","n":' || event_id || '}') AS size
+  FROM events)"""
+
+
+@check("ingest_projects", f"{PROJECTS_SQL} SELECT project_id, n, level FROM stored")
+def many_projects(spark, d):
+    return read_projects(spark, projects_stored(spark, d)).select("project_id", number(), "level")
+
+
+@check(
+    "usage_at_write",
+    f"""{PROJECTS_SQL}, sent AS (SELECT * FROM stored UNION ALL
+          SELECT * FROM stored WHERE received_at >= TIMESTAMP '2024-01-14' AND received_at < TIMESTAMP '2024-01-16')
+        SELECT project_id, strftime(received_at, '%Y-%m') AS month, sum(size)::BIGINT AS bytes, count(DISTINCT n) AS lines
+        FROM sent GROUP BY 1, 2""",
+)
+def usage_at_write(spark, d):
+    """Bytes sent, copies included, and rows written, as the batches left them."""
+    return read_usage(spark, projects_stored(spark, d))
+
+
+@check(
+    "retention_all",
+    f"""{PROJECTS_SQL} SELECT project_id, count(*) AS rows, min(n) AS least, max(n) AS most FROM stored
+        WHERE project_id = 'p0' OR received_at >= TIMESTAMP '2024-01-30 08:30:00' - to_days((n % 7 * 4)::INT)
+        GROUP BY project_id""",
+)
+def retention_of_all(spark, d):
+    """Seven retentions applied at once, and once more after the sweep."""
+    root = projects_stored(spark, d)
+    plans = spark.range(7).select(F.concat(F.lit("p"), F.col("id")).alias("project_id"), (F.col("id") * 4).cast("int").alias("retention_days"))
+    for _ in range(2):
+        retention_all(spark, root, plans, "2024-01-30T08:30:00Z")
+        sweep_projects(spark, root)
+    rows = read_projects(spark, root).select("project_id", number())
+    return rows.groupBy("project_id").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"))
