@@ -131,7 +131,7 @@ def count_keys(blocks: DataFrame, ranges: int) -> DataFrame:
     )
     return sent.groupBy("pair", "part").applyInArrow(
         _sum_range,
-        "block long, role int, pair boolean, part int, total binary, estimate binary, tokens long, distinct long",
+        "block long, role int, pair boolean, part int, wide boolean, total binary, estimate binary, tokens long, distinct long",
     )
 
 
@@ -142,16 +142,21 @@ CELL_ARROW = pa.schema(
 
 
 def _sum_range(table: pa.Table) -> pa.Table:
-    """Add up the counts of one hash range and hand every block its keys' sums."""
+    """Add up the counts of one hash range and hand every block its keys' sums.
+
+    Sums are exact 64-bit numbers; a range in which all fit in 32 bits is sent in 32.
+    """
     keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]]
     counts = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["counts"]]
     roles, sizes = table["role"].to_numpy(), np.array([len(k) for k in keys])
     distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
     role, n = np.repeat(roles, sizes), np.concatenate(counts)
     estimate, deleted = (
-        np.bincount(which[role == r], n[role == r], len(distinct)).astype(np.uint32) for r in (ESTIMATE, DELETED)
+        np.bincount(which[role == r], n[role == r], len(distinct)).astype(np.uint64) for r in (ESTIMATE, DELETED)
     )
     total = estimate + deleted
+    wide = bool(total.max(initial=0) >= 1 << 32)
+    sent, chosen = total.astype(_width(wide)), estimate.astype(_width(wide))
     stops = np.cumsum(sizes)
     spans = [which[stop - size : stop] for size, stop in zip(sizes.tolist(), stops.tolist(), strict=True)]
     words = not table["pair"][0].as_py()
@@ -159,18 +164,23 @@ def _sum_range(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "block": table["block"], "role": table["role"], "pair": table["pair"], "part": table["part"],
-            "total": pa.array([total[s].tobytes() for s in spans], pa.binary()),
+            "wide": pa.array([wide] * len(spans), pa.bool_()),
+            "total": pa.array([sent[s].tobytes() for s in spans], pa.binary()),
             "estimate": pa.array(
-                [estimate[s].tobytes() if r == DELETED else b"" for s, r in zip(spans, roles, strict=True)], pa.binary()
+                [chosen[s].tobytes() if r == DELETED else b"" for s, r in zip(spans, roles, strict=True)], pa.binary()
             ),
             "tokens": pa.array(facts[0], pa.int64()), "distinct": pa.array(facts[1], pa.int64()),
         }
     )
 
 
+def _width(wide: bool) -> type:
+    return np.uint64 if wide else np.uint32
+
+
 def _answered(blocks: DataFrame, counted: DataFrame) -> DataFrame:
     """Each block with the counts of its keys, range by range."""
-    answers = counted.groupBy("block").agg(F.collect_list(F.struct("pair", "part", "total", "estimate")).alias("answers"))
+    answers = counted.groupBy("block").agg(F.collect_list(F.struct("pair", "part", "wide", "total", "estimate")).alias("answers"))
     return blocks.join(answers, "block")
 
 
@@ -178,7 +188,8 @@ def _answers(row: dict, field: str) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the block's words by local number, and of its sorted pairs."""
     parts = sorted(row["answers"], key=lambda a: (a["pair"], a["part"]))
     ones, twos = (
-        np.frombuffer(b"".join(a[field] for a in parts if a["pair"] == pair), np.uint32) for pair in (False, True)
+        np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(a[field], _width(a["wide"])).astype(np.int64) for a in parts if a["pair"] == pair]])
+        for pair in (False, True)
     )
     by_word = np.empty_like(ones)
     by_word[np.argsort(np.frombuffer(row["words"], np.uint64))] = ones

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from loomlog.llm import ngram
 
@@ -86,3 +87,15 @@ def test_weights_by_em():
     cells = [(5, -8, -64, 900), (5, ngram.NONE, -64, 100)]
     mix = ngram.learn_weights(cells, 10**6)[5]
     assert math.isclose(mix.sum(), 1) and mix[0] > 0.85 and mix[1] > 0.05
+
+
+def test_counts_beyond_32_bits():
+    keys, many = np.array([7, 9], np.uint64), np.array([3_000_000_000, 2], np.uint32)
+    cell = {"pair": False, "part": 0, "keys": keys.tobytes(), "counts": many.tobytes()}
+    table = pa.Table.from_pylist([{"block": b, "role": ngram.ESTIMATE, **cell} for b in (0, 1)], ngram.CELL_ARROW)
+    found = ngram._sum_range(table).to_pylist()
+    assert [r["tokens"] for r in found] == [6_000_000_004, 0] and found[0]["distinct"] == 2
+    by_word, _ = ngram._answers({"answers": [found[0]], "words": keys.tobytes()}, "total")
+    assert by_word.tolist() == [6_000_000_000, 4]
+    small = ngram._sum_range(pa.Table.from_pylist([{"block": 0, "role": ngram.ESTIMATE, **cell}], ngram.CELL_ARROW)).to_pylist()
+    assert len(small[0]["total"]) == 8 and not small[0]["wide"]
