@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass
@@ -241,18 +242,22 @@ def _own_partition(rows: DataFrame, path: str, batch_id: int) -> None:
 
 
 def delete_where(
-    spark: SparkSession, root: str, before: When | None = None, service: str | None = None
+    spark: SparkSession, root: str, before: When | None = None, service: str | None = None, *, grace_seconds: float = 0
 ) -> int:
-    """Delete by time and/or service; returns the number of rows deleted."""
+    """Delete by time and/or service; returns the number of rows deleted.
+
+    Readers that planned before the deletion need the replaced files: here and in the other upkeep
+    they stay for ``grace_seconds`` and go in the first upkeep or :func:`sweep` after that.
+    """
     going = deletion(before, service)
     logs = read_logs(spark, root, until=before)
     touched = logs.filter(going)
-    return _rewrite(spark, root, touched, ~going)
+    return _rewrite(spark, root, touched, ~going, grace_seconds)
 
 
-def purge_before(spark: SparkSession, root: str, cutoff: When | None) -> int:
+def purge_before(spark: SparkSession, root: str, cutoff: When | None, *, grace_seconds: float = 0) -> int:
     """Delete rows older than the cutoff; None keeps everything."""
-    return 0 if cutoff is None else delete_where(spark, root, before=cutoff)
+    return 0 if cutoff is None else delete_where(spark, root, before=cutoff, grace_seconds=grace_seconds)
 
 
 def purge_projects(
@@ -265,26 +270,26 @@ def purge_projects(
     }
 
 
-def purge_excess(spark: SparkSession, root: str, max_rows: int) -> int:
+def purge_excess(spark: SparkSession, root: str, max_rows: int, *, grace_seconds: float = 0) -> int:
     """Delete the rows with the smallest ids until at most ``max_rows`` remain."""
     logs = read_logs(spark, root)
     cutoff = excess_cutoff(logs, max_rows)
     if cutoff is None:
         return 0
-    return _rewrite(spark, root, logs.filter(F.col("id") <= cutoff), F.col("id") > cutoff)
+    return _rewrite(spark, root, logs.filter(F.col("id") <= cutoff), F.col("id") > cutoff, grace_seconds)
 
 
-def _rewrite(spark: SparkSession, root: str, going: DataFrame, keep: Column) -> int:
+def _rewrite(spark: SparkSession, root: str, going: DataFrame, keep: Column, grace_seconds: float) -> int:
     """Leave out the rows of ``going`` from the days that hold some; returns how many."""
     per_day = going.groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
     touched = {str(row["dt"]): row["n"] for row in per_day.toLocalIterator()}
-    _replace_days(spark, root, sorted(touched), F.coalesce(keep, F.lit(True)))
+    _replace_days(spark, root, sorted(touched), F.coalesce(keep, F.lit(True)), grace_seconds)
     return sum(touched.values())
 
 
-def compact(spark: SparkSession, root: str, day: str) -> None:
+def compact(spark: SparkSession, root: str, day: str, *, grace_seconds: float = 0) -> None:
     """Write a closed day's batches as one folder of well-sized files."""
-    _replace_days(spark, root, [day], F.lit(True))
+    _replace_days(spark, root, [day], F.lit(True), grace_seconds)
 
 
 def keep_fields(spark: SparkSession, root: str) -> None:
@@ -302,14 +307,14 @@ def keep_fields(spark: SparkSession, root: str) -> None:
     write_note(spark, f"{root}/{FIELDS_READY}", {"fields": True})
 
 
-def _replace_days(spark: SparkSession, root: str, days: list[str], keep: Column) -> None:
-    """Write the rows of whole days that stay as a new generation, then drop what it replaces.
+def _replace_days(spark: SparkSession, root: str, days: list[str], keep: Column, grace_seconds: float = 0) -> None:
+    """Write the rows of whole days that stay as a new generation, then drop what has been replaced long enough.
 
     Only these days are read.  Until the generation's note is in place readers see the old
     folders, afterwards the new one; what an interrupted run leaves is removed by the next.  One
     run of upkeep at a time; batches may be appended meanwhile.
     """
-    sweep(spark, root)
+    sweep(spark, root, grace_seconds)
     parts = {day: _listed(spark, root, day) for day in days}
     parts = {day: found for day, found in parts.items() if found["batches"] or found["kept"]}
     if not parts:
@@ -322,8 +327,9 @@ def _replace_days(spark: SparkSession, root: str, days: list[str], keep: Column)
     kept = {name[3:]: True for name in folders(spark, path) if name.startswith("dt=")}
     if is_indexed(spark, root):
         write_postings(read_folders(spark, f"{root}/{KEPT_DIR}", [f"{path}/dt={day}" for day in kept]), root, f"g{gen}")
-    write_note(spark, f"{root}/{GENERATIONS_DIR}/{gen:012d}.json", {"gen": gen, "days": parts, "kept": kept})
-    _drop_replaced(spark, root, parts)
+    write_note(spark, f"{root}/{GENERATIONS_DIR}/{gen:012d}.json", {"gen": gen, "days": parts, "kept": kept, "at": time.time()})
+    if grace_seconds <= 0:
+        _drop_replaced(spark, root, parts)
 
 
 def _listed(spark: SparkSession, root: str, day: str) -> dict[str, list[int]]:
@@ -348,10 +354,12 @@ def _drop_replaced(spark: SparkSession, root: str, days: dict[str, dict[str, lis
     )
 
 
-def sweep(spark: SparkSession, root: str) -> None:
-    """Remove what interrupted upkeep left: replaced folders, and generations without a note."""
-    notes = generations(spark, root)
+def sweep(spark: SparkSession, root: str, grace_seconds: float = 0) -> None:
+    """Remove folders replaced ``grace_seconds`` ago or earlier, and generations an interrupted run left without a note."""
+    notes, latest = generations(spark, root), time.time() - grace_seconds
     for note in notes:
+        if note.get("at", 0) > latest:
+            continue
         _drop_replaced(spark, root, {day: p for day, p in note["days"].items() if _left_over(spark, root, day, p)})
     known = {f"gen={note['gen']}" for note in notes}
     for name in folders(spark, f"{root}/{KEPT_DIR}"):

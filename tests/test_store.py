@@ -148,6 +148,22 @@ def test_delete(spark, events, tmp_path):
     assert sum(r["count"] for r in read_counts(spark, root).collect()) == 72
 
 
+def test_readers_that_planned_before_keep_their_files(spark, events, tmp_path):
+    root = str(tmp_path)
+    filled(events, root)
+    store.compact(spark, root, "2024-01-02")
+    planned = read_logs(spark, root)
+    planned.explain()
+    assert store.delete_where(spark, root, service="b", grace_seconds=3600) == 36
+    assert store.purge_before(spark, root, "2024-01-02", grace_seconds=3600) == 12
+    assert planned.count() == 72 and numbers(spark, root) == list(range(24, 72, 2))
+    store.sweep(spark, root, 3600)
+    assert planned.count() == 72
+    store.sweep(spark, root)
+    assert numbers(spark, root) == list(range(24, 72, 2))
+    assert not list(tmp_path.glob("logs/dt=*/batch=*")) and len(list(tmp_path.glob("logs_kept/gen=*/dt=*"))) == 2
+
+
 def test_purge_excess(spark, events, tmp_path):
     root = str(tmp_path)
     filled(events, root)
