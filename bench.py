@@ -73,6 +73,34 @@ def ingest_rate(spark, sf_dir: str, cpus: int, runs: int) -> tuple[float, float]
     return median, total / median
 
 
+def stored_times(spark, sf_dir: str, runs: int) -> dict[str, float]:
+    """Median seconds of searches and field tests over one stored table, by index or members and by bodies."""
+    from loomlog.operators.aggregates import count_search
+    from loomlog.operators.pages import field_rows
+    from loomlog.operators.tokens import count_search_stored
+    from loomlog.session import shared_dir
+    from loomlog.sinks.postings import index_store
+    from loomlog.sinks.store import ingest_batch, keep_fields
+    from loomlog.sources.store import read_fields, read_logs
+    from suite.storage import raw_events
+
+    root = f"{shared_dir(spark)}/bench-stored-{os.getpid()}"
+    index_store(spark, root)
+    keep_fields(spark, root)
+    ingest_batch(raw_events(spark, sf_dir), root, 0)
+    cases = {
+        "search_count_index": lambda: count_search_stored(spark, root, "error NOT s2"),
+        "search_count_bodies": lambda: count_search(read_logs(spark, root), "error NOT s2"),
+        "field_rows_members": lambda: field_rows(read_fields(spark, root), "n", "<=", 3000).select("id"),
+        "field_rows_bodies": lambda: field_rows(read_logs(spark, root), "n", "<=", 3000).select("id"),
+    }
+    found = {}
+    for name, case in cases.items():
+        times = [run(lambda *_, case=case: case(), spark, sf_dir) for _ in range(runs + 1)]
+        found[name] = round(statistics.median(times[1:]), 4)
+    return found
+
+
 def main() -> None:
     from loomlog.session import build_session
 
@@ -100,6 +128,7 @@ def main() -> None:
         queries[name] = round(statistics.median(times), 4)
     seconds, rate = ingest_rate(spark, sf_dir, int(cpus), min(runs, 3))
     queries["ingest_batch"] = round(seconds, 4)
+    stored = stored_times(spark, sf_dir, runs)
     spark.stop()
     print(
         json.dumps(
@@ -109,6 +138,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": queries,
                 "ingest_events_per_sec": round(rate),
+                "stored_table": stored,
                 "sf": os.path.basename(os.path.normpath(sf_dir)),
                 "cpus": int(cpus),
             }
