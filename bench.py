@@ -36,6 +36,7 @@ HEADLINE = (
     "trace_gaps",
     "latest_per_service",
     "correlate_orders",
+    "correlate_within",
     "alias_extract",
     "stamped_body",
     "syslog_parse",
@@ -75,22 +76,27 @@ def ingest_rate(spark, sf_dir: str, cpus: int, runs: int) -> tuple[float, float]
 
 def stored_times(spark, sf_dir: str, runs: int) -> dict[str, float]:
     """Median seconds of searches and field tests over one stored table, by index or members and by bodies."""
-    from loomlog.operators.aggregates import count_search
+    from loomlog.operators.aggregates import count_search, histogram
     from loomlog.operators.pages import field_rows
+    from loomlog.operators.rollups import histogram_stored
     from loomlog.operators.tokens import count_search_stored
     from loomlog.session import shared_dir
     from loomlog.sinks.postings import index_store
+    from loomlog.sinks.rollups import keep_rollup
     from loomlog.sinks.store import ingest_batch, keep_fields
     from loomlog.sources.store import read_fields, read_logs
     from suite.storage import raw_events
 
     root = f"{shared_dir(spark)}/bench-stored-{os.getpid()}"
     index_store(spark, root)
+    keep_rollup(spark, root)
     keep_fields(spark, root)
     ingest_batch(raw_events(spark, sf_dir), root, 0)
     cases = {
         "search_count_index": lambda: count_search_stored(spark, root, "error NOT s2"),
         "search_count_bodies": lambda: count_search(read_logs(spark, root), "error NOT s2"),
+        "hist_rollup": lambda: histogram_stored(spark, root, "6h", by=("service",)),
+        "hist_rows": lambda: histogram(read_logs(spark, root), "6h", by=("service",)),
         "field_rows_members": lambda: field_rows(read_fields(spark, root), "n", "<=", 3000).select("id"),
         "field_rows_bodies": lambda: field_rows(read_logs(spark, root), "n", "<=", 3000).select("id"),
     }

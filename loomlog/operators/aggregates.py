@@ -171,6 +171,11 @@ def anomaly(
         F.count_if(at >= instant(border)).alias("recent_count"),
         F.count_if(at <= instant(border)).alias("baseline_count"),
     )
+    return rate_classes(counts, window_minutes, by)
+
+
+def rate_classes(counts: DataFrame, window_minutes: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rates, their factor and its class from ``recent_count`` and ``baseline_count``."""
     recent, baseline = F.col("recent_count"), F.col("baseline_count")
     rated = counts.select(
         *by,

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Ids per block.  Ids are unique, so a (trace, block) group can never hold more rows.
 BLOCK_IDS = 1 << 20
 
+#: Time per block of a correlation within a distance; a block holds at most one mark per instant.
+BLOCK_SECONDS = 900.0
+
 
 def trace_gaps(df: DataFrame, block: int = BLOCK_IDS) -> DataFrame:
     """Each row of a trace with the time since the row before it, in id order.
@@ -108,6 +111,74 @@ def correlate(
     )
 
 
+def correlate_within(
+    df: DataFrame,
+    shared_key: Column,
+    left: Column,
+    right: Column,
+    seconds: float,
+    *,
+    key_name: str = "key",
+    block_seconds: float = BLOCK_SECONDS,
+) -> DataFrame:
+    """Per value of a shared key: does a ``right`` row follow a ``left`` row within some seconds?
+
+    ``left_followed`` counts left rows with a right row after them and at most ``seconds`` later,
+    ``right_preceded`` right rows with such a left row before them, and ``shortest_ms`` is the least
+    time between two such rows.  A row of the same instant does not follow.  Rows without a key or a
+    receive time take no part, nor do keys without a left or right row.
+
+    No pairs are formed.  Rows of one instant become one mark, map-side; marks are put in order per
+    key *and* block of time, so the marks of a hot key go to many tasks, and only the nearest mark
+    outside a block comes from a summary holding one row per key and block.
+    """
+    at = F.unix_micros("received_at")
+    marks = (
+        df.select(
+            shared_key.alias(key_name),
+            at.alias("_at"),
+            F.coalesce(left, F.lit(False)).alias("_l"),
+            F.coalesce(right, F.lit(False)).alias("_r"),
+        )
+        .filter(F.col(key_name).isNotNull() & F.col("_at").isNotNull() & (F.col("_l") | F.col("_r")))
+        .groupBy(key_name, "_at")
+        .agg(F.count_if("_l").alias("_lefts"), F.count_if("_r").alias("_rights"))
+        .withColumn("_block", F.floor(F.col("_at") / F.lit(int(block_seconds * 1_000_000))))
+    )
+    left_at, right_at = F.when(F.col("_lefts") > 0, F.col("_at")), F.when(F.col("_rights") > 0, F.col("_at"))
+    inside, across = Window.partitionBy(key_name, "_block"), Window.partitionBy(key_name)
+    earlier = (Window.unboundedPreceding, -1)
+    near = marks.select(
+        "*",
+        F.max(left_at).over(inside.orderBy("_at").rowsBetween(*earlier)).alias("_left_before"),
+        # Turned around, so that the frame grows by one row at a time.
+        F.min(right_at).over(inside.orderBy(F.desc("_at")).rowsBetween(*earlier)).alias("_right_after"),
+    )
+    blocks = marks.groupBy(key_name, "_block").agg(F.max(left_at).alias("_last"), F.min(right_at).alias("_first"))
+    outside = blocks.select(
+        key_name,
+        "_block",
+        F.max("_last").over(across.orderBy("_block").rowsBetween(*earlier)).alias("_left_outside"),
+        F.min("_first").over(across.orderBy(F.desc("_block")).rowsBetween(*earlier)).alias("_right_outside"),
+    )
+    lag_left = F.coalesce("_right_after", "_right_outside") - F.col("_at")
+    lag_right = F.col("_at") - F.coalesce("_left_before", "_left_outside")
+    within = F.lit(int(seconds * 1_000_000))
+    followed = (F.col("_lefts") > 0) & (lag_left <= within)
+    preceded = (F.col("_rights") > 0) & (lag_right <= within)
+    return (
+        near.join(outside, [key_name, "_block"])
+        .groupBy(key_name)
+        .agg(
+            F.sum("_lefts").alias("left_rows"),
+            F.sum("_rights").alias("right_rows"),
+            F.coalesce(F.sum(F.when(followed, F.col("_lefts"))), F.lit(0)).alias("left_followed"),
+            F.coalesce(F.sum(F.when(preceded, F.col("_rights"))), F.lit(0)).alias("right_preceded"),
+            (F.min(F.when(followed, lag_left)) / F.lit(1000)).alias("shortest_ms"),
+        )
+    )
+
+
 def key_trace(df: DataFrame, shared_key: Column, value: str) -> DataFrame:
     """Every row about one key value across services, oldest first."""
     return (

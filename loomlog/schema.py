@@ -75,6 +75,17 @@ POSTINGS = T.StructType(
     ]
 )
 
+ROLLUP = T.StructType(
+    [
+        T.StructField("hour", T.TimestampType()),
+        T.StructField("service", T.StringType()),
+        T.StructField("level", T.StringType()),
+        T.StructField("count", T.LongType()),
+        T.StructField("dt", T.DateType()),
+        T.StructField("part", T.StringType()),
+    ]
+)
+
 QUARANTINE = T.StructType(
     [
         T.StructField("index", T.LongType()),

@@ -21,7 +21,9 @@ from loomlog.operators.retention import deletion, excess_cutoff
 from loomlog.operators.tenancy import retention_cutoff
 from loomlog.schema import LOGS
 from loomlog.sinks.postings import drop_dead_postings, write_postings
+from loomlog.sinks.rollups import drop_dead_counts, write_rollup
 from loomlog.sources.postings import is_indexed
+from loomlog.sources.rollups import keeps_rollup
 from loomlog.sources.store import (
     COUNTS_DIR,
     FIELDS_KEPT,
@@ -173,6 +175,8 @@ def ingest_batch(
     written = own.count()
     if is_indexed(spark, root):
         write_postings(own, root, f"b{batch_id}")
+    if keeps_rollup(spark, root):
+        write_rollup(own, root, f"b{batch_id}")
     outcome = IngestCounts(
         written=written,
         deduplicated=counts["total"] - refused - written,
@@ -325,8 +329,12 @@ def _replace_days(spark: SparkSession, root: str, days: list[str], keep: Column,
     ordered = _with_fields(rows, root).hint("rebalance", "dt").sortWithinPartitions("dt", "id")
     _log_writer(ordered).partitionBy("dt").parquet(path)
     kept = {name[3:]: True for name in folders(spark, path) if name.startswith("dt=")}
-    if is_indexed(spark, root):
-        write_postings(read_folders(spark, f"{root}/{KEPT_DIR}", [f"{path}/dt={day}" for day in kept]), root, f"g{gen}")
+    if is_indexed(spark, root) or keeps_rollup(spark, root):
+        stayed = read_folders(spark, f"{root}/{KEPT_DIR}", [f"{path}/dt={day}" for day in kept])
+        if is_indexed(spark, root):
+            write_postings(stayed, root, f"g{gen}")
+        if keeps_rollup(spark, root):
+            write_rollup(stayed, root, f"g{gen}")
     write_note(spark, f"{root}/{GENERATIONS_DIR}/{gen:012d}.json", {"gen": gen, "days": parts, "kept": kept, "at": time.time()})
     if grace_seconds <= 0:
         _drop_replaced(spark, root, parts)
@@ -349,6 +357,7 @@ def _drop_replaced(spark: SparkSession, root: str, days: dict[str, dict[str, lis
             remove(spark, path)
         for gen in parts["kept"]:
             remove(spark, f"{root}/{KEPT_DIR}/gen={gen}/dt={day}")
+    drop_dead_counts(spark, root, days)
     drop_dead_postings(
         spark, root, {b for parts in days.values() for b in parts["batches"]}, {g for parts in days.values() for g in parts["kept"]}
     )
@@ -364,6 +373,8 @@ def sweep(spark: SparkSession, root: str, grace_seconds: float = 0) -> None:
     known = {f"gen={note['gen']}" for note in notes}
     for name in folders(spark, f"{root}/{KEPT_DIR}"):
         if name not in known:
+            days = [day[3:] for day in folders(spark, f"{root}/{KEPT_DIR}/{name}") if day.startswith("dt=")]
+            drop_dead_counts(spark, root, {day: {"batches": [], "kept": [int(name[4:])]} for day in days})
             remove(spark, f"{root}/{KEPT_DIR}/{name}")
             remove(spark, f"{root}/{TOKENS_DIR}/part=g{name[4:]}")
 

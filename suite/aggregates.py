@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomlog.operators import aggregates as agg
 from loomlog.operators.tenancy import over_quota, with_plan
-from loomlog.operators.traces import correlate
+from loomlog.operators.traces import correlate, correlate_within
 from suite import check
 from suite.views import LOGS_SQL, RICH_SQL, logs, rich_logs, table
 
@@ -307,3 +307,23 @@ def correlate_orders(spark, d):
         F.col("level") == "warn",
         key_name="order_id",
     )
+
+
+@check(
+    "correlate_within",
+    f"""{WITH}, l AS (SELECT id, service, received_at AS at FROM logs WHERE level = 'error' AND service IS NOT NULL),
+        r AS (SELECT id, service, received_at AS at FROM logs WHERE level = 'warn' AND service IS NOT NULL),
+        p AS (SELECT l.service, l.id AS l, r.id AS r, epoch_us(r.at) - epoch_us(l.at) AS lag FROM l JOIN r
+          ON l.service = r.service AND r.at > l.at AND r.at <= l.at + INTERVAL 10 MINUTES),
+        f AS (SELECT service, count(DISTINCT l) AS left_followed, count(DISTINCT r) AS right_preceded, min(lag) AS lag
+          FROM p GROUP BY 1),
+        n AS (SELECT service, count(*) FILTER (level = 'error') AS left_rows, count(*) FILTER (level = 'warn') AS right_rows
+          FROM logs WHERE level IN ('error', 'warn') AND service IS NOT NULL GROUP BY 1)
+        SELECT service, left_rows, right_rows, coalesce(left_followed, 0) AS left_followed,
+          coalesce(right_preceded, 0) AS right_preceded, lag / 1000.0::DOUBLE AS shortest_ms
+        FROM n LEFT JOIN f USING (service)""",
+)
+def followed_within(spark, d):
+    """Per service, how many errors a warning follows within ten minutes."""
+    rows = logs(spark, d)
+    return correlate_within(rows, F.col("service"), F.col("level") == "error", F.col("level") == "warn", 600, key_name="service")

@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 from loomlog.operators.aggregates import latency_by_service, slow_requests
 from loomlog.operators.counters import log_counts
 from loomlog.operators.pages import field_rows
+from loomlog.operators.rollups import anomaly_stored, histogram_stored, summarize_stored
 from loomlog.operators.tokens import count_search_stored, search_page_stored, search_stored
 from loomlog.operators.retention import deleted_rows, kept_rows, newest_rows
 from loomlog.operators.tenancy import retained
 from loomlog.session import shared_dir
 from loomlog.sinks.projects import ingest_projects, read_projects, read_usage, retention_all, sweep_projects
 from loomlog.sinks.postings import index_store
+from loomlog.sinks.rollups import keep_rollup
 from loomlog.sinks.store import compact, delete_where, ingest_batch, keep_fields, purge_before, purge_excess
 from loomlog.sources.store import read_counts, read_fields, read_logs
 from loomlog.streaming.aggregates import alerts, running_counts, windowed_counts
 from loomlog.streaming.copies import drop_recent_copies
 from loomlog.streaming.tail import stored_stream, tail_stream, watch
 from suite import check
+from suite.aggregates import CLASSED, RATES
 from suite.views import LOGS_SQL, events, logs, table
 
 WITH = f"WITH {LOGS_SQL}"
@@ -405,3 +408,51 @@ def retention_of_all(spark, d):
         sweep_projects(spark, root)
     rows = read_projects(spark, root).select("project_id", number())
     return rows.groupBy("project_id").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+def rolled_up(spark, d) -> str:
+    """A store whose first batch was written before it kept hourly counts, with a deletion and a compaction after."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    rows = raw_events(spark, d)
+    border = "2024-01-16"
+    ingest_batch(rows.filter(F.col("received_at") < border), root, 0)
+    keep_rollup(spark, root)
+    ingest_batch(rows.filter(F.col("received_at") >= border), root, 1)
+    purge_before(spark, root, "2024-01-05T12:30:00Z")
+    delete_where(spark, root, before="2024-01-18T07:20:00Z", service="s2")
+    compact(spark, root, "2024-01-19")
+    return root
+
+
+ROLLED_SQL = f"""{STORED_SQL}, kept AS (SELECT * FROM stored WHERE received_at >= TIMESTAMP '2024-01-05 12:30:00'
+    AND NOT (service = 's2' AND received_at < TIMESTAMP '2024-01-18 07:20:00'))"""
+
+
+@check(
+    "hist_rollup",
+    f"""{ROLLED_SQL} SELECT strftime(time_bucket(INTERVAL '6 hours', received_at, TIMESTAMP '1970-01-01'),
+          '%Y-%m-%dT%H:%M:%SZ') AS bucket, service, count(*) AS count FROM kept
+        WHERE received_at >= TIMESTAMP '2024-01-03 08:15:30' AND received_at <= TIMESTAMP '2024-01-27 19:40:00'
+        GROUP BY 1, 2""",
+)
+def hist_rollup(spark, d):
+    """Buckets over a window that cuts hours, from hourly counts that follow deletions and compaction."""
+    bounds = {"since": "2024-01-03T08:15:30Z", "until": "2024-01-27T19:40:00Z"}
+    return histogram_stored(spark, rolled_up(spark, d), "6h", by=("service",), **bounds)
+
+
+@check("summary_rollup", f"{ROLLED_SQL} SELECT service, level, count(*) AS count FROM kept GROUP BY 1, 2")
+def summary_rollup(spark, d):
+    return summarize_stored(spark, rolled_up(spark, d))
+
+
+@check(
+    "anomaly_rollup",
+    f"""{ROLLED_SQL}, c AS (SELECT service, count(*) FILTER (received_at >= TIMESTAMP '2024-01-19 22:15:00') AS recent_count,
+            count(*) FILTER (received_at <= TIMESTAMP '2024-01-19 22:15:00') AS baseline_count
+          FROM kept WHERE level = 'error' AND received_at >= TIMESTAMP '2024-01-12 22:15:00'
+            AND received_at <= TIMESTAMP '2024-01-20 00:15:00' GROUP BY service),
+        r AS (SELECT service, {RATES.format(w=120)} FROM c) SELECT {CLASSED} FROM r""",
+)
+def anomaly_rollup(spark, d):
+    return anomaly_stored(spark, rolled_up(spark, d), as_of="2024-01-20T00:15:00Z", window_minutes=120, by=("service",))
