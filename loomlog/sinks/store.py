@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass
 from datetime import timedelta
+from itertools import takewhile
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,11 +34,15 @@ from loomlog.sources.store import (
     KEPT_DIR,
     LOGS_DIR,
     QUARANTINE_DIR,
+    SNAPSHOT,
     TOKENS_DIR,
     commit_path,
+    commits_from,
     day_parts,
     folders,
     generations,
+    kept_by,
+    note_names,
     path_exists,
     project_root,
     read_batch,
@@ -53,6 +58,9 @@ from loomlog.sources.store import (
 #: Body bytes one write task handles; it decides how many files a batch gets.
 TASK_BYTES = 256 * 1024 * 1024
 
+#: From this many notes of generations on, upkeep folds them into a snapshot.
+FOLD_NOTES = 32
+
 WRITTEN, DUPLICATE, OVERSIZED, MALFORMED = "written", "deduplicated", "oversized", "malformed"
 
 
@@ -364,13 +372,18 @@ def _drop_replaced(spark: SparkSession, root: str, days: dict[str, dict[str, lis
 
 
 def sweep(spark: SparkSession, root: str, grace_seconds: float = 0) -> None:
-    """Remove folders replaced ``grace_seconds`` ago or earlier, and generations an interrupted run left without a note."""
+    """Remove folders replaced ``grace_seconds`` ago or earlier, and generations an interrupted run left without a note.
+
+    Notes that have piled up are folded into a snapshot, so that readers open few files.
+    """
     notes, latest = generations(spark, root), time.time() - grace_seconds
     for note in notes:
         if note.get("at", 0) > latest:
             continue
-        _drop_replaced(spark, root, {day: p for day, p in note["days"].items() if _left_over(spark, root, day, p)})
-    known = {f"gen={note['gen']}" for note in notes}
+        replaced = {day: p for day, p in note["days"].items() if p["batches"] or p["kept"]}
+        _drop_replaced(spark, root, {day: p for day, p in replaced.items() if _left_over(spark, root, day, p)})
+    _fold_notes(spark, root, notes, latest)
+    known = {f"gen={gen}" for note in notes for gen in (note["gen"], *(kept_by(note, day) for day in note["kept"]))}
     for name in folders(spark, f"{root}/{KEPT_DIR}"):
         if name not in known:
             days = [day[3:] for day in folders(spark, f"{root}/{KEPT_DIR}/{name}") if day.startswith("dt=")]
@@ -385,6 +398,34 @@ def _left_over(spark: SparkSession, root: str, day: str, parts: dict[str, list[i
     return any(f"batch={b}" in names for b in parts["batches"]) or any(path_exists(spark, path) for path in kept)
 
 
+def _fold_notes(spark: SparkSession, root: str, notes: list[dict], latest: float) -> None:
+    """Put the notes up to ``latest``, whose replaced folders are gone, into one snapshot.
+
+    It names each day's generation, and of the replaced batches only those without a commit: a replay
+    may write these once more.  Its size follows the days that upkeep has changed, not the runs.  The
+    notes it covers are removed in a later upkeep, after the same grace.
+    """
+    folded = note_names(spark, root)[1]
+    if notes and notes[0].get("folded_at", latest + 1) <= latest:
+        for name in folded:
+            remove(spark, f"{root}/{GENERATIONS_DIR}/{name}")
+    aged = list(takewhile(lambda note: note.get("at", 0) <= latest, notes))
+    if sum("folded_at" not in note for note in aged) < FOLD_NOTES:
+        return
+    gone = {b for note in aged for parts in note["days"].values() for b in parts["batches"]}
+    replayable = gone.difference(commits_from(spark, root, min(gone))) if gone else set()
+    days: dict[str, dict[str, list[int]]] = {}
+    kept: dict[str, int | None] = {}
+    for note in aged:
+        for day, parts in note["days"].items():
+            found = days.setdefault(day, {"batches": [], "kept": []})["batches"]
+            found.extend(replayable.intersection(parts["batches"]))
+            kept[day] = kept_by(note, day)
+    last = aged[-1]
+    snapshot = {"gen": last["gen"], "days": days, "kept": kept, "at": last.get("at", 0), "folded_at": time.time()}
+    write_note(spark, f"{root}/{GENERATIONS_DIR}/{SNAPSHOT}{last['gen']:012d}.json", snapshot)
+
+
 def fold_counts(spark: SparkSession, root: str, up_to_batch: int) -> None:
     """Fold the counter deltas of finished batches into one sum, so readers open few files.
 

@@ -29,6 +29,8 @@ TOKENS_DIR = "tokens"
 COMMITS_DIR = "commits"
 KEPT_DIR = "logs_kept"
 GENERATIONS_DIR = "generations"
+#: How the name of a snapshot of several generations' notes begins; the number of the last follows.
+SNAPSHOT = "folded-"
 #: Notes of a store that keeps its bodies as shredded VARIANTs too: from when on, and for all rows.
 FIELDS_KEPT, FIELDS_READY = "fields_state/kept.json", "fields_state/ready.json"
 
@@ -117,14 +119,35 @@ def commits_from(spark: SparkSession, root: str, batch_id: int) -> list[int]:
     return sorted(int(entry.getPath().getName()[:20]) for entry in found or [])
 
 
-def generations(spark: SparkSession, root: str) -> list[dict]:
-    """Notes of the committed generations, one for each run of upkeep that changed days."""
+def note_names(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """File names of the generations' notes that count, in order, and of those a later snapshot covers."""
     path = f"{root}/{GENERATIONS_DIR}"
     if not path_exists(spark, path):
-        return []
+        return [], []
     files, hadoop = file_system(spark, path)
     names = sorted(e.getPath().getName() for e in files.listStatus(hadoop))
-    return [read_note(spark, f"{path}/{name}") for name in names if name.endswith(".json")]
+    snapshots = [name for name in names if name.startswith(SNAPSHOT) and name.endswith(".json")]
+    notes = [name for name in names if name[0].isdigit() and name.endswith(".json")]
+    covered = [name for name in notes if snapshots and name <= snapshots[-1].removeprefix(SNAPSHOT)]
+    return snapshots[-1:] + [name for name in notes if name not in set(covered)], snapshots[:-1] + covered
+
+
+def generations(spark: SparkSession, root: str) -> list[dict]:
+    """Notes of the committed generations, one for each run of upkeep that changed days.
+
+    Older ones come as one snapshot, whose ``kept`` names the generation of each day.
+    """
+    while True:
+        notes = [read_note(spark, f"{root}/{GENERATIONS_DIR}/{name}") for name in note_names(spark, root)[0]]
+        # A note that went since it was listed lies in a snapshot by now.
+        if None not in notes:
+            return notes
+
+
+def kept_by(note: dict, day: str) -> int | None:
+    """The generation that holds a day's rows by a note, None where none are left."""
+    gen = note["kept"].get(day)
+    return note["gen"] if gen is True else gen or None
 
 
 def day_parts(
@@ -142,7 +165,7 @@ def day_parts(
         for day, parts in note["days"].items():
             if first <= day <= last:
                 replaced.setdefault(day, set()).update(parts["batches"])
-                kept[day] = [note["gen"]] if note["kept"].get(day) else []
+                kept[day] = [gen] if (gen := kept_by(note, day)) else []
     for day, gone in replaced.items():
         names = folders(spark, f"{root}/{LOGS_DIR}/dt={day}") if day in days else []
         batches = {int(name[6:]) for name in names if name.startswith("batch=")}
