@@ -15,11 +15,11 @@ MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 MAX_PRIORITY = 191
 
 # The patterns of a priority and of the two header formats.
-PRIORITY = r"(?s)^<([0-9]{1,3})>(.*)"
+PRIORITY = r"(?s)^<(\d{1,3})>(.*)"
 RFC5424 = r"(?s)^1 (\S+) (\S+) (\S+) (\S+) (\S+) (\S+|(?:\[.*?\])*|-) ?(.*)"
 RFC3164 = (
-    r"(?s)^([A-Z][a-z]{2})\s+([0-9]{1,2})\s+([0-9]{2}:[0-9]{2}:[0-9]{2})\s+(\S+)\s+"
-    r"([A-Za-z0-9_/.-]{1,32})(?:\[[0-9]+\])?:\s*(.*)"
+    r"(?s)^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+(\S+)\s+"
+    r"([A-Za-z0-9_/.-]{1,32})(?:\[\d+\])?:\s*(.*)"
 )
 
 

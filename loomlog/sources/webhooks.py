@@ -49,7 +49,7 @@ def signature_valid(secrets: Mapping[str, str | None]) -> Column:
         elif name == "github":
             check = given == F.concat(F.lit("sha256="), hmac_hex(secret, raw))
         else:
-            stamp = F.regexp_extract(given, r"t=([0-9]+)", 1)
+            stamp = F.regexp_extract(given, r"t=(\d+)", 1)
             signature = F.regexp_extract(given, r"v1=([0-9a-f]+)", 1)
             seconds = stamp.try_cast("bigint")
             age = F.abs(F.unix_seconds("received_at") - seconds)
