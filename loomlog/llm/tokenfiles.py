@@ -21,9 +21,9 @@ from loomlog.llm.common import text_of
 END_ID = 1
 #: Ids a shard is meant to hold; a longer document has a shard of its own.
 SHARD_IDS = 1 << 20
-#: A pair becomes a rule if a shard has it this often; rounds of replacing at most.
+#: A pair becomes a rule if a shard has it this often; buckets pairs are counted in first.
 LEAST_COUNT = 24
-ROUNDS = 5
+BUCKETS = 1 << 18
 #: Word encodings a worker remembers, and text encoded at a time.
 CACHE_WORDS = 1_200_000
 CHUNK_BYTES = 1 << 20
@@ -104,28 +104,18 @@ def encoder(path: str) -> Encoder:
 def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """(sequence, rules by round) of a Re-Pair grammar over ``ids``; ``ends`` marks last ids.
 
-    Each round counts the neighbouring pairs inside documents, each in the bucket of its hash, of
-    which the bucket's last pair counts, and takes the frequent ones from the most frequent down,
+    Each round takes the frequent neighbouring pairs inside documents from the most frequent down,
     as long as no symbol is the right part of one and the left part of another, so that no two
-    occurrences overlap.  Each taken pair gets the next free symbol, from the largest id on.
+    occurrences overlap.  Each taken pair gets the next free symbol, from the largest id on.  Rounds
+    end when no pair is frequent any more.
     """
     seq, last = ids.astype(np.uint32), ends.copy()
     free = int(seq.max(initial=0)) + 1
     rounds: list[np.ndarray] = []
-    for _ in range(ROUNDS):
+    while True:
         left, right = seq[:-1], seq[1:]
-        bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(14)
-        bucket[last[:-1]] = 0
-        full = np.bincount(bucket, minlength=1 << 18) >= LEAST_COUNT
-        full[0] = False
-        at = np.flatnonzero(full[bucket])
-        which = bucket[at]
-        keys = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        pairs = np.zeros(1 << 18, np.uint64)
-        pairs[which] = keys
-        same = pairs[which] == keys
-        at, which = at[same], which[same]
-        symbol = _choose(pairs, np.bincount(which, minlength=1 << 18), free)
+        at, which, pairs = _frequent(left, right, last[:-1])
+        symbol = _choose(pairs, np.bincount(which, minlength=len(pairs)), free)
         new = symbol[which]
         taken = new >= 0
         at, new = at[taken], new[taken]
@@ -148,6 +138,32 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.nda
     return seq, rounds
 
 
+def _frequent(left: np.ndarray, right: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, the pair's number at each place, pairs): every pair that occurs ``LEAST_COUNT`` times or more.
+
+    Places are dealt to buckets by the hash of their pair; a bucket with fewer places holds no such
+    pair.  Of every other bucket the last pair is counted at once, and what is left of it, if that is
+    still enough, by sorting.
+    """
+    bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(14)
+    at = np.flatnonzero(~ended)
+    at = at[(np.bincount(bucket[at], minlength=BUCKETS) >= LEAST_COUNT)[bucket[at]]]
+    where, keys = bucket[at], left[at].astype(np.uint64) << np.uint64(32) | right[at]
+    pairs = np.zeros(BUCKETS, np.uint64)
+    pairs[where] = keys
+    same = pairs[where] == keys
+    number = np.full(len(at), -1, np.int64)
+    number[same] = where[same]
+    rest = np.flatnonzero(~same)
+    rest = rest[(np.bincount(where[rest], minlength=BUCKETS) >= LEAST_COUNT)[where[rest]]]
+    others, number[rest] = np.unique(keys[rest], return_inverse=True)
+    number[rest] += BUCKETS
+    pairs = np.concatenate([pairs, others])
+    enough = np.bincount(number[number >= 0], minlength=len(pairs)) >= LEAST_COUNT
+    kept = np.flatnonzero((number >= 0) & enough[number])
+    return at[kept], (np.cumsum(enough) - 1)[number[kept]], pairs[enough]
+
+
 def _choose(pairs: np.ndarray, counts: np.ndarray, free: int) -> np.ndarray:
     """The symbol of each pair that becomes a rule, else -1."""
     symbol = np.full(len(pairs), -1, np.int64)

@@ -52,3 +52,22 @@ def test_grammar_gives_back_every_document_and_is_shorter():
     assert [shard.document(i).tolist() for i in range(len(docs))] == docs
     assert len(shard.rules) and len(shard.seq) < 0.6 * sum(map(len, docs))
     assert all(len(shard.expand(np.array([shard.base + k], np.uint32))) == n for k, n in enumerate(shard.sizes.tolist()))
+
+
+def test_rules_are_made_until_no_pair_is_frequent():
+    """Pairs that share a bucket are all counted, and no number of rounds ends the work early."""
+    a, b = (np.arange(40, dtype=np.uint32)[:, None] * np.ones(40_000, np.uint32)), np.arange(40_000, dtype=np.uint32)
+    bucket = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)
+    alike = np.argwhere(bucket == bucket[2, 3]).tolist()[:3]
+    assert len(alike) == 3
+    deep = [50_000 + n for n in range(300)]
+    docs = [pair for pair in alike for _ in range(40)] + [[*deep, 1] for _ in range(30)]
+    shard = tokenfiles.Shard(tokenfiles.pack([np.array(d, "<u4").tobytes() for d in docs]))
+    assert [d.tolist() for d in shard.all()] == docs
+    assert all(pair in shard.rules.tolist() for pair in alike)
+    counts, ends = {}, np.zeros(len(shard.seq), bool)
+    ends[shard.starts[1:].astype(int) - 1] = True
+    for left, right, end in zip(shard.seq[:-1].tolist(), shard.seq[1:].tolist(), ends.tolist(), strict=False):
+        if not end:
+            counts[left, right] = counts.get((left, right), 0) + 1
+    assert max(counts.values(), default=0) < tokenfiles.LEAST_COUNT
