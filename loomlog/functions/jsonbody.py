@@ -57,12 +57,16 @@ def lifted_members(text: Column) -> Column:
 
 def first_text(members: Column, keys: tuple[str, ...]) -> Column:
     """First non-empty JSON string among ``keys``; other JSON types do not count."""
-    options = []
-    for key in keys:
-        value = members.getField(key)
-        is_text = F.schema_of_variant(value) == "STRING"
-        options.append(F.when(is_text, F.nullif(value.cast("string"), F.lit(""))))
-    return F.coalesce(*options)
+    values = [members.getField(key) for key in keys]
+
+    def text_of(value: Column) -> Column:
+        return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
+
+    # Nearly always the first member that is there decides; tests of each were code too long to be compiled.
+    first = F.coalesce(*values)
+    texts = F.transform(F.array(*values), text_of)
+    later = F.get(F.filter(texts, lambda text: text != ""), 0)
+    return F.when(text_of(first) != "", text_of(first)).when(first.isNotNull(), later)
 
 
 def opens_with(text: Column, sign: str) -> Column:

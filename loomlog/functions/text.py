@@ -8,8 +8,9 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Everything that is not a letter, a digit or private-use separates tokens.
-_SEPARATORS = r"[^\p{L}\p{N}\p{Co}]+"
+#: Everything that is not a letter, a digit or private-use separates tokens; the short form is for
+#: lower-case ASCII texts.
+_SEPARATORS, _ASCII_SEPARATORS = r"[^\p{L}\p{N}\p{Co}]+", "[^a-z0-9]+"
 
 
 # Letters with a plain form that lower-casing does not reach.
@@ -50,7 +51,9 @@ def token_array(folded_text: Column) -> Column:
 
 def tokens(body: Column) -> Column:
     """Tokens of a body, in order."""
-    return token_array(folded(body))
+    ascii_only = F.octet_length(body) == F.length(body)
+    plain = F.array_remove(F.split(F.lower(body), _ASCII_SEPARATORS), "")
+    return F.when(ascii_only, plain).otherwise(token_array(folded(body)))
 
 
 def query_tokens(text: str) -> list[str]:

@@ -21,7 +21,7 @@ from loomlog.operators.dedup import WINDOW_SECONDS, mark_recent_duplicates
 from loomlog.operators.normalize import assign_ids
 from loomlog.plans.predicates import all_of, time_bounds
 from loomlog.schema import LOGS
-from loomlog.sinks.store import MALFORMED, OVERSIZED, TASK_BYTES, WRITTEN, IngestCounts, measured
+from loomlog.sinks.store import MALFORMED, OVERSIZED, WRITTEN, IngestCounts, measured, write_tasks
 from loomlog.sources.store import commit_path, file_system, folders, generations, path_exists, project_root, read_note, remove, write_note
 
 ROWS_DIR, KEPT_ROWS_DIR, CATALOG_DIR, USAGE_DIR = "rows", "rows_kept", "catalog", "usage"
@@ -110,7 +110,7 @@ def ingest_projects(
         stored = read_projects(spark, root, since=since).filter(F.col("batch") != batch_id)
         keys = ("project_id", "body_hash")
         marked = mark_recent_duplicates(judged.filter("reason IS NULL"), stored.select(*keys, "received_at"), seconds=seconds, keys=keys)
-        fresh = assign_ids(marked.filter(~F.col("is_duplicate")), batch_id, 1 + (counts["bytes"] or 0) // TASK_BYTES)
+        fresh = assign_ids(marked.filter(~F.col("is_duplicate")), batch_id, write_tasks(counts["bytes"]))
         batch = F.lit(batch_id).cast("bigint").alias("batch")
         dated = fresh.select(*LOGS.names, "project_id", F.to_date("received_at").alias("dt"), batch)
         _write(dated.hint("rebalance", "project_id", "dt").sortWithinPartitions("project_id", "dt", "id"), f"{root}/{ROWS_DIR}", "project_id", "dt", "batch")

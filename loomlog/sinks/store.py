@@ -13,11 +13,11 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.functions.instants import When, iso_millis, to_instant
+from loomlog.functions.instants import When, instant, iso_millis, to_instant
 from loomlog.functions.jsonbody import parsed
 from loomlog.operators.counters import count_deltas
 from loomlog.operators.dedup import WINDOW_SECONDS, content_hash, mark_recent_duplicates
-from loomlog.operators.normalize import arrival_number, assign_ids, normalize
+from loomlog.operators.normalize import MAX_WRITE_TASKS, arrival_number, assign_ids, normalize
 from loomlog.operators.retention import deletion, excess_cutoff
 from loomlog.operators.tenancy import retention_cutoff
 from loomlog.schema import LOGS
@@ -55,8 +55,9 @@ from loomlog.sources.store import (
     write_note,
 )
 
-#: Body bytes one write task handles; it decides how many files a batch gets.
-TASK_BYTES = 256 * 1024 * 1024
+#: Body bytes one write task handles; it decides how many files a batch gets.  Rows of short bodies
+#: take several times as much to sort, and fewer tasks than cores would leave cores idle.
+TASK_BYTES = 32 * 1024 * 1024
 
 #: From this many notes of generations on, upkeep folds them into a snapshot.
 FOLD_NOTES = 32
@@ -86,27 +87,35 @@ def measured(events: DataFrame, max_row_bytes: int | Column = 0) -> DataFrame:
     )
 
 
+def write_tasks(body_bytes: int | None) -> int:
+    """Write tasks of a batch: one for every ``TASK_BYTES``, but no more than ids have room for."""
+    return min(MAX_WRITE_TASKS, 1 + (body_bytes or 0) // TASK_BYTES)
+
+
 def classify(
     rows: DataFrame,
-    stored: DataFrame,
+    stored: DataFrame | None,
     *,
     seconds: float = WINDOW_SECONDS,
     exclude_received_at: bool = False,
 ) -> DataFrame:
-    """``measured`` rows with their ``outcome``.
+    """``measured`` rows with their ``outcome``; ``stored`` is None where there is nothing to compare with.
 
     Copies are recognised by the stored hash, which covers the receive time, so only events
     stamped alike count; ``exclude_received_at`` compares content alone.
     """
     key = "body_hash"
-    if exclude_received_at:
-        key = "_content"
-        unstamped = F.regexp_replace("body", r',?"received_at":"[^"]*"\}$', "}")
-        rows = rows.withColumn(key, content_hash(unstamped))
-        stored = stored.withColumn(key, content_hash(unstamped))
-    marked = mark_recent_duplicates(
-        rows, stored.select(key, "received_at"), seconds=seconds, keys=(key,)
-    )
+    if stored is None:
+        marked = rows.withColumn("is_duplicate", F.lit(False))
+    else:
+        if exclude_received_at:
+            key = "_content"
+            unstamped = F.regexp_replace("body", r',?"received_at":"[^"]*"\}$', "}")
+            rows = rows.withColumn(key, content_hash(unstamped))
+            stored = stored.withColumn(key, content_hash(unstamped))
+        marked = mark_recent_duplicates(
+            rows, stored.select(key, "received_at"), seconds=seconds, keys=(key,)
+        )
     outcome = (
         F.when(~F.col("well_formed"), MALFORMED)
         .when(F.col("oversized"), OVERSIZED)
@@ -167,12 +176,12 @@ def ingest_batch(
                 raise ValueError(f"batch {batch_id} holds other events already")
             return IngestCounts(**{name: done[name] for name in IngestCounts.__dataclass_fields__})
         since = to_instant(counts["earliest"]) - timedelta(seconds=seconds)
-        stored = read_logs(spark, root, since=since).filter(F.col("batch") != batch_id)
+        days = day_parts(spark, root, since)
+        stored = read_parts(spark, root, days).filter((F.col("received_at") >= instant(since)) & (F.col("batch") != batch_id)) if days else None
         fresh = classify(
             rows, stored, seconds=seconds, exclude_received_at=exclude_received_at
         ).filter(F.col("outcome") == WRITTEN)
-        tasks = tasks or 1 + (counts["bytes"] or 0) // TASK_BYTES
-        append_rows(assign_ids(fresh, batch_id, tasks), root, batch_id)
+        append_rows(assign_ids(fresh, batch_id, tasks or write_tasks(counts["bytes"])), root, batch_id)
         refused = counts[OVERSIZED] + counts[MALFORMED]
         if refused:
             _own_partition(set_aside(rows), f"{root}/{QUARANTINE_DIR}", batch_id)

@@ -26,8 +26,8 @@ KEPT_NOTE, READY_NOTE = f"{TOKENS_DIR}_state/kept.json", f"{TOKENS_DIR}_state/re
 
 def head_of(token: Column) -> Column:
     """The number of a token's head: how many of ``HEAD_STARTS`` its first character reaches."""
-    first = F.substring(token, 1, 1)
-    return sum(((first >= start).cast("int") for start in HEAD_STARTS), F.lit(0))
+    first = F.ascii(token)
+    return sum(((first >= ord(start)).cast("int") for start in HEAD_STARTS), F.lit(0))
 
 
 def heads_of(words: list[tuple[str, bool]]) -> list[int]:

@@ -68,6 +68,17 @@ def test_only_wanted_days_are_listed(spark, events, tmp_path):
     assert read_batch(spark, root, 1, "2024-01-03").count() == 0
 
 
+def test_batches_are_written_by_several_tasks(spark, tmp_path):
+    """70 MB of bodies are three tasks' work, and the ids still follow receive time and arrival."""
+    payload = F.concat(F.lit('{"n":'), F.col("id"), F.lit(',"m":"'), F.repeat(F.lit("x"), 70_000), F.lit('"}'))
+    received = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id"))
+    rows = spark.range(1000, numPartitions=4).select(payload.alias("payload"), received.alias("received_at"))
+    assert store.ingest_batch(rows, str(tmp_path), 0).written == 1000
+    stored = read_logs(spark, str(tmp_path)).select("id", F.get_json_object("body", "$.n").cast("int").alias("n")).orderBy("id").collect()
+    assert [r["n"] for r in stored] == list(range(1000))
+    assert len({r["id"] >> 26 for r in stored}) == 3
+
+
 def test_duplicates(spark, events, tmp_path):
     root = str(tmp_path)
     ingest = lambda batch, *rows, **k: store.ingest_batch(events(*rows), root, batch, **k)
