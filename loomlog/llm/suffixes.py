@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from loomlog.llm.common import discard, salted_lookup, staged, text_of
 
 LENGTH, GRAM = 100, 32
-#: Bytes of the anchor's hash in front of each suffix: ranges are cut between hashes.
+#: Bytes of the anchor's hash, mixed once more, in front of each suffix: ranges are cut between
+#: them.  Anchors are where hashes are smallest, so ranges of the plain hash would fill the first.
 HEAD = 8
 #: Bytes hashed at a time, bytes of suffixes in a sorted run, and in a range of the order.
 PIECE, RUN_BYTES, RANGE_BYTES = 1 << 18, 8 << 20, 16 << 20
@@ -51,6 +52,12 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return mixed ^ mixed >> np.uint64(32)
 
 
+def _heads(hashes: np.ndarray) -> np.ndarray:
+    """The hashes of anchors as numbers spread evenly over 64 bits, one for one."""
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    return mixed ^ mixed >> np.uint64(32)
+
+
 def anchors(data: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, ...]:
     """(anchor, first window, last window, hash) of texts laid end to end, which end at ``stops``.
 
@@ -300,10 +307,10 @@ def sorted_runs(docs: DataFrame, ranges: int) -> DataFrame:
             keep = np.flatnonzero(np.isin(hashes.view(np.int64), wanted))
             raw, begins = data.tobytes(), np.r_[0, stops[:-1]]
             docs, tids = chunk.column("doc").to_pylist(), chunk.column("tid").to_pylist()
-            rows = zip(place[keep].tolist(), first[keep].tolist(), last[keep].tolist(), owner[keep].tolist(), hashes[keep].tolist(), strict=True)
-            for at, low, high, doc, gram in rows:
+            rows = zip(place[keep].tolist(), first[keep].tolist(), last[keep].tolist(), owner[keep].tolist(), _heads(hashes[keep]).tolist(), strict=True)
+            for at, low, high, doc, head in rows:
                 right = raw[at : high + LENGTH]
-                key = gram.to_bytes(HEAD, "big") + right + raw[low:at][::-1]
+                key = head.to_bytes(HEAD, "big") + right + raw[low:at][::-1]
                 entries.append((key, len(right), docs[doc], at - int(begins[doc]), tids[doc]))
                 size += len(key) + 32
             if size >= RUN_BYTES:

@@ -86,6 +86,16 @@ def test_equal_windows_have_their_anchor_at_one_offset():
                 assert seen.setdefault(text[start : start + 100].tobytes(), (place - start, gram)) == (place - start, gram)
 
 
+def test_ranges_hold_equal_shares(spark):
+    """Anchors have small hashes; the ranges of the order are of about one size all the same."""
+    rng = random.Random(7)
+    pairs = [(i, "".join(rng.choice("abcdefgh") for _ in range(3000))) for i in range(40)]
+    keyed = suffixes._keyed(documents(spark, [*pairs, *[(i + 40, text) for i, text in pairs]]))
+    runs = suffixes.sorted_runs(suffixes._packed(keyed).join(suffixes.repeated_grams(keyed), ["doc", "tid"]), 16)
+    sizes = {r.part: r.size for r in runs.filter("run IS NOT NULL").groupBy("part").sum("size").toDF("part", "size").collect()}
+    assert len(sizes) == 16 and max(sizes.values()) < 1.5 * sum(sizes.values()) / 16
+
+
 def test_odd_rows(spark):
     rows = suffixes.remove_repeats(odd_docs(spark, clashing=True)).collect()
     assert len(rows) == 14
