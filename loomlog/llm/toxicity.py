@@ -30,8 +30,8 @@ GAP = -0.1
 #: Evidence from here on counts as this much; the calibrated score is 1 long before.
 FULL_EVIDENCE = 60.0
 THRESHOLD = 0.3
-#: Words whose weight a worker remembers, and bytes of rows it hands back at a time.
-CACHED, SLICE_BYTES = 250_000, 1 << 20
+#: Words and beginnings whose weight a worker remembers, and bytes of rows it hands back at a time.
+CACHED, CACHED_STEMS, SLICE_BYTES = 250_000, 50_000, 1 << 20
 EULER = 0.5772156649015329
 #: Of the hash of a feature; Spark's own.
 SEED = 42
@@ -49,13 +49,28 @@ class Weights(NamedTuple):
         return Weights(hashes[order].tobytes(), values[order].tobytes())
 
     def lookup(self) -> Callable[[str], float | None]:
-        """The weight of a feature, None where it has none."""
-        hashes, values = np.frombuffer(self.hashes, np.int64), np.frombuffer(self.values)
+        """The weight of a feature, None where it has none.
+
+        The first bits of a hash say between which places it can stand; there are about as many
+        places as hashes, so one or two are looked at, without a call of numpy for each word.
+        """
+        if not self.hashes:
+            return lambda feature: None
+        hashes, values = memoryview(self.hashes).cast("Q"), memoryview(self.values).cast("d")
+        bits = len(hashes).bit_length()
+        sign, rest = 1 << 63, 64 - bits
+        first = (np.frombuffer(self.hashes, np.uint64) ^ np.uint64(sign)) >> np.uint64(rest)
+        begins = np.searchsorted(first, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+        begins = memoryview(begins.tobytes()).cast("I")
+        digest = xxhash.xxh64_intdigest
 
         def weight(feature: str) -> float | None:
-            key = np.uint64(xxhash.xxh64_intdigest(feature.encode(), SEED)).astype(np.int64)
-            at = hashes.searchsorted(key)
-            return float(values[at]) if at < len(hashes) and hashes[at] == key else None
+            key = digest(feature.encode(), SEED)
+            part = (key ^ sign) >> rest
+            for at in range(begins[part], begins[part + 1]):
+                if hashes[at] == key:
+                    return values[at]
+            return None
 
         return weight
 
@@ -224,16 +239,27 @@ class _Weights(dict):
     def __init__(self, weights: Weights):
         super().__init__()
         self.known = weights.lookup()
+        self.stems: dict[str, float] = {}
 
     def __missing__(self, word: str) -> float:
         if len(self) > CACHED:
             self.clear()
         found = features(word)
-        own = self.known(found[0]) if found else 0.0
-        weight = own if own is not None else max([self.known(stem) or 0.0 for stem in found[1:]], default=0.0)
+        weight = self.known(found[0]) if found else 0.0
+        if weight is None:
+            weight = max(map(self._stem, found[1:]), default=0.0)
         self[word] = weight
         return weight
 
+    def _stem(self, stem: str) -> float:
+        """The weight of a word's beginning; words that are not remembered often share one that is."""
+        weight = self.stems.get(stem)
+        if weight is None:
+            if len(self.stems) > CACHED_STEMS:
+                self.stems.clear()
+            weight = self.stems[stem] = self.known(stem) or 0.0
+        return weight
+
 
 def scan(rows: DataFrame, weights: Weights) -> DataFrame:
     """``rows`` (text and others) with n_tokens and segments: array of (start, stop, score)."""

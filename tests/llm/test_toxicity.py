@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+import xxhash
 
 from loomlog.llm import toxicity
 
@@ -102,3 +104,22 @@ def test_rare_words_keep_their_weight_in_a_large_table(spark):
     weight = weights.lookup()
     assert weight("=vile") > 1 and weight("=vilest") > 1 and weight("vile-") > 1 and rates.shape == (2, 3)
     assert weight("=w5") is None
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1000])
+def test_lookup_finds_every_weight_and_no_other(n):
+    names = [f"=w{i}" for i in range(n)]
+    hashes = np.array([xxhash.xxh64_intdigest(name.encode(), toxicity.SEED) for name in names], np.uint64).view(np.int64)
+    weight = toxicity.Weights.of(hashes, np.arange(n, dtype=float)).lookup()
+    assert [weight(name) for name in names] == list(range(n))
+    assert all(weight(f"=x{i}") is None for i in range(1000))
+
+
+def test_words_with_one_beginning_look_it_up_once():
+    hashes = np.array([xxhash.xxh64_intdigest(name.encode(), toxicity.SEED) for name in ("=vile", "filt-", "filth-")], np.uint64).view(np.int64)
+    weights = toxicity._Weights(toxicity.Weights.of(hashes, np.array([3.0, 1.5, 2.5])))
+    asked, known = [], weights.known
+    weights.known = lambda feature: asked.append(feature) or known(feature)
+    assert [weights[f"filth{i}"] for i in range(100)] == [2.5] * 100
+    assert [weights["Vile!"], weights["filter"], weights["other"], weights["!"]] == [3.0, 1.5, 0.0, 0.0]
+    assert len(asked) == 107 and asked.count("filt-") == asked.count("filth-") == 1
