@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
-import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,23 +28,31 @@ BUCKETS = 1 << 18
 CACHE_WORDS = 1_200_000
 CHUNK_BYTES = 1 << 20
 MAGIC = b"RPG1"
-#: A run that ends in full stops or commas behind a plain letter.
-STOPS = re.compile(rb"(.*[a-z])([.,]+)", re.DOTALL)
+#: Marks that may end a run, and letters, two bytes each, that they are parted from as from plain ones.
+STOPS = string.punctuation.encode()
+LATIN = {chr(i).encode() for i in range(0xC0, 0x100) if chr(i).isalpha()}
+#: Words the vocabulary's normalisation and pattern leave as they are: small letters that do not compose.
+PLAIN = "\u0250"
 
 
 class Encoder:
     """Ids of whole texts, each distinct run between white space encoded by the library once.
 
     The vocabulary lower-cases, drops white space and splits between letters and punctuation, so a
-    text's ids are those of its runs in order, and a run of letters with full stops or commas
-    behind it is two.  Texts with a mark that may begin a special token go to the library whole.
+    text's ids are those of its runs in order, and a run of letters with punctuation behind it is
+    two.  Texts with a mark that may begin a special token go to the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        # The same vocabulary for small letters alone, without the steps that change nothing there.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytewise])
         self.known: dict[bytes, bytes] = {}
         # Every word the vocabulary's pattern finds ends in a token that says so.
         self.closing = np.zeros(self.library.get_vocab_size() + 1, bool)
@@ -56,17 +64,18 @@ class Encoder:
             self.known = {}
         runs = [[] if b"<|" in text else text.lower().split() for text in texts]
         unseen: set[bytes] = set()
-        found = [list(map(self.known.get, words)) for words in runs]
-        gaps = [i for i, ids in enumerate(found) if None in ids]
-        for i in gaps:
-            unseen.update(run for run, ids in zip(runs[i], found[i], strict=True) if ids is None)
+        known = self.known
+        found = [list(map(known.get, words)) for words in runs]
+        gaps = [(ids, words, [k for k, x in enumerate(ids) if x is None]) for words, ids in zip(runs, found, strict=True) if None in ids]
+        for _, words, missing in gaps:
+            unseen.update([words[k] for k in missing])
         # A run such as "word.," is that word and the stops behind it.
-        ending = {run: STOPS.fullmatch(run) for run in unseen if run[-1] in b".,"}
-        split = {run: match.groups() for run, match in ending.items() if match}
-        self._learn(unseen.difference(split).union(*split.values()).difference(self.known))
-        self.known.update((run, self.known[word] + self.known[stops]) for run, (word, stops) in split.items())
-        for i in gaps:
-            found[i] = map(self.known.__getitem__, runs[i])
+        split = {run: parts for run in unseen if run[-1] in STOPS and (parts := _parted(run))}
+        self._learn(unseen.difference(split).union(*split.values()).difference(known))
+        known.update((run, known[word] + known[stops]) for run, (word, stops) in split.items())
+        for ids, words, missing in gaps:
+            for k in missing:
+                ids[k] = known[words[k]]
         end = END_ID.to_bytes(4, "little")
         return [
             (self._whole(text.decode()) if b"<|" in text else b"".join(ids)) + end
@@ -79,23 +88,37 @@ class Encoder:
 
     def _learn(self, unseen: set[bytes]) -> None:
         """Words of letters only share a call, as each closes once; others have a call each."""
-        letters, others = [], []
+        plain, letters, others = [], [], []
         for run in unseen:
-            (letters if run.decode().isalpha() else others).append(run)
-        for at in range(0, len(letters), 256):
-            group = letters[at : at + 256]
-            joined = b"\n".join(group).decode()
-            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.closing[ids]) + 1
-            if len(stops) != len(group):
-                others += group
-                continue
-            for run, start, stop in zip(group, [0, *stops.tolist()], stops.tolist(), strict=False):
-                self.known[run] = ids[start:stop].tobytes()
+            text = run.decode()
+            if not text.isalpha():
+                others.append(run)
+            elif run.isascii() or max(text) < PLAIN and text == text.lower():
+                plain.append(run)
+            else:
+                letters.append(run)
+        for library, words in ((self.plain, plain), (self.library, letters)):
+            for at in range(0, len(words), 256):
+                group = words[at : at + 256]
+                joined = b"\n".join(group).decode()
+                ids = np.array(library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+                stops = np.flatnonzero(self.closing[ids]) + 1
+                if len(stops) != len(group):
+                    others += group
+                    continue
+                data, ends = ids.tobytes(), (4 * stops).tolist()
+                self.known.update(zip(group, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         for run in others:
             self.known[run] = self._whole(run.decode())
 
 
+def _parted(run: bytes) -> tuple[bytes, bytes] | None:
+    """A run that ends in punctuation behind a letter as what is before it and the punctuation."""
+    word = run.rstrip(STOPS)
+    letter = b"a" <= word[-1:] <= b"z" or word[-2:] in LATIN
+    return (word, run[len(word) :]) if letter else None
+
+
 @functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -108,13 +131,19 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.nda
     as long as no symbol is the right part of one and the left part of another, so that no two
     occurrences overlap.  Each taken pair gets the next free symbol, from the largest id on.  Rounds
     end when no pair is frequent any more.
+
+    After the first round only places are counted at which a pair was frequent before or has a new
+    symbol: a pair of old symbols never gets more places.
     """
     seq, last = ids.astype(np.uint32), ends.copy()
+    live = ~last
     free = int(seq.max(initial=0)) + 1
     rounds: list[np.ndarray] = []
     while True:
         left, right = seq[:-1], seq[1:]
-        at, which, pairs = _frequent(left, right, last[:-1])
+        at, which, pairs = _frequent(left, right, np.flatnonzero(live[:-1]))
+        live = np.zeros(len(seq), bool)
+        live[at] = True
         symbol = _choose(pairs, np.bincount(which, minlength=len(pairs)), free)
         new = symbol[which]
         taken = new >= 0
@@ -132,23 +161,27 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.nda
         rounds.append(np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         free += len(rules)
         seq[at], last[at] = new, last[at + 1]
+        live[at], live[at[at > 0] - 1] = True, True
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
+        stay = np.flatnonzero(stay)
         seq, last = seq[stay], last[stay]
+        live = live[stay] & ~last
     return seq, rounds
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, the pair's number at each place, pairs): every pair that occurs ``LEAST_COUNT`` times or more.
 
     Places are dealt to buckets by the hash of their pair; a bucket with fewer places holds no such
     pair.  Of every other bucket the last pair is counted at once, and what is left of it, if that is
     still enough, by sorting.
     """
-    bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(14)
-    at = np.flatnonzero(~ended)
-    at = at[(np.bincount(bucket[at], minlength=BUCKETS) >= LEAST_COUNT)[bucket[at]]]
-    where, keys = bucket[at], left[at].astype(np.uint64) << np.uint64(32) | right[at]
+    a, b = left[at], right[at]
+    where = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)
+    several = np.flatnonzero((np.bincount(where, minlength=BUCKETS) >= LEAST_COUNT)[where])
+    at, where = at[several], where[several]
+    keys = a[several].astype(np.uint64) << np.uint64(32) | b[several]
     pairs = np.zeros(BUCKETS, np.uint64)
     pairs[where] = keys
     same = pairs[where] == keys
@@ -223,19 +256,24 @@ class Shard:
         if at != len(blob):
             raise ValueError("shard is cut off or has bytes left over")
 
+    @functools.cached_property
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): the expansions of all symbols end to end, built round by round."""
+        size = np.concatenate([np.ones(self.base, np.int64), self.sizes.astype(np.int64)])
+        start = np.cumsum(size) - size
+        ids = np.arange(int(size.sum()), dtype=np.uint32)
+        low = self.base
+        for n in self.per_round.tolist():
+            parts = self.rules[low - self.base : low - self.base + n].ravel()
+            stop = int(start[low + n]) if low + n < len(start) else len(ids)
+            ids[int(start[low]) : stop] = _gathered(ids, start[parts], size[parts])
+            low += n
+        return ids, start, size
+
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        """Replace symbols by their pairs, the rules of the latest round first."""
-        ids = seq
-        stop = len(self.rules)
-        for n in self.per_round[::-1].tolist():
-            low = self.base + stop - n
-            rule = ids >= low
-            wide = np.repeat(ids, 1 + rule)
-            at = np.cumsum(1 + rule)[rule] - 1
-            pair = self.rules[ids[rule].astype(np.int64) - self.base]
-            wide[at - 1], wide[at] = pair[:, 0], pair[:, 1]
-            ids, stop = wide, stop - n
-        return ids
+        """The ids that symbols stand for."""
+        ids, start, size = self._table
+        return _gathered(ids, start[seq], size[seq])
 
     def document(self, i: int) -> np.ndarray:
         stop = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.seq)
@@ -245,6 +283,12 @@ class Shard:
         return np.split(self.expand(self.seq), np.cumsum(self.lengths)[:-1])
 
 
+def _gathered(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices of ``ids`` from each start on, end to end."""
+    stop = np.cumsum(size)
+    return ids[np.repeat(start - stop + size, size) + np.arange(int(size.sum()))]
+
+
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, shard_ids: int = SHARD_IDS) -> None:
     """Write the ids of ``docs`` (doc_id, text), each with the end id, in ascending doc_id order.
 
@@ -294,7 +338,8 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Per document of the shards in ``folder``: doc_id, start, n_tokens, ids_crc32, in file order.
 
     ``start`` counts the ids of all documents before it.  The parts' totals, one row per task that
-    wrote, are summed up on their own; the shards themselves are decoded where they lie.
+    wrote, are summed up on their own; a shard's place is a broadcast row, one for about a million
+    ids, so that the shards themselves are decoded where they lie.
     """
     shards = spark.read.parquet(folder)
     sizes = shards.select("part", "seq", "n_ids")
@@ -304,7 +349,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("seq")
     offsets = sizes.select("part", "seq", (F.sum("n_ids").over(inside) - F.col("n_ids")).alias("inside"))
     placed = offsets.join(F.broadcast(before), "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("base"))
-    located = shards.join(placed, ["part", "seq"]).select("base", "doc_ids", "shard")
+    located = shards.join(F.broadcast(placed), ["part", "seq"]).select("base", "doc_ids", "shard")
     return located.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

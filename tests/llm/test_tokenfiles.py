@@ -34,6 +34,32 @@ def test_files_hold_the_library_ids_in_order(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "f")).count() > 4
 
 
+def test_runs_are_encoded_as_the_library_does():
+    """Letters and marks, alone and together, with few calls of the library: most runs share one."""
+    rng = random.Random(4)
+    alphabet = ["a", "e", "s", "t", "é", "ß", "É", "ñ", "×", "ÿ", "ŉ", "ª", "İ", "ſ", "Σ", "e\u0301", "ж", "日", "3", "<", "'", "'s", ".", ",", "!", "-", "_", "\u0338", "\u00a0", "\x00", "\x1f"]
+    plain = alphabet[:4] * 6
+    runs = ["".join(rng.choice(alphabet if i % 3 else plain) for _ in range(rng.randrange(1, 9))) for i in range(6000)]
+    runs += [run + rng.choice(["!!", "$$$", "'", "'.", ".,", "...'", "~^`"]) for run in runs]
+    texts = [" ".join(runs[i : i + 20]) for i in range(0, len(runs), 20)]
+    library = Tokenizer.from_file(PATH)
+    known = tokenfiles.Encoder(PATH)
+    for at in range(0, len(texts), 100):
+        got = known.encode([text.encode() for text in texts[at : at + 100]])
+        for text, ids in zip(texts[at : at + 100], got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], text
+
+
+def test_punctuation_behind_a_letter_is_no_call_of_its_own(monkeypatch):
+    known = tokenfiles.Encoder(PATH)
+    alone = []
+    monkeypatch.setattr(known, "_whole", lambda text: alone.append(text) or tokenfiles.Encoder._whole(known, text))
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeé") for _ in range(6)) + mark for mark in ("!!", "$$$", ".", ".&&&", ",###") for _ in range(200)]
+    known.encode([" ".join(words).encode()])
+    assert len(alone) <= 5
+
+
 def test_odd_rows(spark, tmp_path):
     tokenfiles.write_ids(odd_docs(spark, clashing=True), str(tmp_path / "f"), PATH)
     assert ordered(tokenfiles.read_ids(spark, str(tmp_path / "f")).collect()) == expected(odd_texts())
