@@ -21,7 +21,7 @@ from loomlog.operators.dedup import WINDOW_SECONDS, mark_recent_duplicates
 from loomlog.operators.normalize import assign_ids
 from loomlog.plans.predicates import all_of, time_bounds
 from loomlog.schema import LOGS
-from loomlog.sinks.store import MALFORMED, OVERSIZED, WRITTEN, IngestCounts, measured, write_tasks
+from loomlog.sinks.store import MALFORMED, OVERSIZED, WRITTEN, IngestCounts, dealt, measured, write_tasks
 from loomlog.sources.store import commit_path, file_system, folders, generations, path_exists, project_root, read_note, remove, write_note
 
 ROWS_DIR, KEPT_ROWS_DIR, CATALOG_DIR, USAGE_DIR = "rows", "rows_kept", "catalog", "usage"
@@ -90,7 +90,7 @@ def ingest_projects(
     off replaces what it left.  An event without a valid project id is refused with its reason.
     """
     spark = events.sparkSession
-    rows = measured(events, max_row_bytes).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = measured(dealt(events), max_row_bytes).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         done = read_note(spark, commit_path(root, batch_id))
         if done:

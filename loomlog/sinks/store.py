@@ -87,6 +87,17 @@ def measured(events: DataFrame, max_row_bytes: int | Column = 0) -> DataFrame:
     )
 
 
+def dealt(events: DataFrame) -> DataFrame:
+    """Raw events with their arrival numbers, dealt evenly over the cores that parse them.
+
+    A scan has no more tasks with rows than its files have row groups, and parsing costs far more
+    than moving a payload.  Numbers are taken on the scan, so a repeated task deals alike.
+    """
+    if "_arrival" not in events.columns:
+        events = events.withColumn("_arrival", arrival_number())
+    return events.repartition("_arrival")
+
+
 def write_tasks(body_bytes: int | None) -> int:
     """Write tasks of a batch: one for every ``TASK_BYTES``, but no more than ids have room for."""
     return min(MAX_WRITE_TASKS, 1 + (body_bytes or 0) // TASK_BYTES)
@@ -156,7 +167,7 @@ def ingest_batch(
     """
     spark = events.sparkSession
     # Parsed once and kept for the passes below; lost blocks are recomputed from the source.
-    rows = measured(events, max_row_bytes).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = measured(dealt(events), max_row_bytes).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = rows.agg(
             F.count(F.lit(1)).alias("total"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomlog.operators.counters import log_counts
 from loomlog.operators.retention import excess_cutoff, kept_rows, newest_rows
 from loomlog.schema import ROW_COLUMNS
-from loomlog.sinks import store
+from loomlog.sinks import projects, store
 from loomlog.sinks.exports import export_csv, export_everything, export_ndjson
 from loomlog.sources.store import day_folders, project_root, read_batch, read_counts, read_logs
 from tests.conftest import at
@@ -57,6 +57,21 @@ def test_ingest_lifts_and_stamps(spark, events, tmp_path):
     assert read_logs(spark, root, since="2024-01-02").count() == 0
 
 
+@pytest.mark.parametrize("sink", [store, projects])
+def test_one_row_group_is_parsed_by_several_tasks(spark, tmp_path, monkeypatch, sink):
+    payload = F.concat(F.lit('{"svc":"'), F.sha2(F.col("id").cast("string"), 256), F.lit('"}')).alias("payload")
+    time, project = F.timestamp_seconds(F.lit(1704100000) + F.col("id") % 7).alias("received_at"), F.lit("p").alias("project_id")
+    events = spark.range(0, 90_000, 1, 1).select(project, time, payload)
+    parsed, measured = [], store.measured
+    monkeypatch.setattr(sink, "measured", lambda rows, *limit: parsed.append(rows) or measured(rows, *limit))
+    ingest = store.ingest_batch if sink is store else projects.ingest_projects
+    assert ingest(events, str(tmp_path), 0).written == 90_000
+    tasks = parsed[0].groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("payload")).alias("bytes")).collect()
+    assert len(tasks) > 1 and max(row["bytes"] for row in tasks) < 60_000 * 74
+    numbers = parsed[0].agg(F.min("_arrival"), F.max("_arrival"), F.count_distinct("_arrival")).first()
+    assert tuple(numbers) == (0, 89_999, 90_000)
+
+
 def test_only_wanted_days_are_listed(spark, events, tmp_path):
     root = str(tmp_path)
     filled(events, root)
