@@ -26,7 +26,7 @@ from loomlog.llm.common import text_of
 
 MARK = "▁"
 #: Encoded words and piece pairs a worker remembers.
-CACHE_WORDS, CACHE_PAIRS = 1_000_000, 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 1_000_000, 250_000
 #: Characters of text encoded at a time.
 CHUNK_CHARS = 1 << 20
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -167,8 +167,11 @@ def encode(docs: DataFrame, model: str, keep_ids: bool = True) -> DataFrame:
         try:
             yield from encoded(machine, batches)
         finally:
-            # Workers live on; what they remember of this task's words is of little use to the next.
+            # Workers live on; what they remember of this task's words and pairs is of little use to the
+            # next, and would stay beside the steps that follow.
             machine.known.clear()
+            machine.beside.clear()
+            pa.default_memory_pool().release_unused()
 
     def encoded(machine: Transducer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

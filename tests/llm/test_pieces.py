@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from sentencepiece import SentencePieceProcessor
 
 from loomlog.llm import pieces
@@ -58,3 +59,17 @@ def test_odd_rows(spark):
         assert by[row.doc_id].round_trip == ("▁" not in text)
         assert by[row.doc_id].decoded_sha256 == hashlib.sha256(text.replace("▁", " ").encode()).hexdigest()
     assert pieces.encode(empty(spark), PATH).count() == 0
+
+
+def test_workers_keep_nothing_of_a_task(spark):
+    """What a worker remembers of words and pairs would take memory from the steps that follow."""
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(texts())], "doc_id long, text string")
+    assert pieces.encode(docs.repartition(8), PATH).count() == len(texts())
+
+    def kept(batches):
+        for batch in batches:
+            machine = pieces.transducer(PATH)
+            yield pa.RecordBatch.from_arrays([pa.array([len(machine.known) + len(machine.beside)] * batch.num_rows)], ["n"])
+
+    found = spark.range(0, 32, 1, 8).mapInArrow(kept, "n long").collect()
+    assert [row.n for row in found] == [0] * 32
