@@ -14,7 +14,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from os.path import commonprefix
 
 import numpy as np
@@ -22,16 +22,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import text_of
+from loomlog.llm.common import distinct_runs, laid_out, released, text_of
 
 MARK = "▁"
 #: Encoded words and piece pairs a worker remembers.
-CACHE_WORDS, CACHE_PAIRS = 1_000_000, 250_000
-#: Characters of text encoded at a time.
-CHUNK_CHARS = 1 << 20
+CACHE_WORDS, CACHE_PAIRS = 300_000, 250_000
+#: Bytes of text encoded at a time.
+CHUNK_BYTES = 1 << 21
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
+class Ending:
+    """How a piece may end: the piece that is just this, if there is one, and longer endings by the character before."""
+
+    __slots__ = ("piece", "longer")
+
+    def __init__(self):
+        self.piece: str | None = None
+        self.longer: dict[str, Ending] = {}
+
+
 class Transducer:
     """Compiled from a model file with identity normalisation, merge scores and byte fallback."""
 
@@ -49,8 +59,13 @@ class Transducer:
         number = range(model.get_piece_size())
         plain = [i for i in number if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
         self.score = {model.id_to_piece(i): model.get_score(i) for i in plain}
-        self.number = {model.id_to_piece(i): i for i in plain}
-        self.endings = {piece[at:] for piece in self.score for at in range(len(piece))}
+        self.codes = {model.id_to_piece(i): i.to_bytes(2, "little") for i in plain}
+        self.endings = Ending()
+        for piece in self.score:
+            ending = self.endings
+            for character in reversed(piece):
+                ending = ending.longer.setdefault(character, Ending())
+            ending.piece = piece
         bytes_at = {int(model.id_to_piece(i)[3:5], 16): i for i in number if model.is_byte(i)}
         self.byte_id = [bytes_at[value] for value in range(256)]
         self.output = [b""] * len(number)
@@ -58,7 +73,8 @@ class Transducer:
             self.output[i] = model.id_to_piece(i).encode()
         for value, i in bytes_at.items():
             self.output[i] = bytes([value])
-        self.known: dict[str, bytes] = {}
+        # By the segment without its first mark, in UTF-8.
+        self.known: dict[bytes, bytes] = {}
         self.beside: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -85,62 +101,72 @@ class Transducer:
 
     def path(self, text: str, states: list[str]) -> list[str]:
         """The last piece at each position of ``text``; ``states`` has those of a prefix already."""
-        score, endings = self.score, self.endings
+        beside, finite, shortest = self.beside.get, self.finite, self.endings.longer
         for stop in range(len(states), len(text) + 1):
-            start = stop - 1
-            piece = text[start:stop]
-            while piece in endings:
-                if piece in score and self.finite(states[start], piece):
-                    break
+            start, longer = stop, shortest
+            while start and (ending := longer.get(text[start - 1])):
                 start -= 1
-                if start < 0:
-                    break
-                piece = text[start:stop]
+                piece = ending.piece
+                if piece is not None:
+                    last = states[start]
+                    answer = beside((last, piece))
+                    if answer or answer is None and finite(last, piece):
+                        break
+                longer = ending.longer
             else:
                 piece = text[stop - 1 : stop]  # a character of no piece: its bytes
-            if start < 0:
-                piece = text[stop - 1 : stop]
             states.append(piece)
         return states
 
     def ids_of(self, states: list[str]) -> bytes:
         """The path that ends in the last state, as little-endian 16-bit ids."""
-        ids: list[int] = []
-        at = len(states) - 1
+        found: list[bytes] = []
+        at, codes = len(states) - 1, self.codes
         while at > 0:
             piece = states[at]
-            number = self.number.get(piece)
-            ids += [number] if number is not None else [self.byte_id[b] for b in reversed(piece.encode())]
+            found.append(codes.get(piece) or self._spelled(piece))
             at -= len(piece)
-        return np.array(ids[::-1], "<u2").tobytes()
+        return b"".join(found[::-1])
+
+    def _spelled(self, character: str) -> bytes:
+        """The byte pieces of a character."""
+        return b"".join(self.byte_id[b].to_bytes(2, "little") for b in character.encode())
 
-    def learn(self, segments: set[str]) -> None:
+    def learn(self, segments: Iterable[str]) -> None:
         """Shortest paths of new segments; in sorted order each goes on from the common prefix."""
-        before, states = "", [""]
+        before, states, known = "", [""], self.known
         for segment in sorted(segments):
             shared = len(commonprefix((before, segment)))
             states = self.path(segment, states[: shared + 1])
-            self.known[segment] = self.ids_of(states)
+            known[segment[1:].encode()] = self.ids_of(states)
             before = segment
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts.  No piece spans a mark but at its start, so words are paths of their own."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        split = []
-        for text in texts:
+        out: list[bytes | None] = [None] * len(texts)
+        plain: list[int] = []
+        for i, text in enumerate(texts):
             if not text:
-                split.append([])
+                out[i] = b""
             elif "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
-                split.append(SEGMENT.findall(MARK + text.replace(" ", MARK)))
+                out[i] = b"".join(self._codes_of([x[1:].encode() for x in SEGMENT.findall(MARK + text.replace(" ", MARK))]))
             else:
-                split.append((MARK + text.replace(" ", " " + MARK)).split(" "))
-        found = [list(map(self.known.get, words)) for words in split]
-        gaps = [i for i, ids in enumerate(found) if None in ids]
-        self.learn({word for i in gaps for word, ids in zip(split[i], found[i], strict=True) if ids is None})
-        for i in gaps:
-            found[i] = map(self.known.__getitem__, split[i])
-        return [b"".join(ids) for ids in found]
+                plain.append(i)
+        # One blank parts two words of the other texts, and nothing else does.
+        words, number, ends = distinct_runs([texts[i].encode() for i in plain], b" ")
+        for i, ids in zip(plain, laid_out(self._codes_of(words), number, ends, "<u2"), strict=True):
+            out[i] = ids
+        return out
+
+    def _codes_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of segments without their first mark."""
+        codes = list(map(self.known.get, words))
+        if None in codes:
+            self.learn({MARK + word.decode() for word, ids in zip(words, codes, strict=True) if ids is None})
+            codes = list(map(self.known.__getitem__, words))
+        return codes
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces joined, marks as blanks, the blank in front dropped."""
@@ -171,12 +197,11 @@ def encode(docs: DataFrame, model: str, keep_ids: bool = True) -> DataFrame:
             # next, and would stay beside the steps that follow.
             machine.known.clear()
             machine.beside.clear()
-            pa.default_memory_pool().release_unused()
 
     def encoded(machine: Transducer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.cumsum([len(x.as_buffer()) for x in batch.column(1)])
-            cuts = np.searchsorted(sizes, np.arange(CHUNK_CHARS, int(sizes[-1]) if len(sizes) else 0, CHUNK_CHARS))
+            cuts = np.searchsorted(sizes, np.arange(CHUNK_BYTES, int(sizes[-1]) if len(sizes) else 0, CHUNK_BYTES))
             edges = sorted({0, *cuts.tolist(), batch.num_rows})
             for start, stop in zip(edges, edges[1:], strict=False):
                 part = batch.slice(start, stop - start)
@@ -198,7 +223,7 @@ def encode(docs: DataFrame, model: str, keep_ids: bool = True) -> DataFrame:
     names = ["doc_id", "n_pieces", "ids", "ids_crc32", "decoded", "round_trip"]
     schema = "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, decoded string, round_trip boolean"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return texts.mapInArrow(rows, schema).withColumn("decoded_sha256", _sha("decoded")).drop("decoded")
+    return texts.mapInArrow(released(rows), schema).withColumn("decoded_sha256", _sha("decoded")).drop("decoded")
 
 
 def _sha(column: str) -> Column:

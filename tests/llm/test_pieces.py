@@ -73,3 +73,23 @@ def test_workers_keep_nothing_of_a_task(spark):
 
     found = spark.range(0, 32, 1, 8).mapInArrow(kept, "n long").collect()
     assert [row.n for row in found] == [0] * 32
+
+
+class Asked(dict):
+    """Counts what is looked up, found or not."""
+
+    n = 0
+
+    def get(self, key, default=None):
+        self.n += 1
+        return super().get(key, default)
+
+
+def test_a_repeated_word_is_looked_up_once():
+    machine = pieces.Transducer(PATH)
+    machine.known = Asked()
+    library = SentencePieceProcessor(model_file=PATH)
+    repeated = ["the cat sat on the mat", "", "on the mat the cat sat", "the", "a", "mat\tcat\nthe é"] * 20
+    found = machine.encode(repeated)
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in found] == library.encode(repeated)
+    assert machine.known.n == len({word for text in repeated for word in text.split(" ") if word})
