@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import text_of
+from loomlog.llm.common import distinct_runs, gathered, laid_out, text_of
 
 #: Id appended to every document.
 END_ID = 1
@@ -26,8 +26,9 @@ LEAST_COUNT = 24
 BUCKETS = 1 << 18
 #: Word encodings a worker remembers, and text encoded at a time.
 CACHE_WORDS = 1_200_000
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 22
 MAGIC = b"RPG1"
+SPACE = b" \t\n\v\f\r"
 #: Marks that may end a run, and letters, two bytes each, that they are parted from as from plain ones.
 STOPS = string.punctuation.encode()
 LATIN = {chr(i).encode() for i in range(0xC0, 0x100) if chr(i).isalpha()}
@@ -62,25 +63,25 @@ class Encoder:
         """Per text its ids and the end id, four little-endian bytes each."""
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        runs = [[] if b"<|" in text else text.lower().split() for text in texts]
-        unseen: set[bytes] = set()
+        end = END_ID.to_bytes(4, "little")
+        plain = [i for i, text in enumerate(texts) if b"<|" not in text]
+        words, number, ends = distinct_runs([texts[i].lower() for i in plain], SPACE)
+        out = [b""] * len(texts)
+        for i, ids in zip(plain, laid_out(self._ids_of(words), number, ends, "<u4"), strict=True):
+            out[i] = ids + end
+        return [ids or self._whole(text.decode()) + end for text, ids in zip(texts, out, strict=True)]
+
+    def _ids_of(self, runs: list[bytes]) -> list[bytes]:
         known = self.known
-        found = [list(map(known.get, words)) for words in runs]
-        gaps = [(ids, words, [k for k, x in enumerate(ids) if x is None]) for words, ids in zip(runs, found, strict=True) if None in ids]
-        for _, words, missing in gaps:
-            unseen.update([words[k] for k in missing])
+        found = list(map(known.get, runs))
+        unseen = {run for run, ids in zip(runs, found, strict=True) if ids is None}
+        if not unseen:
+            return found
         # A run such as "word.," is that word and the stops behind it.
         split = {run: parts for run in unseen if run[-1] in STOPS and (parts := _parted(run))}
         self._learn(unseen.difference(split).union(*split.values()).difference(known))
         known.update((run, known[word] + known[stops]) for run, (word, stops) in split.items())
-        for ids, words, missing in gaps:
-            for k in missing:
-                ids[k] = known[words[k]]
-        end = END_ID.to_bytes(4, "little")
-        return [
-            (self._whole(text.decode()) if b"<|" in text else b"".join(ids)) + end
-            for text, ids in zip(texts, found, strict=True)
-        ]
+        return list(map(known.__getitem__, runs))
 
     def _whole(self, text: str) -> bytes:
         ids = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -266,14 +267,14 @@ class Shard:
         for n in self.per_round.tolist():
             parts = self.rules[low - self.base : low - self.base + n].ravel()
             stop = int(start[low + n]) if low + n < len(start) else len(ids)
-            ids[int(start[low]) : stop] = _gathered(ids, start[parts], size[parts])
+            ids[int(start[low]) : stop] = gathered(ids, start[parts], size[parts])
             low += n
         return ids, start, size
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for."""
         ids, start, size = self._table
-        return _gathered(ids, start[seq], size[seq])
+        return gathered(ids, start[seq], size[seq])
 
     def document(self, i: int) -> np.ndarray:
         stop = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.seq)
@@ -283,12 +284,6 @@ class Shard:
         return np.split(self.expand(self.seq), np.cumsum(self.lengths)[:-1])
 
 
-def _gathered(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The slices of ``ids`` from each start on, end to end."""
-    stop = np.cumsum(size)
-    return ids[np.repeat(start - stop + size, size) + np.arange(int(size.sum()))]
-
-
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, shard_ids: int = SHARD_IDS) -> None:
     """Write the ids of ``docs`` (doc_id, text), each with the end id, in ascending doc_id order.
 

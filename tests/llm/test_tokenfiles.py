@@ -97,3 +97,23 @@ def test_rules_are_made_until_no_pair_is_frequent():
         if not end:
             counts[left, right] = counts.get((left, right), 0) + 1
     assert max(counts.values(), default=0) < tokenfiles.LEAST_COUNT
+
+
+class Asked(dict):
+    """Counts what is looked up, found or not."""
+
+    n = 0
+
+    def get(self, key, default=None):
+        self.n += 1
+        return super().get(key, default)
+
+
+def test_a_repeated_run_is_looked_up_once():
+    known = tokenfiles.Encoder(PATH)
+    known.known = Asked()
+    repeated = [b"The cat sat on the mat.", b"", b" on\tthe  mat\nthe cat ", b"the", "\u00e9t\u00e9 <|x|> the".encode(), b"\v"] * 20
+    found = known.encode(repeated)
+    whole = known.library.encode_batch([text.decode() for text in repeated], add_special_tokens=False)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [[*x.ids, tokenfiles.END_ID] for x in whole]
+    assert known.known.n == len({run for text in repeated if b"<|" not in text for run in text.lower().split()})
