@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlog.llm.common import text_of
+from loomlog.llm.common import released, text_of
 
 #: Hashed features, latent dimensions, and rows of the random sketch of all passages.
 FEATURES, LATENT, SKETCH = 1 << 14, 128, 256
@@ -171,7 +171,7 @@ def document_frequencies(docs: DataFrame, words_known: np.ndarray) -> tuple[np.n
         columns = [pa.array(np.r_[found, -1]), pa.array(np.r_[seen[found], n])]
         yield pa.RecordBatch.from_arrays(columns, ["feature", "n"])
 
-    rows = _texts(docs).mapInArrow(counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    rows = _texts(docs).mapInArrow(released(counts), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     seen = np.zeros(FEATURES + 1)
     for row in rows.collect():  # one row per hashed feature at most
         seen[row.feature] = row.n
@@ -214,7 +214,7 @@ def learn_space(docs: DataFrame, benchmark: DataFrame) -> Space:
         whole = np.sum([np.frombuffer(x.as_buffer(), "f4") for x in table["sums"]], axis=0, dtype=float)
         return pa.table({"row": table["row"][:1], "sums": pa.array([whole.astype("f4").tobytes()], pa.binary())})
 
-    summed = _texts(docs).mapInArrow(sketches, "row int, sums binary")
+    summed = _texts(docs).mapInArrow(released(sketches), "row int, sums binary")
     rows = summed.groupBy("row").applyInArrow(add, "row int, sums binary").collect()
     sketch = np.zeros((SKETCH, FEATURES))
     for row in rows:
@@ -361,7 +361,7 @@ def search(docs: DataFrame, items: list[Item], space: Space) -> DataFrame:
 
     match = T.StructType().add("item_id", "long").add("cosine", "double").add("lcs", "double").add("answer", "double")
     schema = T.StructType(list(docs.select(*others).schema.fields)).add("matches", T.ArrayType(match.add("start", "long")))
-    return docs.mapInArrow(matches, schema)
+    return docs.mapInArrow(released(matches), schema)
 
 
 def _stretches(feature: np.ndarray, block: np.ndarray, first: np.ndarray, size: int, used: int) -> tuple[np.ndarray, np.ndarray]:
@@ -463,7 +463,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     space = learn_space(docs, benchmark)
     rows = docs.select(F.struct("*").alias("_row"))
     for items in item_blocks(benchmark):
-        rows = rows.mapInArrow(_without(searcher(items, space), space), rows.schema)
+        rows = rows.mapInArrow(released(_without(searcher(items, space), space)), rows.schema)
     return rows.select("_row.*")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlog.llm.common import staged, text_of
+from loomlog.llm.common import released, staged, text_of
 
 #: Lengths of the word beginnings that count beside whole words; inflected words share them.
 STEMS = (4, 5)
@@ -32,6 +32,8 @@ FULL_EVIDENCE = 60.0
 THRESHOLD = 0.3
 #: Words and beginnings whose weight a worker remembers, and bytes of rows it hands back at a time.
 CACHED, CACHED_STEMS, SLICE_BYTES = 250_000, 50_000, 1 << 20
+#: Words counted at a time; their features take about 600 bytes each.
+COUNTED = 250_000
 EULER = 0.5772156649015329
 #: Of the hash of a feature; Spark's own.
 SEED = 42
@@ -129,12 +131,12 @@ def count_features(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words[label > 0].update(set(text.as_py().split()))
-            if len(words[0]) + len(words[1]) > 1_000_000:
+            if len(words[0]) + len(words[1]) > COUNTED:
                 yield _feature_batch(words)
                 words = (Counter(), Counter())
         yield _feature_batch(words)
 
-    found = rows.mapInArrow(counts, "feature string, clean long, toxic long")
+    found = rows.mapInArrow(released(counts), "feature string, clean long, toxic long")
     return found.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -276,7 +278,7 @@ def scan(rows: DataFrame, weights: Weights) -> DataFrame:
     others = [name for name in rows.columns if name != "text"]
     span = T.StructType().add("start", "long").add("stop", "long").add("score", "double")
     schema = rows.select(*others).schema.add("n_tokens", "long").add("segments", T.ArrayType(span))
-    return rows.mapInArrow(segments, schema)
+    return rows.mapInArrow(released(segments), schema)
 
 
 def _text_segments(text: str | None, weight_of: Callable[[str], float]) -> tuple[int, list[tuple[int, int, float]]]:
@@ -381,4 +383,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield left.slice(at, step)
 
     rows = docs.select(F.struct("*").alias("_row"))
-    return rows.mapInArrow(clean, rows.schema).select("_row.*")
+    return rows.mapInArrow(released(clean), rows.schema).select("_row.*")

@@ -102,3 +102,36 @@ def test_odd_and_empty_documents(spark):
 def test_registered():
     names = {name.split("_")[0] for name in entry.queries() if name.startswith("op")}
     assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
+
+
+def test_workers_hand_memory_back_at_the_end_of_a_task(monkeypatch):
+    """What allocators keep after a task would stay beside the steps that follow."""
+    from loomlog.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "_trim", lambda: calls.append("trim"))
+    assert list(common.released(lambda batches: (x + 1 for x in batches))(iter([1, 2]))) == [2, 3]
+    assert calls == ["trim"]
+    stopped = common.released(lambda batches: iter(batches))(iter([1, 2]))
+    next(stopped)
+    stopped.close()
+    assert calls == ["trim", "trim"]
+
+
+def test_words_counted_in_parts_add_up(spark):
+    """More words than are counted at a time come as several partial counts of the same sums."""
+    from loomlog.llm import toxicity
+
+    texts = [(i % 2, " ".join(f"w{i}x{k} again" for k in range(1000))) for i in range(20)]
+    rows = spark.createDataFrame(texts, "toxic int, text string").coalesce(1)
+
+    def counted(most):
+        def part(batches):
+            toxicity.COUNTED = most
+            yield from batches
+
+        found = toxicity.count_features(rows.mapInArrow(part, rows.schema))
+        return sorted(map(tuple, found.collect()))
+
+    few, many = counted(1500), counted(10**9)
+    assert few == many and ("=again", 10, 10) in few
